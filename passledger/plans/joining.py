@@ -158,16 +158,17 @@ def overlap_anti(t: Tables) -> DataFrame:
     "T03",
     f"""
     WITH @passes, {_SOURCES}, @bookings, c AS (SELECT s.id, b.antenna_id, s.start_us, b.start_us AS bs, b.end_us FROM s JOIN bookings b ON b.id = s.id
-      WHERE s.spacecraft_id <> '' AND s.end_us > s.start_us AND s.end_us - s.start_us >= 480000000 AND lower(s.state) IN ('scheduled', 'confirmed', 'booked', 'active')),
-    free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.antenna_id = c.antenna_id AND b.state = 'O' AND b.id <> c.id AND b.id % 2 = 1
-       AND c.id % 2 = 0 AND c.bs < b.end_us AND b.start_us < c.end_us) AND id % 2 = 0)
+      WHERE b.state <> 'O' AND s.spacecraft_id <> '' AND s.end_us > s.start_us AND s.end_us - s.start_us >= 480000000 AND lower(s.state) IN ('scheduled', 'confirmed', 'booked', 'active')),
+    free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM bookings b WHERE b.antenna_id = c.antenna_id AND b.state = 'O' AND c.bs < b.end_us AND b.start_us < c.end_us))
     SELECT antenna_id, arg_min(id, (start_us, id)) AS id FROM free GROUP BY 1""",
 )
 def first_safe_candidate(t: Tables) -> DataFrame:
-    sources = source_contacts(t).where(eligible_source(480_000_000)).where("id % 2 = 0")
-    span = t.bookings.selectExpr("id", "antenna_id", "start_us AS booking_us", "end_us AS teardown_us")
+    sources = source_contacts(t).where(eligible_source(480_000_000))
+    span = t.bookings.where("state <> 'O'").selectExpr(
+        "id", "antenna_id", "start_us AS booking_us", "end_us AS teardown_us"
+    )
     candidates = sources.select("id", "start_us").join(span, "id")
-    booked = t.bookings.where("state = 'O' AND id % 2 = 1").select("antenna_id", "start_us", "end_us")
+    booked = t.bookings.where("state = 'O'").select("antenna_id", "start_us", "end_us")
     free = without_overlap(
         candidates, booked, ["antenna_id"], "booking_us", "teardown_us",
         booked_start="start_us", booked_stop="end_us", width=MONTH_US,

@@ -153,7 +153,7 @@ def derive_contacts(t: Tables) -> DataFrame:
     """
     WITH @passes, c AS (SELECT pass_no // 6 AS fit_id, pass_no % 6 AS ordinal, contact_id, system_id, pass_no FROM passes),
     f AS (SELECT fit_id, system_id, min(ordinal) AS seen FROM c GROUP BY 1, 2),
-    rx AS (SELECT *, dense_rank() OVER (PARTITION BY fit_id ORDER BY seen) - 1 AS receiver_index FROM f)
+    rx AS (SELECT *, dense_rank() OVER (PARTITION BY fit_id ORDER BY seen) - 1 AS receiver_index FROM f),
     p AS (SELECT *, dense_rank() OVER (PARTITION BY fit_id ORDER BY ordinal) - 1 AS pass_index FROM c)
     SELECT p.fit_id, l_orderkey AS observation, l_linenumber AS line, receiver_index, pass_index, 4.0::DOUBLE AS variance_hz2
     FROM p JOIN rx ON rx.fit_id = p.fit_id AND rx.system_id = p.system_id JOIN lineitem ON l_orderkey = p.pass_no""",
