@@ -89,11 +89,20 @@ def slope_weight(residual: Column, kind: str, scale: float) -> Column:
     raise ValueError(f"unknown loss {kind!r}")
 
 
+def _once(value: Column, rule) -> Column:
+    """Apply a rule that uses its argument several times, evaluating it once."""
+    return F.element_at(F.transform(F.array(value), rule), 1)
+
+
+def _leap_count(value: Column, starts) -> Column:
+    table = F.array(*[F.lit(float(s)) for s in starts])
+    return _once(value, lambda v: F.size(F.filter(table, lambda s: s <= v)))
+
+
 def tai_minus_utc(unix_s: Column) -> Column:
-    offset = F.lit(None).cast("int")
-    for start, seconds in LEAP_SECONDS:
-        offset = F.when(unix_s >= start, F.lit(seconds)).otherwise(offset)
-    return offset
+    """Whole leap seconds at a UTC second; they grow by one from ten."""
+    count = _leap_count(unix_s, [start for start, _ in LEAP_SECONDS])
+    return F.when(unix_s >= LEAP_SECONDS[0][0], count + (LEAP_SECONDS[0][1] - 1))
 
 
 def gps_epoch(packet_ms: Column, week_ms: Column) -> Column:
@@ -105,11 +114,15 @@ def gps_epoch(packet_ms: Column, week_ms: Column) -> Column:
     packet_s = packet_ms / 1000.0
     gps_now = packet_s + tai_minus_utc(packet_s) - TAI_MINUS_GPS - GPS_EPOCH_UNIX
     week = F.rint((gps_now - week_s) / GPS_WEEK)
-    gps = week * GPS_WEEK + week_s
-    # UTC lags GPS time by the leap seconds; look them up at the UTC second.
-    rough = gps + GPS_EPOCH_UNIX
-    utc = rough - (tai_minus_utc(rough) - TAI_MINUS_GPS)
-    utc = rough - (tai_minus_utc(utc) - TAI_MINUS_GPS)
+    # GPS time counted from the Unix epoch runs ahead of UTC by the leap seconds
+    # since its own epoch; the table of starts is shifted to that scale.
+    ahead = [start + seconds - TAI_MINUS_GPS for start, seconds in LEAP_SECONDS]
+    first = LEAP_SECONDS[0][1] - 1 - TAI_MINUS_GPS
+    table = F.array(*[F.lit(float(s)) for s in ahead])
+    utc = _once(
+        week * GPS_WEEK + week_s + GPS_EPOCH_UNIX,
+        lambda v: v - (F.size(F.filter(table, lambda s: s <= v)) + first),
+    )
     return F.when(finite(week_s) & (week_s >= 0) & (week_s < GPS_WEEK), utc)
 
 
