@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from passledger.functions.scalars import first_reason
+
 
 def prior_provenance(priors: DataFrame) -> DataFrame:
     """Digests of the element lines and of the whole text, and availability."""
@@ -16,3 +18,112 @@ def prior_provenance(priors: DataFrame) -> DataFrame:
             "available_us": F.col("submitted_us"),
         }
     )
+
+
+def write_csv(frame: DataFrame, path: str) -> None:
+    frame.write.mode("errorifexists").option("header", True).csv(path)
+
+
+def pending_attempts(planned: DataFrame, finished: DataFrame, keys: list[str]) -> DataFrame:
+    """Planned attempts without a finished record of the same identity and digest."""
+    return planned.join(finished.select(*keys), keys, "left_anti")
+
+
+def write_attempts(results: DataFrame, path: str, partition: str) -> None:
+    """Each attempt once: a rerun replaces only the partitions it holds."""
+    (
+        results.write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy(partition)
+        .parquet(path)
+    )
+
+
+def file_digests(spark: SparkSession, source: str) -> DataFrame:
+    return (
+        spark.read.format("binaryFile")
+        .option("recursiveFileLookup", True)
+        .load(source)
+        .select(
+            F.element_at(F.split("path", "/"), -1).alias("name"),
+            F.sha2("content", 256).alias("sha256"),
+            F.col("length").alias("byte_count"),
+        )
+    )
+
+
+def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
+    """Files listed against files found: missing, unlisted or changed."""
+    listed = manifest.select("name", F.col("sha256").alias("_listed"))
+    return listed.join(digests.select("name", F.col("sha256").alias("_found")), "name", "full_outer").select(
+        "name",
+        F.when(F.col("_found").isNull(), "missing")
+        .when(F.col("_listed").isNull(), "unlisted")
+        .when(F.col("_found") != F.col("_listed"), "changed")
+        .otherwise("verified")
+        .alias("status"),
+    )
+
+
+def distinct_contents(artifacts: DataFrame, payload: str, name: str) -> DataFrame:
+    """Equal bytes once, under their digest, with the number of names."""
+    return artifacts.groupBy(F.sha2(payload, 256).alias("sha256")).agg(
+        F.count(F.lit(1)).alias("copies"),
+        F.min(name).alias("first_name"),
+        F.max(F.octet_length(payload)).alias("byte_count"),
+    )
+
+
+def artifact_rows(artifacts: DataFrame, payload: str, provenance: list[str]) -> DataFrame:
+    binary = F.col(payload).cast("binary")
+    return artifacts.select(
+        "artifact_id", "kind", "filename", "content_type",
+        F.sha2(binary, 256).alias("sha256"),
+        F.octet_length(binary).alias("byte_count"),
+        F.to_json(F.struct(*provenance)).alias("provenance"),
+    )
+
+
+def append_audit(records: DataFrame, path: str) -> None:
+    """One JSON line per lifecycle event; earlier lines are never rewritten."""
+    records.write.mode("append").json(path)
+
+
+DESCRIPTOR = (
+    "format_version int, model string, object_id string, solution_id string, "
+    "tle_lines array<string>, offsets array<double>"
+)
+
+
+def save_descriptors(solutions: DataFrame) -> DataFrame:
+    """Each solution as a lossless JSON descriptor."""
+    body = F.struct(
+        F.lit(1).alias("format_version"), F.lit("sgp4").alias("model"),
+        "object_id", "solution_id", "tle_lines", "offsets",
+    )
+    return solutions.select("solution_id", F.to_json(body).alias("descriptor"))
+
+
+def load_descriptors(descriptors: DataFrame) -> DataFrame:
+    """Descriptors back as columns, with the reason a bad one is refused."""
+    flat = descriptors.select(F.from_json("descriptor", DESCRIPTOR).alias("_d")).select("_d.*")
+    numbers = F.coalesce(
+        F.forall("offsets", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))),
+        F.lit(False),
+    )
+    return flat.withColumn(
+        "reason",
+        first_reason(
+            [
+                (
+                    ~F.coalesce((F.col("format_version") == 1) & (F.col("model") == "sgp4"), F.lit(False)),
+                    "unsupported orbit descriptor",
+                ),
+                (
+                    (F.coalesce(F.size("offsets"), F.lit(0)) != 7) | ~numbers,
+                    "orbit descriptor requires seven finite corrections",
+                ),
+                (F.coalesce(F.size("tle_lines"), F.lit(0)) != 2, "orbit descriptor requires two TLE lines"),
+            ]
+        ),
+    )
