@@ -65,14 +65,22 @@ def test_slope_is_the_derivative(spark, observations):
     assert worst < 1e-3
 
 
-def test_joint_fit_recovers_the_truth(spark, observations):
-    clean = observations.where("event_id % 25 <> 0")
-    fitted = estimate.joint_fit(clean, steps=6)
-    rows = fitted.select("offset_s", "bias_hz", "contact_id", "converged", ((F.col("fit_id") % 11 - 5) * 0.8).alias("truth")).collect()
-    errors = [abs(r.offset_s - r.truth) for r in rows]
-    assert np.median(errors) < 0.03 and max(errors) < 0.2 and all(r.converged for r in rows)
-    bias = [r.bias_hz - (int(r.contact_id[-1]) * 30 - 20) for r in rows]
-    assert np.median(np.abs(bias)) < 0.5
+@pytest.mark.parametrize("drift", [False, True])
+def test_joint_fit_recovers_the_truth(spark, observations, drift):
+    """Exact samples at a known shift, drift and pass bias."""
+    age = (F.col("t_us") - F.col("epoch_us")) / 1e6
+    rate = 1e-4 if drift else 0.0
+    exact = estimate.table_model(observations, F.col("true_shift_s") + rate * age).withColumn(
+        "observed_hz", F.col("predicted_hz") + F.col("decade") * 30 - 20
+    )
+    fitted = estimate.joint_fit(exact.select(*observations.columns), drift=drift, steps=6)
+    rows = fitted.select(
+        "offset_s", "drift", "bias_hz", "contact_id", "converged", ((F.col("fit_id") % 11 - 5) * 0.8).alias("truth")
+    ).collect()
+    assert max(abs(r.offset_s - r.truth) for r in rows) < 1e-4
+    assert max(abs(r.drift - rate) for r in rows) < 1e-7
+    assert max(abs(r.bias_hz - (int(r.contact_id[-1]) * 30 - 20)) for r in rows) < 1e-2
+    assert all(r.converged for r in rows)
 
 
 def test_robust_loss_resists_outliers(spark, observations):
@@ -103,7 +111,8 @@ def test_another_model_can_be_brought(spark, observations):
 def test_factors_match_numpy(spark):
     rng = np.random.default_rng(2)
     j = rng.normal(size=(400, 4))
-    j[:, 3] = j[:, 0] * 1e-9 + j[:, 1]  # a singular value that squares would lose
+    # A singular value that sums of squares would lose.
+    j[:, 3] = j[:, 1] + j[:, 3] * 1e-9
     rows = spark.createDataFrame([(1, *map(float, line)) for line in j], "k long, a double, b double, c double, d double").repartition(7)
     out = estimate.conditioning(rows, "k", ["a", "b", "c", "d"]).first()
     singular = np.linalg.svd(j, compute_uv=False)
