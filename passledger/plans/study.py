@@ -11,6 +11,7 @@ from passledger.plans.ordering import _ORDER, YEARS_US
 from passledger.plans.registry import query
 from passledger.plans.rounding import r, rd
 from passledger.plans.standins import DAY_US, Tables
+from passledger.session import cut_lineage
 
 
 def _rounded(frame: DataFrame, *columns: str) -> DataFrame:
@@ -167,14 +168,18 @@ _ATTAIN = """
 
 
 def fold_rows(t: Tables) -> DataFrame:
-    """Planned folds with stand-in outcomes; some folds are missing on purpose."""
+    """The stored fold table of a study: planned folds with stand-in outcomes.
+
+    Some folds are missing on purpose. The statistics read the table several
+    times, so it is written once.
+    """
     window = planning.first_window(t.passes, YEARS_US)
     ordered = planning.pass_order(window)
     first = window.groupBy("spacecraft_id").agg(F.min("stop_us").alias("f"))
     plan = planning.fold_expansion(ordered).join(first, "spacecraft_id")
     c = "CAST(substring(spacecraft_id, 2) AS BIGINT)"
     m = "CASE method WHEN 'timing' THEN 1 ELSE 0 END"
-    return plan.selectExpr(
+    rows = plan.selectExpr(
         "spacecraft_id", "method", "prefix_count", "held_ordinal",
         f"({c} * 3 + prefix_count * 7 + held_ordinal * 5 + {m}) % 11 <> 0 AS success",
         f"({c} * 5 + prefix_count + held_ordinal * 3 + {m}) % 6 <> 0 AS accepted",
@@ -183,6 +188,7 @@ def fold_rows(t: Tables) -> DataFrame:
         f"CASE WHEN {c} % 19 = 0 THEN 'partial' ELSE 'complete' END AS coverage",
         f"(checkpoint_us - f) / {YEARS_US} * 24.0D AS elapsed_hours",
     ).where(f"NOT ({c} % 41 = 0 AND held_ordinal = 2)")
+    return cut_lineage(rows)
 
 
 @query(
@@ -227,7 +233,8 @@ def first_attainment(t: Tables) -> DataFrame:
       count(*) FILTER (h <= 24) AS attained_by_24h, {rd('max(CASE WHEN k = (n + 1) // 2 THEN h END)')} AS fifty_percent_hours FROM n GROUP BY 1, 2""",
 )
 def population_attainment(t: Tables) -> DataFrame:
-    events = study.first_attainment(study.prefix_summary(fold_rows(t)))
+    # One row per spacecraft, method and threshold; also read several times.
+    events = cut_lineage(study.first_attainment(study.prefix_summary(fold_rows(t))))
     return _rounded(study.population_attainment(events), "fifty_percent_hours")
 
 
