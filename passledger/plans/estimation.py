@@ -448,7 +448,7 @@ _UNIT_CASE = "CASE WHEN starts_with(name, 'pass_bias_hz:') THEN 'Hz' " + " ".joi
     a AS (SELECT request_id, model FROM rs WHERE reason = ''), ct AS (SELECT l_orderkey AS request_id, l_linenumber AS ordinal, concat('K', min(l_partkey)) AS contact_id FROM lineitem GROUP BY 1, 2),
     x AS (SELECT request_id, 0 AS part, place, name, initial, lower_bound, upper_bound, scale FROM a JOIN pm ON pm.model = a.model UNION ALL
       SELECT request_id, 1, ordinal, concat('pass_bias_hz:', contact_id), 0, -150000, 150000, 200 FROM a JOIN ct USING (request_id))
-    SELECT request_id, name, part, CAST(place AS BIGINT) AS place, CAST(CASE WHEN name = 'time_offset_s' AND request_id % 3 = 0 THEN 2.5 ELSE initial END AS DOUBLE) AS initial, CAST(lower_bound AS DOUBLE) AS lower_bound, CAST(upper_bound AS DOUBLE) AS upper_bound,
+    SELECT request_id, name, part, CAST(place AS BIGINT) AS place, CAST(CASE WHEN name = 'time_offset_s' AND request_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') THEN 2.5 ELSE initial END AS DOUBLE) AS initial, CAST(lower_bound AS DOUBLE) AS lower_bound, CAST(upper_bound AS DOUBLE) AS upper_bound,
       CAST(scale AS DOUBLE) AS scale, {_UNIT_CASE} AS unit FROM x""",
 )
 def profile_expansion(t: Tables) -> DataFrame:
@@ -456,7 +456,7 @@ def profile_expansion(t: Tables) -> DataFrame:
     contacts = t.table("lineitem").groupBy(
         F.col("l_orderkey").alias("request_id"), F.col("l_linenumber").alias("ordinal")
     ).agg(F.concat(F.lit("K"), F.min("l_partkey")).alias("contact_id"))
-    overrides = t.table("orders").where("o_orderkey % 3 = 0").selectExpr(
+    overrides = t.table("orders").where("o_orderstatus = 'F'").selectExpr(
         "o_orderkey AS request_id", "'time_offset_s' AS name", "2.5D AS initial"
     )
     return service.expand_parameters(resolved, contacts, service.model_parameters(t.spark), overrides)

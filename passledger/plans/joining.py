@@ -21,7 +21,7 @@ MONTH_US = 30 * DAY_US
     "preparation_check",
     "J01",
     """
-    WITH @passes, q AS (SELECT pass_no // 6 AS fit_id, contact_id FROM passes WHERE pass_no % 23 <> 0),
+    WITH @passes, q AS (SELECT pass_no // 6 AS fit_id, contact_id FROM passes WHERE NOT (status = 'P' AND priority = '5-LOW')),
     cr AS (SELECT contact_id, CASE WHEN pass_no % 40 = 3 THEN spacecraft_id ELSE concat('V', pass_no // 6) END AS spacecraft_id FROM passes),
     s AS (SELECT l_orderkey // 6 AS fit_id, concat('P', l_orderkey) AS contact_id, count(*) AS n FROM lineitem WHERE l_quantity > 4 GROUP BY 1, 2),
     w AS (SELECT q.fit_id, q.contact_id, spacecraft_id, true AS wanted FROM q LEFT JOIN cr USING (contact_id)),
@@ -36,7 +36,7 @@ MONTH_US = 30 * DAY_US
 )
 def preparation_check(t: Tables) -> DataFrame:
     fit = F.expr("pass_no div 6").alias("fit_id")
-    requests = t.passes.where("pass_no % 23 <> 0").select(fit, "contact_id")
+    requests = t.passes.where("NOT (status = 'P' AND priority = '5-LOW')").select(fit, "contact_id")
     contacts = t.passes.selectExpr(
         "contact_id",
         "CASE WHEN pass_no % 40 = 3 THEN spacecraft_id ELSE concat('V', pass_no div 6) END AS spacecraft_id",
@@ -183,14 +183,15 @@ _ID = "concat('pass-', substring(sha256(concat({0}, chr(0), {1}, chr(0), {2})),
     "idempotent_lookup",
     "J12 X17",
     f"""
-    WITH @passes, p AS (SELECT pass_no, {_ID.format('CAST(pass_no AS VARCHAR)', 'system_id', "'leo'")} AS identity FROM passes),
-    b AS (SELECT identity AS external_ref, min(pass_no + 1000000) AS existing_id FROM p WHERE pass_no % 11 = 0 GROUP BY 1)
+    WITH @passes, p AS (SELECT pass_no, {_ID.format('CAST(pass_no AS VARCHAR)', 'system_id', "'leo'")} AS identity, priority FROM passes),
+    b AS (SELECT identity AS external_ref, min(pass_no + 1000000) AS existing_id FROM p WHERE priority = '1-URGENT' GROUP BY 1)
     SELECT pass_no, identity, existing_id FROM p LEFT JOIN b ON b.external_ref = p.identity""",
 )
 def idempotent_lookup(t: Tables) -> DataFrame:
     identity = derived_identity("pass-", F.col("pass_no").cast("string"), F.col("system_id"), F.lit("leo"))
-    plans = t.passes.select("pass_no", identity.alias("identity"))
-    booked = plans.where("pass_no % 11 = 0").selectExpr(
+    planned = t.passes.select("pass_no", identity.alias("identity"), "priority")
+    plans = planned.drop("priority")
+    booked = planned.where("priority = '1-URGENT'").selectExpr(
         "identity AS external_ref", "pass_no + 1000000 AS booking_id"
     )
     return joins.idempotent_lookup(plans, booked)
@@ -201,7 +202,7 @@ def idempotent_lookup(t: Tables) -> DataFrame:
 _JOBS = """
     jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'F' THEN 'succeeded' ELSE 'failed' END AS status,
        o_orderpriority AS stage, o_custkey AS actor_id, epoch_us(o_orderdate) AS created_us,
-       CASE WHEN o_orderkey % 2 = 0 THEN 'estimate' ELSE 'tdm_export' END AS operation FROM orders),
+       CASE WHEN o_orderpriority <> '5-LOW' THEN 'estimate' ELSE 'tdm_export' END AS operation FROM orders),
     job_contacts AS (SELECT l_orderkey AS job_id, l_linenumber - 1 AS ordinal, concat('K', min(l_partkey)) AS contact_id, min(l_suppkey) AS system_no
        FROM lineitem GROUP BY 1, 2)"""
 
@@ -213,7 +214,7 @@ def jobs(t: Tables) -> DataFrame:
         "o_orderpriority AS stage",
         "o_custkey AS actor_id",
         "unix_micros(CAST(o_orderdate AS TIMESTAMP)) AS created_us",
-        "CASE WHEN o_orderkey % 2 = 0 THEN 'estimate' ELSE 'tdm_export' END AS operation",
+        "CASE WHEN o_orderpriority <> '5-LOW' THEN 'estimate' ELSE 'tdm_export' END AS operation",
     )
 
 
@@ -251,11 +252,11 @@ def job_results_view(t: Tables) -> DataFrame:
     return joins.job_results(slim, runs, job_contacts(t), ["algorithm"], ["contact_id"])
 
 
-_ESTIMATES = "estimates AS (SELECT o_orderkey + 7000000 AS estimate_id, o_orderkey AS job_id, o_custkey % 9 AS model_no FROM orders WHERE o_orderkey % 2 = 0)"
+_ESTIMATES = "estimates AS (SELECT o_orderkey + 7000000 AS estimate_id, o_orderkey AS job_id, o_custkey % 9 AS model_no FROM orders WHERE o_orderpriority <> '5-LOW')"
 
 
 def estimates(t: Tables) -> DataFrame:
-    return t.table("orders").where("o_orderkey % 2 = 0").selectExpr(
+    return t.table("orders").where("o_orderpriority <> '5-LOW'").selectExpr(
         "o_orderkey + 7000000 AS estimate_id", "o_orderkey AS job_id", "o_custkey % 9 AS model_no"
     )
 
@@ -351,19 +352,20 @@ def common_prior(t: Tables) -> DataFrame:
     "reference_binding",
     "J18",
     """
-    WITH @passes, f AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_custkey % 10 <> 0),
-    b AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_custkey % 3 = 0)
+    WITH @passes, f AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_mktsegment <> 'MACHINERY'),
+    b AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_acctbal > 5000)
     SELECT p.contact_id, CASE WHEN f.object_id IS NULL THEN 'no reference' WHEN f.object_id = concat('2026-', pass_no % 7) THEN 'cospar'
       WHEN b.object_id IS NOT NULL THEN 'explicit binding' ELSE 'reference identity differs' END AS binding
     FROM passes p LEFT JOIN f ON f.spacecraft_id = p.spacecraft_id LEFT JOIN b ON b.spacecraft_id = p.spacecraft_id AND b.object_id = f.object_id""",
 )
 def reference_binding(t: Tables) -> DataFrame:
     named = t.table("customer").selectExpr(
-        "c_custkey", "concat('V', c_custkey) AS spacecraft_id", "concat('2026-', c_custkey % 7) AS object_id"
+        "c_mktsegment", "c_acctbal", "concat('V', c_custkey) AS spacecraft_id", "concat('2026-', c_custkey % 7) AS object_id"
     )
+    named_ids = ["spacecraft_id", "object_id"]
     contacts = t.passes.selectExpr("contact_id", "spacecraft_id", "concat('2026-', pass_no % 7) AS cospar")
-    bindings = named.where("c_custkey % 3 = 0").drop("c_custkey").withColumn("bound", F.lit(True))
-    return joins.reference_binding(named.where("c_custkey % 10 <> 0").drop("c_custkey"), contacts, bindings)
+    bindings = named.where("c_acctbal > 5000").select(*named_ids).withColumn("bound", F.lit(True))
+    return joins.reference_binding(named.where("c_mktsegment <> 'MACHINERY'").select(*named_ids), contacts, bindings)
 
 
 @query(
@@ -383,14 +385,14 @@ def membership(t: Tables) -> DataFrame:
     "reconcile_attempts",
     "J20",
     """
-    WITH @passes, p AS (SELECT pass_no, stop_us FROM passes WHERE pass_no % 7 <> 0),
-    s AS (SELECT pass_no, CASE WHEN pass_no % 5 = 0 THEN stop_us + 1 ELSE stop_us END AS stop_us FROM passes WHERE pass_no % 9 <> 0)
+    WITH @passes, p AS (SELECT pass_no, stop_us FROM passes WHERE priority <> '2-HIGH'),
+    s AS (SELECT pass_no, CASE WHEN pass_no % 5 = 0 THEN stop_us + 1 ELSE stop_us END AS stop_us FROM passes WHERE priority <> '4-NOT SPECIFIED')
     SELECT pass_no, CASE WHEN s.stop_us IS NULL THEN 'missing' WHEN p.stop_us IS NULL THEN 'extra'
       WHEN p.stop_us <> s.stop_us THEN 'stop_us differs' ELSE '' END AS finding FROM p FULL JOIN s USING (pass_no)""",
 )
 def reconcile_attempts(t: Tables) -> DataFrame:
-    planned = t.passes.where("pass_no % 7 <> 0").select("pass_no", "stop_us")
-    saved = t.passes.where("pass_no % 9 <> 0").selectExpr(
+    planned = t.passes.where("priority <> '2-HIGH'").select("pass_no", "stop_us")
+    saved = t.passes.where("priority <> '4-NOT SPECIFIED'").selectExpr(
         "pass_no", "CASE WHEN pass_no % 5 = 0 THEN stop_us + 1 ELSE stop_us END AS stop_us"
     )
     return joins.reconcile(planned, saved, ["pass_no"], ["stop_us"])
@@ -400,23 +402,24 @@ def reconcile_attempts(t: Tables) -> DataFrame:
     "contact_metadata",
     "S08 X14",
     f"""
-    WITH @passes, a AS (SELECT s_suppkey, concat('A', s_suppkey % 9) AS system_id, s_name, s_nationkey FROM supplier WHERE s_suppkey < 9),
-    j AS (SELECT p.contact_id, a.s_name AS antenna_name, a.s_nationkey, c_name AS craft,
-      CASE WHEN a.s_name IS NULL OR concat('G', s_suppkey) <> concat('G', pass_no % 7) THEN 'antenna identity does not match the contact'
+    WITH @passes, a AS (SELECT n_nationkey, concat('A', n_nationkey) AS system_id, n_name FROM nation),
+    j AS (SELECT p.contact_id, a.n_name AS antenna_name, c_name AS craft,
+      CASE WHEN a.n_name IS NULL OR priority = '5-LOW' THEN 'antenna identity does not match the contact'
         WHEN c_name IS NULL THEN 'spacecraft identity does not match the contact'
         WHEN pass_no % 37 = 0 THEN 'ephemeris spacecraft does not match the contact' ELSE '' END AS reason
-      FROM passes p LEFT JOIN a ON a.system_id = p.system_id LEFT JOIN customer c ON concat('V', c_custkey) = p.spacecraft_id AND c_custkey % 31 <> 0)
+      FROM passes p LEFT JOIN a ON a.system_id = p.system_id LEFT JOIN customer c ON concat('V', c_custkey) = p.spacecraft_id AND c_mktsegment <> 'HOUSEHOLD')
     SELECT contact_id, antenna_name, craft, reason FROM j""",
 )
 def contact_metadata(t: Tables) -> DataFrame:
-    antennas = t.table("supplier").where("s_suppkey < 9").selectExpr(
-        "concat('A', s_suppkey % 9) AS system_id", "s_name AS antenna_name", "concat('G', s_suppkey) AS antenna_station"
+    antennas = t.table("nation").selectExpr(
+        "concat('A', n_nationkey) AS system_id", "n_name AS antenna_name", "concat('G', n_nationkey) AS antenna_station"
     )
-    craft = t.table("customer").where("c_custkey % 31 <> 0").selectExpr(
+    craft = t.table("customer").where("c_mktsegment <> 'HOUSEHOLD'").selectExpr(
         "concat('V', c_custkey) AS spacecraft_id", "c_name AS spacecraft_name"
     )
     contacts = t.passes.selectExpr(
-        "contact_id", "system_id", "spacecraft_id", "concat('G', pass_no % 7) AS station_id",
+        "contact_id", "system_id", "spacecraft_id",
+        "CASE WHEN priority = '5-LOW' THEN 'elsewhere' ELSE concat('G', pass_no % 7) END AS station_id",
         "concat('E', pass_no) AS ephemeris_id",
     )
     ephemerides = t.passes.selectExpr(
@@ -458,7 +461,7 @@ def link_frequency(t: Tables) -> DataFrame:
     "S23",
     """
     WITH @passes, k AS (SELECT concat('A', s_suppkey % 7) AS antenna, 'S' AS band, min(epoch_us(TIMESTAMP '1995-01-01') + s_suppkey * 86400000000 * 300) AS cal, min(s_acctbal) AS corr
-      FROM supplier WHERE s_suppkey % 7 <> 2 GROUP BY 1),
+      FROM supplier WHERE s_acctbal > 500 GROUP BY 1),
     j AS (SELECT contact_id, corr, CASE WHEN cal IS NULL THEN 'no reviewed calibration' WHEN cal // 86400000000 > start_us // 86400000000
       THEN 'calibration date is later than the contact start' ELSE '' END AS reason FROM passes LEFT JOIN k ON k.antenna = system_id)
     SELECT contact_id, CASE WHEN reason = '' THEN corr END AS correction_hz, reason FROM j""",
@@ -466,7 +469,7 @@ def link_frequency(t: Tables) -> DataFrame:
 def station_calibration(t: Tables) -> DataFrame:
     calibrations = (
         t.table("supplier")
-        .where("s_suppkey % 7 <> 2")
+        .where("s_acctbal > 500")
         .groupBy(F.concat(F.lit("A"), F.col("s_suppkey") % 7).alias("antenna"), F.lit("S").alias("band"))
         .agg(
             F.min(F.expr("788918400000000 + s_suppkey * 86400000000 * 300")).alias("calibrated_us"),

@@ -406,23 +406,27 @@ def attempt_resume(t: Tables) -> DataFrame:
 @query(
     "manifest_verification",
     "S19",
-    """SELECT concat('object_id=', s_suppkey) AS part, CASE WHEN s_suppkey % 5 = 0 THEN 'changed' WHEN s_suppkey % 7 = 0 THEN 'unlisted' ELSE 'verified' END AS status FROM supplier
+    """SELECT concat('object_id=', s_suppkey) AS part, CASE WHEN s_nationkey < 4 THEN 'unlisted' WHEN s_acctbal < 2000 THEN 'changed' ELSE 'verified' END AS status FROM supplier
     UNION ALL SELECT 'object_id=absent', 'missing'""",
 )
 def manifest_verification(t: Tables) -> DataFrame:
     """Files written from the tables, re-hashed against a partly wrong manifest."""
     path = scratch_path(t.spark, "snapshot")
-    lines = t.table("supplier").selectExpr("s_suppkey AS object_id", "concat_ws('|', s_name, s_acctbal) AS text")
+    files = t.table("supplier").selectExpr(
+        "s_suppkey AS object_id", "concat_ws('|', s_name, s_acctbal) AS text", "s_nationkey", "s_acctbal"
+    )
+    lines = files.select("object_id", "text")
     lines.repartition("object_id").write.partitionBy("object_id").text(path)
     raw = t.spark.read.format("binaryFile").load(path + "/*/*.txt")
     # The folder names the file here, since Spark chooses file names itself.
     found = raw.select(
         F.element_at(F.split("path", "/"), -2).alias("name"), F.sha2("content", 256).alias("sha256")
     )
-    number = F.col("object_id")
-    listed = lines.where(number % 35 % 7 != 0).unionByName(lines.where((number % 7 == 0) & (number % 5 == 0))).select(
-        F.concat(F.lit("object_id="), number).alias("name"),
-        F.when(number % 5 == 0, "0").otherwise(F.sha2(F.concat("text", F.lit("\n")), 256)).alias("sha256"),
+    listed = files.where("s_nationkey >= 4").select(
+        F.concat(F.lit("object_id="), "object_id").alias("name"),
+        F.when(F.col("s_acctbal") < 2000, "0")
+        .otherwise(F.sha2(F.concat("text", F.lit("\n")), 256))
+        .alias("sha256"),
     )
     absent = t.spark.createDataFrame([("object_id=absent", "0")], "name string, sha256 string")
     out = products.verify_manifest(listed.unionByName(absent), found)

@@ -147,7 +147,7 @@ _FOLDS = f"""
        (c * 5 + prefix_count + held_ordinal * 3 + m) % 6 <> 0 AS accepted,
        CASE WHEN (c + prefix_count * held_ordinal) % 29 = 0 THEN NULL ELSE ((c * 31 + prefix_count * 170 + held_ordinal * 13 + m) % 900) / 100.0 END AS position_rmse_km,
        CASE WHEN c % 19 = 0 THEN 'partial' ELSE 'complete' END AS coverage, (stop_us - f) / {YEARS_US} * 24.0 AS elapsed_hours FROM x
-       WHERE NOT (c % 41 = 0 AND held_ordinal = 2))"""
+       WHERE NOT (prefix_count = 5 AND held_ordinal = 2))"""
 _QUALIFY = """
     q AS (SELECT spacecraft_id, method, prefix_count, count(*) AS folds, count(*) FILTER (success AND accepted) AS accepted_folds, count(position_rmse_km) AS scored_folds,
        median(CASE WHEN success AND accepted THEN position_rmse_km ELSE 1e300 END) AS md, count(*) FILTER (coverage NOT IN ('complete', 'unknown')) AS unc,
@@ -187,7 +187,7 @@ def fold_rows(t: Tables) -> DataFrame:
         f"(({c} * 31 + prefix_count * 170 + held_ordinal * 13 + {m}) % 900) / 100.0D END AS position_rmse_km",
         f"CASE WHEN {c} % 19 = 0 THEN 'partial' ELSE 'complete' END AS coverage",
         f"(checkpoint_us - f) / {YEARS_US} * 24.0D AS elapsed_hours",
-    ).where(f"NOT ({c} % 41 = 0 AND held_ordinal = 2)")
+    ).where("NOT (prefix_count = 5 AND held_ordinal = 2)")
     return cut_lineage(rows)
 
 
