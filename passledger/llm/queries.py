@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import exact
+from passledger.llm import bpe, exact
 from passledger.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,3 +36,9 @@ def query(name: str, check: str | None = None):
 )
 def op8(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(table(spark, folder, "documents"))
+
+
+@query("op5_byte_bpe")
+def op5(spark: SparkSession, folder: str) -> DataFrame:
+    rows = bpe.tokenized(table(spark, folder, "documents").select("doc_id", "text"), bpe.public_ranks(), bpe.public_pattern())
+    return rows.select("doc_id", *bpe.digests(rows))
