@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, exact
-from passledger.llm.common import table
+from passledger.llm import bpe, exact, language
+from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -42,3 +42,9 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     rows = bpe.tokenized(table(spark, folder, "documents").select("doc_id", "text"), bpe.public_ranks(), bpe.public_pattern())
     return rows.select("doc_id", *bpe.digests(rows))
+
+
+@query("op6_language_id")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
+    return language.predicted(docs, *language.learned(docs.where("NOT held_out")))
