@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, exact, language
+from passledger.llm import bpe, exact, language, quality
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -48,3 +48,10 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 def op6(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
     return language.predicted(docs, *language.learned(docs.where("NOT held_out")))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.learned(quality.label_rows(docs, table(spark, folder, "labels"), "quality", 5, 0))
+    return quality.scored(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
