@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, exact, language, quality
+from passledger.llm import bpe, exact, language, quality, toxicity
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,10 @@ def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.learned(quality.label_rows(docs, table(spark, folder, "labels"), "quality", 5, 0))
     return quality.scored(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
+
+
+@query("op10_toxicity")
+def op10(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = toxicity.learned(quality.label_rows(docs, table(spark, folder, "labels"), "toxic", 4, 2))
+    return quality.scored(docs.withColumn("held_out", remainder("doc_id", 4) == 2), model)
