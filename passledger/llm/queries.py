@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, exact, language, quality, toxicity
+from passledger.llm import bpe, exact, language, quality, toxicity, warc
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,25 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.learned(quality.label_rows(docs, table(spark, folder, "labels"), "toxic", 4, 2))
     return quality.scored(docs.withColumn("held_out", remainder("doc_id", 4) == 2), model)
+
+
+@query(
+    "op9_warc",
+    r"""
+    WITH p AS (SELECT page_id, coalesce(html, '') AS body FROM pages),
+    d AS (SELECT page_id, strlen(body) AS payload_bytes,
+                 list_aggregate(list_transform(string_split(sha1(body), ''),
+                     lambda h: right('000' || bin(instr('0123456789abcdef', h) - 1), 4)), 'string_agg', '') AS bits,
+                 max(page_id) OVER (PARTITION BY body) AS first_id FROM p)
+    SELECT page_id, payload_bytes,
+           list_aggregate(list_transform(range(32),
+               lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + list_sum(list_transform(range(5), lambda k: CAST(substr(bits, CAST(i * 5 + k + 1 AS INT), 1) AS INT) * CAST(pow(2, 4 - k) AS INT)))::INT, 1)),
+               'string_agg', '') AS payload_digest,
+           CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+           CASE WHEN page_id < first_id THEN first_id END AS refers_to
+    FROM d
+    """,
+)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return warc.archived(spark, table(spark, folder, "pages"))
