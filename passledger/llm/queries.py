@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, exact, language, quality, toxicity, warc
+from passledger.llm import bpe, chat, exact, language, quality, toxicity, warc
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,3 +84,27 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return warc.archived(spark, table(spark, folder, "pages"))
+
+
+@query(
+    "op2_chat_format",
+    r"""
+    WITH m AS (
+        SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+        UNION ALL SELECT * FROM (VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]'))),
+    g AS (SELECT *, length(text) + length(text) - length(replace(text, '\', ''))
+                    + length(regexp_replace(text, '<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]', '\0#', 'g')) - length(text) AS guarded,
+                 length(role) + length(role) - length(replace(role, '\', ''))
+                    + length(regexp_replace(role, '<s>|</s>|\[INST\]|\[/INST\]|\[ROLE\]|\[/ROLE\]', '\0#', 'g')) - length(role) AS guarded_role
+          FROM m)
+    SELECT conv_id, count(*) AS n_turns,
+           sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+           CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+           sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+           CAST(sum(7 + guarded + CASE role WHEN 'user' THEN 15 WHEN 'assistant' THEN 0 ELSE 13 + guarded_role END) AS BIGINT) AS formatted_chars
+    FROM g GROUP BY conv_id
+    """,
+)
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.conversation_digests(rows.unionByName(chat.hostile(spark)))
