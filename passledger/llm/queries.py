@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, chat, exact, language, quality, simhash, toxicity, warc
+from passledger.llm import bpe, chat, exact, html, language, quality, simhash, toxicity, warc
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -113,3 +113,19 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_simhash")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_groups(table(spark, folder, "documents"))
+
+
+@query(
+    "op4_main_text",
+    r"""
+    WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*)</article>', 1, 's') AS body FROM pages),
+    b AS (SELECT page_id, url, list_transform(
+              string_split(regexp_replace(regexp_replace(regexp_replace(body, '</?b>', '', 'g'), '<br>', ' ', 'g'), '</?(h1|p)>', chr(1), 'g'), chr(1)),
+              lambda x: trim(regexp_replace(replace(replace(replace(replace(replace(x,
+                  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))) AS parts FROM a),
+    c AS (SELECT page_id, url, coalesce(list_aggregate(list_filter(parts, lambda x: x <> ''), 'string_agg', chr(10) || chr(10)), '') AS text FROM b)
+    SELECT page_id, url, text, length(text) AS n_chars FROM c
+    """,
+)
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return html.extracted(table(spark, folder, "pages"))
