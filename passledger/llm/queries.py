@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, chat, exact, html, language, quality, simhash, toxicity, warc
+from passledger.llm import bpe, chat, contamination, exact, html, language, quality, simhash, toxicity, warc
 from passledger.llm.common import remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -129,3 +129,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     return html.extracted(table(spark, folder, "pages"))
+
+
+@query("op3_decontaminate")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
