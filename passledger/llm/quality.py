@@ -82,9 +82,10 @@ def _distinct(codes: np.ndarray, passage: np.ndarray, total: int, n: int) -> np.
     own = passage[:m]
     inside = own == passage[n - 1 :]
     gram = (gram ^ (gram >> np.uint64(31))) & np.uint64((1 << 40) - 1)
-    keys = np.unique((own[inside].astype(np.uint64) << np.uint64(40)) | gram[inside])
+    keys = np.sort((own[inside].astype(np.uint64) << np.uint64(40)) | gram[inside])
+    new = keys[np.append(True, keys[1:] != keys[:-1])[: len(keys)]]
     all_ = np.bincount(own[inside], minlength=total)
-    return np.where(all_ > 0, np.bincount((keys >> np.uint64(40)).astype(np.int64), minlength=total) / np.maximum(all_, 1), 1.0)
+    return np.where(all_ > 0, np.bincount((new >> np.uint64(40)).astype(np.int64), minlength=total) / np.maximum(all_, 1), 1.0)
 
 
 class Attention:
