@@ -101,3 +101,44 @@ def labelled_sample(
         if len(group) < per_label:
             group.append((row["text"], row["label"]))
     return [pair for key in sorted(taken, key=str) for pair in taken[key]]
+
+
+def learnable(labels: DataFrame, column: str, divisor: int, out: int) -> DataFrame:
+    """(doc_id, label) of the labels to learn from: those whose crc32(doc_id) modulo ``divisor`` is not ``out``."""
+    return labels.where(remainder("doc_id", divisor) != out).select(
+        F.col("doc_id").cast("long").alias("doc_id"), F.col(column).alias("label")
+    ).dropna()
+
+
+def labelled_texts(documents: DataFrame, labels: DataFrame, per_label: int, longest: int) -> list[tuple[str, object]]:
+    """At most ``per_label`` (text, label) pairs of every label value, on the driver.
+
+    Ids are drawn from ``labels`` (doc_id, label) by a hash, about three times as many as
+    wanted, and only their texts of up to ``longest`` code points are read: the drawn
+    ids are a bounded list, so the documents are scanned once and not shuffled. A
+    repeated id counts once, with its smallest label.
+    """
+    counts = {r["label"]: r["count"] for r in labels.groupBy("label").count().collect()}
+    if not counts:
+        return []
+    share = F.coalesce(
+        *[F.when(F.col("label") == F.lit(k), F.lit(min(1.0, 3.0 * per_label / n))) for k, n in counts.items()], F.lit(0.0)
+    )
+    drawn = labels.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)) < share)
+    label_of: dict[int, object] = {}
+    for row in sorted(drawn.collect(), key=lambda r: (r["doc_id"], str(r["label"]))):
+        label_of.setdefault(row["doc_id"], row["label"])
+    if not label_of:
+        return []
+    wanted = documents.sparkSession.createDataFrame([(k,) for k in label_of], "doc_id long")
+    texts = (
+        documents.where(F.char_length(whole()) <= longest)
+        .select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
+        .join(F.broadcast(wanted), "doc_id").withColumn("draw", F.xxhash64("doc_id", F.lit(11))).collect()
+    )
+    taken: dict[object, dict[int, str]] = {}
+    for row in sorted(texts, key=lambda r: (r["draw"], r["doc_id"], r["text"])):
+        group = taken.setdefault(label_of[row["doc_id"]], {})
+        if len(group) < per_label:
+            group.setdefault(row["doc_id"], row["text"])
+    return [(text, label) for label in sorted(taken, key=str) for text in taken[label].values()]

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passledger.llm.common import labelled_sample, text_slices, whole
+from passledger.llm.common import labelled_texts, text_slices, whole
 
 WIDTH = 400
 CLASSES = 16
@@ -152,11 +152,11 @@ class Attention:
         }
 
 
-def learned(frame: DataFrame, per_label: int = 900, longest: int = 20_000) -> Attention:
-    """Fits on a bounded sample of ``frame`` (text, label): at most ``per_label`` texts of
-    each label, none longer than ``longest`` code points. Without rows of both labels
+def learned(documents: DataFrame, labels: DataFrame, per_label: int = 900, longest: int = 20_000) -> Attention:
+    """Fits on a bounded sample: at most ``per_label`` texts of each label, none longer than
+    ``longest`` code points. ``labels`` has doc_id and label. Without rows of both labels
     the score stays near one half."""
-    sample = labelled_sample(frame, "label", per_label, longest)
+    sample = labelled_texts(documents, labels, per_label, longest)
     model = Attention()
     if len({label for _, label in sample}) == 2:
         model.fit([t for t, _ in sample], np.array([float(label) for _, label in sample]))
@@ -181,14 +181,3 @@ def scored(frame: DataFrame, model, threshold: float = 0.3) -> DataFrame:
 
     rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", whole().alias("text"))
     return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
-
-
-def label_rows(documents: DataFrame, labels: DataFrame, column: str, divisor: int, out: int) -> DataFrame:
-    """Texts of the labelled documents whose crc32(doc_id) modulo ``divisor`` is not ``out``.
-
-    A repeated label counts once; a null label or id is none.
-    """
-    from passledger.llm.common import remainder
-
-    known = labels.select("doc_id", F.col(column).alias("label")).dropna().dropDuplicates(["doc_id"])
-    return documents.where(remainder("doc_id", divisor) != out).select("doc_id", "text").join(known, "doc_id").select("text", "label")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from passledger.llm import bpe, chat, contamination, exact, html, language, quality, simhash, toxicity, warc
-from passledger.llm.common import remainder, table
+from passledger.llm.common import learnable, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
@@ -53,14 +53,14 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = quality.learned(quality.label_rows(docs, table(spark, folder, "labels"), "quality", 5, 0))
+    model = quality.learned(docs, learnable(table(spark, folder, "labels"), "quality", 5, 0))
     return quality.scored(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
 
 
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
-    model = toxicity.learned(quality.label_rows(docs, table(spark, folder, "labels"), "toxic", 4, 2))
+    model = toxicity.learned(docs, learnable(table(spark, folder, "labels"), "toxic", 4, 2))
     return quality.scored(docs.withColumn("held_out", remainder("doc_id", 4) == 2), model)
 
 

@@ -15,7 +15,7 @@ import re
 import numpy as np
 from pyspark.sql import DataFrame
 
-from passledger.llm.common import labelled_sample
+from passledger.llm.common import labelled_texts
 
 SPAN, STEP = 16, 8
 BUCKETS = 1 << 15
@@ -207,11 +207,11 @@ def _narrowed(lex: Lexicon, used: np.ndarray) -> Lexicon:
     return part
 
 
-def learned(frame: DataFrame, per_label: int = 1_200, longest: int = 4_000) -> Network:
-    """Fits on a bounded sample of ``frame`` (text, label): at most ``per_label`` texts of
-    each label, none longer than ``longest`` code points. Without rows of both labels
+def learned(documents: DataFrame, labels: DataFrame, per_label: int = 1_200, longest: int = 4_000) -> Network:
+    """Fits on a bounded sample: at most ``per_label`` texts of each label, none longer than
+    ``longest`` code points. ``labels`` has doc_id and label. Without rows of both labels
     nothing is learned and all scores are low."""
-    sample = labelled_sample(frame, "label", per_label, longest)
+    sample = labelled_texts(documents, labels, per_label, longest)
     network = Network()
     if len({label for _, label in sample}) == 2:
         network.fit([t for t, _ in sample], np.array([float(label) for _, label in sample], np.float32))
