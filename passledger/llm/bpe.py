@@ -12,14 +12,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passledger.llm.common import kept_in_worker, text_slices, whole
+from passledger.llm.common import appended, kept_in_worker
 
 
 _INNER_SPACE = re.compile(r"\s (?:\s|$)")
@@ -182,23 +181,16 @@ def tokenized(frame: DataFrame, ranks_file: str, pattern: str) -> DataFrame:
     ``decoded`` is read back from the ids. Columns of these two names are replaced.
     """
     raw = frame.sparkSession.sparkContext.broadcast(Path(ranks_file).read_bytes())
-    plain = frame.drop("ids", "decoded")
-    source = plain.select(*[F.col(f"`{c}`") for c in plain.columns], whole().alias("_text"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema.fields), "ids array<int>", "decoded binary"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str]) -> list[pa.Array]:
         import regex
 
         own = vocabulary(raw.value)
         compiled = kept_in_worker(("pattern", pattern), lambda: regex.compile(pattern))
-        for batch in batches:
-            for part in text_slices(batch, "_text"):
-                ids = [own.encode(compiled, t.as_py()) for t in part.column("_text")]
-                columns = [part.column(i) for i in range(part.num_columns - 1)]
-                columns += [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-1], "ids", "decoded"])
-
-    return source.mapInArrow(run, schema)
+        ids = [own.encode(compiled, t) for t in texts]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.binary())]
+
+    return appended(frame, "ids array<int>, decoded binary", make)
 
 
 def digests(rows: DataFrame) -> list:

@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from passledger.session import configure
 
@@ -41,23 +42,12 @@ def remainder(column: str, divisor: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % F.lit(divisor)
 
 
-def per_batch(frame: DataFrame, schema: str, rows: Callable[[pa.RecordBatch], pa.RecordBatch]) -> DataFrame:
-    """``mapInArrow`` with one answer for each batch; a batch holds a bounded number of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield rows(batch)
-
-    return frame.mapInArrow(run, schema)
-
-
 def text_slices(batch: pa.RecordBatch, column: str, limit: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     """Cuts a batch between rows, so that a slice holds about ``limit`` bytes of ``column``.
 
     Rows stay whole; a longer text is a slice of its own.
     """
-    sizes = [len(s.as_buffer()) if s.is_valid else 0 for s in batch.column(column)]
+    sizes = [len(s.as_buffer()) if s.is_valid else 0 for s in batch.column(batch.schema.get_field_index(column))]
     start, held = 0, 0
     for row, size in enumerate(sizes):
         if row > start and held + size > limit:
@@ -142,3 +132,29 @@ def labelled_texts(documents: DataFrame, labels: DataFrame, per_label: int, long
         if len(group) < per_label:
             group.setdefault(row["doc_id"], row["text"])
     return [(text, label) for label in sorted(taken, key=str) for text in taken[label].values()]
+
+
+def appended(
+    frame: DataFrame, columns: str, make: Callable[[list[str]], list[pa.Array]], text: str = "text", limit: int = 4_000_000
+) -> DataFrame:
+    """``frame`` with the columns of the DDL ``columns``, made from whole texts.
+
+    ``make`` gets the texts of a slice of rows (null as empty) and answers with an array
+    for each new column. All other columns pass through; columns of the same names are
+    replaced.
+    """
+    added = StructType.fromDDL(columns)
+    plain = frame.drop(*added.names)
+    inner = "_text"
+    while inner.lower() in (c.lower() for c in plain.columns):
+        inner += "_"
+    schema = StructType([*plain.schema.fields, *added.fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in text_slices(batch, inner, limit):
+                made = make([t.as_py() for t in part.column(part.num_columns - 1)])
+                kept = [part.column(i) for i in range(part.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*kept, *made], names=schema.names)
+
+    return plain.withColumn(inner, whole(text)).mapInArrow(run, schema)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from passledger.llm.common import text_slices, whole
+from passledger.llm.common import appended, whole
 from passledger.session import cut_lineage
 
 ENTRY, BLOCK = 32, 4
@@ -182,15 +182,15 @@ def _vocabulary(items: DataFrame) -> DataFrame:
 
 def with_matches(
     frame: DataFrame, benchmark: DataFrame, least: float = 0.6, question: float = 0.6, answer: float = 0.6,
-    shard_characters: int = 400_000,
+    shard_characters: int = 400_000, column: str = "matches",
 ) -> DataFrame:
-    """Every row of ``frame`` (with a text column) and ``matches``, the items found in it.
+    """Every row of ``frame`` (with a text column) and ``column``, the items found in it.
 
     ``benchmark`` has item_id and text. The index is broadcast in shards of about
     ``shard_characters`` of item text, so its size is bounded however large the benchmark
     is; word statistics are those of all items, and every text meets every shard. Null
     texts count as empty, items without words are never found, equal items are one,
-    a null item_id is reported as null. A column named matches is replaced.
+    a null item_id is reported as null. A column of that name is replaced.
     """
     spark = frame.sparkSession
     size = benchmark.agg(F.sum(F.char_length(whole())).alias("n")).first()["n"] or 0
@@ -200,36 +200,28 @@ def with_matches(
     counted = vocabulary.agg(F.count("length").alias("n"), F.avg("length").alias("mean")).first()
     total, mean = counted["n"], counted["mean"] or 1.0
     frequency = vocabulary.groupBy("word").agg(F.count("*").alias("n"))
-    out = frame.drop("matches").withColumn("matches", F.lit(None).cast(_MATCH))
+    out = frame.drop(column).withColumn(column, F.lit(None).cast(_MATCH))
     for shard in range(shards):
         own = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).collect()]
         known = frequency.join(vocabulary.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi")
         own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
         index = spark.sparkContext.broadcast(Index(own, {r["word"]: r["n"] for r in known.collect()}, total, mean))
-        out = _searched(out, index, least, question, answer)
+        out = _searched(out, column, index, least, question, answer)
         if shards > 1:
             out = cut_lineage(out)
-    return out.withColumn("matches", F.coalesce("matches", F.array().cast(_MATCH)))
+    return out.withColumn(column, F.coalesce(column, F.array().cast(_MATCH)))
 
 
-def _searched(frame: DataFrame, index, least: float, question: float, answer: float) -> DataFrame:
-    names = [c for c in frame.columns if c != "matches"]
-    source = frame.select(*[F.col(f"`{c}`") for c in names], whole().alias("_text"), F.col("matches").alias("_before"))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in frame.select(*[F.col(f"`{c}`") for c in names]).schema.fields), f"_before {_MATCH}", f"_found {_MATCH}"])
+def _searched(frame: DataFrame, column: str, index, least: float, question: float, answer: float) -> DataFrame:
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("score", pa.float64()), ("question", pa.float64()), ("answer", pa.float64())]))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str]) -> list[pa.Array]:
         own = index.value
-        for batch in batches:
-            for part in text_slices(batch, "_text"):
-                found = [own.matches(t.as_py(), least, question, answer) for t in part.column("_text")]
-                columns = [part.column(i) for i in range(part.num_columns - 2)]
-                columns += [part.column(part.num_columns - 1), pa.array(found, kind)]
-                yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names[:-2], "_before", "_found"])
+        return [pa.array([own.matches(t, least, question, answer) for t in texts], kind)]
 
-    rows = source.mapInArrow(run, schema)
-    both = F.concat(F.coalesce("_before", F.array().cast(_MATCH)), "_found")
-    return rows.select(*[F.col(f"`{c}`") for c in names], both.alias("matches"))
+    found = f"{column}_of_shard"
+    rows = appended(frame, f"`{found}` {_MATCH}", make)
+    return rows.withColumn(column, F.concat(F.coalesce(column, F.array().cast(_MATCH)), found)).drop(found)
 
 
 def contaminated(frame: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
@@ -240,4 +232,5 @@ def contaminated(frame: DataFrame, benchmark: DataFrame, **options) -> DataFrame
 
 def drop_contaminated(frame: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``frame`` without a match, with all their columns."""
-    return with_matches(frame, benchmark, **options).where(F.size("matches") == 0).drop("matches")
+    here = "_matches_here"
+    return with_matches(frame, benchmark, column=here, **options).where(F.size(here) == 0).drop(here)

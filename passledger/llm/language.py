@@ -11,15 +11,13 @@ Texts are read as their letters in lower case, every other run as one space.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from passledger.llm.common import labelled_sample, text_slices, whole
+from passledger.llm.common import appended, labelled_sample
 
 ORDER = 4
 NOTHING = "und"
@@ -132,34 +130,29 @@ def learned(frame: DataFrame, per_language: int = 250, longest: int = 20_000) ->
 
 
 def predicted(frame: DataFrame, names: list[str], models: list[Contexts]) -> DataFrame:
-    """doc_id, lang_pred and score of every row of ``frame`` (doc_id, text, carried columns).
+    """Every row of ``frame`` (with a text column), lang_pred and score.
 
     The language with the shortest code wins, of equal ones the first by name. The
     score is its share when a language weighs 2 to the power of minus its bits. A text
     that is null or has no letter is ``und`` with score 0, as is every text when no
-    language was learned. Texts are read whole; repeated rows are scored alike.
+    language was learned. Texts are read whole; repeated rows are scored alike. Columns
+    of the two names are replaced.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(texts: list[str]) -> list[pa.Array]:
         import regex
 
         pattern = regex.compile(r"\p{L}+")
-        for batch in batches:
-            for part in text_slices(batch, "text"):
-                texts = [letters_of(pattern, t.as_py()) for t in part.column("text")]
-                langs = np.full(len(texts), NOTHING, dtype=object)
-                score = np.zeros(len(texts))
-                if models:
-                    bits = code_lengths(models, texts)
-                    best = bits.argmin(axis=1)
-                    weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
-                    some = np.array([bool(t) for t in texts])
-                    langs[some] = np.array(names, dtype=object)[best[some]]
-                    score[some] = (1.0 / weight.sum(axis=1))[some]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64())],
-                    names=["doc_id", "held_out", "lang_pred", "score"],
-                )
-
-    rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", whole().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, lang_pred string, score double")
+        read = [letters_of(pattern, t) for t in texts]
+        langs = np.full(len(read), NOTHING, dtype=object)
+        score = np.zeros(len(read))
+        if models:
+            bits = code_lengths(models, read)
+            best = bits.argmin(axis=1)
+            weight = np.exp2(np.maximum(bits.min(axis=1, keepdims=True) - bits, -1000.0))
+            some = np.array([bool(t) for t in read])
+            langs[some] = np.array(names, dtype=object)[best[some]]
+            score[some] = (1.0 / weight.sum(axis=1))[some]
+        return [pa.array(langs, pa.string()), pa.array(score, pa.float64())]
+
+    return appended(frame, "lang_pred string, score double", make)

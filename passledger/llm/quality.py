@@ -9,14 +9,11 @@ the attention learns which passages carry them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from passledger.llm.common import labelled_texts, text_slices, whole
+from passledger.llm.common import appended, labelled_texts
 
 WIDTH = 400
 CLASSES = 16
@@ -163,21 +160,21 @@ def learned(documents: DataFrame, labels: DataFrame, per_label: int = 900, longe
     return model
 
 
-def scored(frame: DataFrame, model, threshold: float = 0.3) -> DataFrame:
-    """doc_id, held_out, score and predicted of every row of ``frame`` (doc_id, held_out, text).
+def scored(frame: DataFrame, model, threshold: float = 0.3, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Every row of ``frame`` (with a text column), score and predicted, under ``names``.
 
-    ``model.scores`` rates whole texts from 0 to 1. A null text counts as empty and has
-    the score of an empty text; repeated rows are scored alike.
+    ``model.scores`` rates whole texts from 0 to 1; predicted is 1 from ``threshold`` on.
+    A null text counts as empty and has the score of an empty text; repeated rows are
+    scored alike. Columns of the two names are replaced.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in text_slices(batch, "text", 2_000_000):
-                score = model.scores([t.as_py() for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("held_out"), pa.array(score, pa.float64()), pa.array(score >= threshold).cast(pa.int32())],
-                    names=["doc_id", "held_out", "score", "predicted"],
-                )
-
-    rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", whole().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, held_out boolean, score double, predicted int")
+    def make(texts: list[str]) -> list[pa.Array]:
+        score = np.asarray(model.scores(texts), dtype=np.float64)
+        return [pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+
+    return appended(frame, f"`{names[0]}` double, `{names[1]}` int", make, limit=2_000_000)
+
+
+def drop_rejected(frame: DataFrame, model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``frame`` that score at least ``threshold``, with all their columns."""
+    return scored(frame, model, threshold, ("_score_here", "_predicted_here")).where("_predicted_here = 1").select(*frame.columns)

@@ -13,6 +13,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 CHECKS: dict[str, str] = {}
 
 
+def held_out(docs: DataFrame, divisor: int, out: int) -> DataFrame:
+    return docs.select("doc_id", (remainder("doc_id", divisor) == out).alias("held_out"), "text")
+
+
 def query(name: str, check: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -46,22 +50,23 @@ def op5(spark: SparkSession, folder: str) -> DataFrame:
 
 @query("op6_language_id")
 def op6(spark: SparkSession, folder: str) -> DataFrame:
-    docs = table(spark, folder, "documents").withColumn("held_out", remainder("doc_id", 3) == 1)
-    return language.predicted(docs, *language.learned(docs.where("NOT held_out")))
+    docs = table(spark, folder, "documents")
+    names, models = language.learned(docs.where(remainder("doc_id", 3) != 1))
+    return language.predicted(held_out(docs, 3, 1), names, models).drop("text")
 
 
 @query("op7_quality")
 def op7(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = quality.learned(docs, learnable(table(spark, folder, "labels"), "quality", 5, 0))
-    return quality.scored(docs.withColumn("held_out", remainder("doc_id", 5) == 0), model)
+    return quality.scored(held_out(docs, 5, 0), model).drop("text")
 
 
 @query("op10_toxicity")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = toxicity.learned(docs, learnable(table(spark, folder, "labels"), "toxic", 4, 2))
-    return quality.scored(docs.withColumn("held_out", remainder("doc_id", 4) == 2), model)
+    return quality.scored(held_out(docs, 4, 2), model).drop("text")
 
 
 @query(
