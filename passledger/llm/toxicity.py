@@ -160,15 +160,18 @@ class Network:
         g[side + "h"], g[side + "x"], g[side + "o"] = d_u, f["x"].T @ d_projected, d_projected.sum(axis=0)
         d_x += d_projected @ w.T
 
-    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 7, batch: int = 512, rate: float = 0.01, seed: int = 1) -> Network:
-        """First all windows take the label of their text, then only each text's worst ones."""
+    def fit(self, texts: list[str], labels: np.ndarray, rounds: int = 7, batch: int = 512, rate: float = 0.01, seed: int = 1, steps: int = 200) -> Network:
+        """First all windows take the label of their text, then only each text's worst ones.
+
+        A small sample goes on past ``rounds`` until it has made ``steps`` steps.
+        """
         draw = np.random.default_rng(seed)
         lex = Lexicon(texts)
         text_of = np.repeat(np.arange(len(texts)), np.diff(np.append(lex.first, len(lex.windows))))
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
-        step = 0
-        for turn in range(rounds):
+        step = turn = 0
+        while turn < rounds or 0 < step < steps:
             order = draw.permutation(len(lex.windows))
             if turn:
                 score = self.window_scores(lex)
@@ -187,11 +190,12 @@ class Network:
                     local = local + 1
                 grads = self.gradients(part, local, labels[text_of[picked]])
                 step += 1
-                pace = rate * (0.5 if turn > rounds // 2 else 1.0)
+                pace = rate * (0.5 if turn > rounds // 2 and step > steps // 2 else 1.0)
                 for k, v in self.p.items():
                     first[k] = 0.9 * first[k] + 0.1 * grads[k]
                     second[k] = 0.99 * second[k] + 0.01 * grads[k] ** 2
                     v -= (pace * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)).astype(np.float32)
+            turn += 1
         return self
 
 
