@@ -66,7 +66,7 @@ _DOPPLER_STATE = "t_us long, x array<double>, p array<double>"
 def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilterConfig()) -> DataFrame:
     """Filter every contact of a stream of enriched samples.
 
-    ``samples`` holds contact_id, t_us, observed_hz, variance_hz2, predicted_hz
+    ``samples`` holds contact_id, t_us, sequence (the order of equal times), observed_hz, variance_hz2, predicted_hz
     and slope_hz_s. A row with an unusable number is ``invalid`` and leaves the
     state alone; a gated row keeps only the prediction.
     """
@@ -77,7 +77,7 @@ def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilt
             x, p = np.array(x), np.array(p).reshape(3, 3)
         else:
             last, x, p = None, np.array(config.initial_state), np.diag(config.initial_variance)
-        rows = pd.concat(list(frames)).sort_values("t_us", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
         out = []
         for t, z, r, f, s in zip(
             rows["t_us"], rows["observed_hz"], rows["variance_hz2"], rows["predicted_hz"], rows["slope_hz_s"]
@@ -167,11 +167,14 @@ def offset_step(
 
 
 def offset_filter(measurements: DataFrame, config: OffsetFilterConfig = OffsetFilterConfig()) -> DataFrame:
-    """Offset and drift of every pass from irregular measurements."""
+    """Offset and drift of every pass from irregular measurements.
+
+    ``sequence`` is the order of equal times.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values("t_us", kind="stable")
+        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
         out = []
         for e, t, v, r in zip(rows["ephemeris_id"], rows["t_us"], rows["offset_s"], rows["variance"]):
             held, status, nis = offset_step(held, e, int(t), float(v), float(r), config)

@@ -7,14 +7,15 @@ from pyspark.sql import DataFrame, SparkSession
 from passledger.session import scratch_path
 
 
-def table_stream(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A table's files as a stream; new files become new batches."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    return (
-        spark.readStream.schema(schema)
-        .option("pathGlobFilter", f"{table}*.parquet")
-        .parquet(folder)
-    )
+def table_stream(spark: SparkSession, folder: str, table: str, files: int = 1_000) -> DataFrame:
+    """A table's files as a stream; new files become new batches of at most ``files``.
+
+    The table is one file or a folder of part files; the pattern names just it, since
+    a stream takes a pattern for either and a plain path only for a folder.
+    """
+    path = f"{folder.rstrip('/')}/{table}.parquet"
+    schema = spark.read.parquet(path).schema  # fails where there is no table
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[t]")
 
 
 def drain(stream: DataFrame, label: str) -> DataFrame:

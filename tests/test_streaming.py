@@ -10,7 +10,7 @@ from passledger.session import scratch_path
 from passledger.streaming import acquisition as acq
 from passledger.streaming import commands
 from passledger.streaming import filters as flt
-from passledger.streaming.runner import drain
+from passledger.streaming.runner import drain, table_stream
 
 
 def test_offset_filter_accepts_irregular_cadence():
@@ -53,49 +53,83 @@ def test_doppler_step_matches_the_textbook_update():
     assert nis == pytest.approx((z - f) ** 2 / spread)
 
 
-def test_acquisition_finds_the_middle():
-    held, events = ("sweep", None, None, 0, 0, None, None), []
-    for offset, locked in ((0.0, False), (1.0, True), (2.0, True), (3.0, False)):
-        for _ in range(3):
-            held, new = acq.acquisition_step(held, offset, locked, 3)
-            events += new
-    assert [e[0] for e in events] == ["probe"] * 4 + ["midpoint"] and events[-1][1] == 1.5
-    for _ in range(3):
-        held, events = acq.acquisition_step(held, 1.5, False, 3)
-    assert events == [("reset", 0.0, False, "lock_lost")]
+def _sweep(steps, config, each=3):
+    held, events = acq.Acquisition(), []
+    for second, (offset, locked) in enumerate(s for s in steps for _ in range(each)):
+        events += held.take(second * 10**6, offset, locked, config)
+    return held, [(e[0], e[3]) for e in events if e[0] != "probe"], events
+
+
+@pytest.mark.parametrize(
+    "steps, last",
+    [
+        ([(0, False), (1, True), (2, True), (3, False), (1.5, True)], ("tracking", "")),
+        ([(0, False), (1, True), (2, True), (3, False), (1.5, False)], ("reset", "middle_unlocked")),
+        ([(0, True)], ("reset", "open_at_start")),
+        ([(0, False), (1, False), (2, False), (3, False), (4, True)], ("reset", "no_window")),
+        ([(0, False), (1, True), (2, True), (3, True), (4, False)], ("reset", "open_at_end")),
+        ([(0, False), (1, True), (2, False), (1, True), (1, False)], ("reset", "lock_lost")),
+    ],
+)
+def test_acquisition_paths(steps, last):
+    held, seen, events = _sweep(steps, acq.AcquisitionConfig(sweep_points=4))
+    assert seen[-1] == last
+    if "middle" in last[1] or last[0] == "tracking":
+        assert [e[1] for e in events if e[0] == "midpoint"] == [1.5]
+
+
+def test_acquisition_stops_at_the_time_limit():
+    _, seen, _ = _sweep([(0, False)] * 3, acq.AcquisitionConfig(time_limit_s=5.0))
+    assert seen == [("reset", "time_over")]
 
 
 def test_acquisition_count_restarts_on_change():
-    held = ("sweep", None, None, 0, 0, None, None)
-    seen = []
+    held, seen = acq.Acquisition(), []
     for locked in (False, False, True, False, False, False):
-        held, events = acq.acquisition_step(held, 0.0, locked, 3)
-        seen.append(len(events))
+        seen.append(len(held.take(0, 0.0, locked, acq.AcquisitionConfig())))
     assert seen == [0, 0, 0, 0, 0, 1]
 
 
-def _estimate(**changes):
-    base = dict(
-        t_us=10**7, event_us=10**7, ephemeris_id="e", profile_version="profile-1", model_version="model-1",
-        target_s=1.0, variance=0.1, nis=1.0, converged=True, samples=5, applied_s=0.0,
-    )
-    return acq.Estimate(**{**base, **changes})
-
-
 @pytest.mark.parametrize(
-    "changes, reason",
+    "changes, code",
     [
-        (dict(ephemeris_id="x"), "identity_mismatch"), (dict(model_version="x"), "estimator_version_mismatch"),
-        (dict(target_s=math.nan), "nonfinite_estimate"), (dict(converged=False), "not_converged"),
-        (dict(samples=1), "not_converged"), (dict(variance=9.0), "excessive_covariance"), (dict(nis=99.0), "excessive_nis"),
-        (dict(event_us=0), "stale_estimate"), (dict(target_s=0.005), "deadband"), (dict(), "dry_run"),
+        (dict(model_version="x"), "version"), (dict(target_s=math.nan), "number"), (dict(converged=False), "unsettled"),
+        (dict(samples=1), "unsettled"), (dict(variance=9.0), "variance"), (dict(nis=99.0), "innovation"), (dict(event_us=0), "age"),
+        (dict(nis=None), "number"), (dict(), None),
     ],
 )
-def test_decision_guards(changes, reason):
-    held, action, why, requested = acq.decide(("tracking", "e", 0.0, None), _estimate(**changes), acq.ControlConfig())
-    assert why == reason
-    if reason == "dry_run":
-        assert requested == pytest.approx(0.5) and acq.decide(held, _estimate(), acq.ControlConfig())[2] == "cadence"
+def test_objections(spark, changes, code):
+    row = dict(
+        t_us=10**7, event_us=10**7, profile_version="profile-1", model_version="model-1", target_s=1.0, variance=0.1, nis=1.0,
+        converged=True, samples=5,
+    ) | changes
+    schema = "t_us long, event_us long, profile_version string, model_version string, target_s double, variance double, nis double, converged boolean, samples long"
+    assert spark.createDataFrame([tuple(row.values())], schema).select(acq.objection(acq.ControlConfig())).first()[0] == code
+
+
+def test_control_starts_at_the_applied_offset():
+    config = acq.ControlConfig(maximum_step_s=9.0, maximum_rate=9.0)
+    loop, action, _, requested = acq.respond(None, 10**7, "e", None, 1.0, 0.9, config)
+    assert action == "enable" and requested == 0.9
+    loop, *answer = acq.respond(loop, 10**7 + 1, "e", None, 1.0, 0.9, config)
+    assert answer == ["reject", "interval", None]
+    loop, action, _, requested = acq.respond(loop, 2 * 10**7, "e", None, 1.0, 0.9, config)
+    assert action == "dry_run" and requested == pytest.approx(0.9)
+    assert acq.respond(loop, 3 * 10**7, "e", None, 1.0, 0.995, config)[1] == "hold"
+    loop, *answer = acq.respond(loop, 4 * 10**7, "f", None, 1.0, 0.9, config)
+    assert answer[1] == "ephemeris"
+    assert acq.respond(loop, 5 * 10**7, "e", None, 1.0, 0.9, config)[2] == "broken"
+
+
+def test_table_stream_reads_a_file_and_a_folder(spark):
+    base = scratch_path(spark, "tables")
+    rows = spark.range(1000)
+    rows.repartition(4).write.parquet(f"{base}/events.parquet")
+    rows.write.parquet(f"{base}/events2.parquet")
+    assert drain(table_stream(spark, base, "events"), "folder").count() == 1000
+    assert drain(table_stream(spark, "/root/testdata/sf0.001", "nation"), "file").count() == 25
+    with pytest.raises(Exception):
+        table_stream(spark, base, "event")
 
 
 def _files(spark, batches, schema):
@@ -106,9 +140,9 @@ def _files(spark, batches, schema):
 
 
 def test_doppler_stream_counts_late_rows(spark):
-    schema = "contact_id string, t_us long, observed_hz double, variance_hz2 double, predicted_hz double, slope_hz_s double"
+    schema = "contact_id string, t_us long, sequence long, observed_hz double, variance_hz2 double, predicted_hz double, slope_hz_s double"
     def row(t, z=-3000.0):
-        return ("c", t * 10**6, z, 4.0, -3000.0, -4.0)
+        return ("c", t * 10**6, 0, z, 4.0, -3000.0, -4.0)
     path = _files(spark, [[row(2), row(1), row(3)], [row(2), row(3), row(5, math.nan), row(6)]], schema)
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
     out = drain(flt.doppler_filter(stream), "late").groupBy("status").count().collect()
