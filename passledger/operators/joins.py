@@ -58,7 +58,7 @@ def preparation_check(
         first_reason(
             [
                 (F.col("spacecraft") != 1, "Doppler fitting requires one spacecraft"),
-                (F.col("unrequested") > 0, "measurements include an unrequested contact"),
+                (F.col("unrequested") > 0, "unrequested"),
                 (F.col("insufficient") > 0, "insufficient selected Doppler samples"),
             ],
             "ready",
@@ -245,7 +245,7 @@ def reference_binding(references: DataFrame, contacts: DataFrame, bindings: Data
                 (F.col("object_id") == F.col("cospar"), "cospar"),
                 (F.col("bound"), "explicit binding"),
             ],
-            "reference identity differs",
+            "other_reference",
         ).alias("binding"),
     )
 
@@ -295,16 +295,16 @@ def metadata_check(
                 (
                     F.col("antenna_name").isNull()
                     | (F.col("antenna_station") != F.col("station_id")),
-                    "antenna identity does not match the contact",
+                    "other_antenna",
                 ),
                 (
                     F.col("spacecraft_name").isNull(),
-                    "spacecraft identity does not match the contact",
+                    "other_spacecraft",
                 ),
                 (
                     F.col("ephemeris_spacecraft").isNull()
                     | (F.col("ephemeris_spacecraft") != F.col("spacecraft_id")),
-                    "ephemeris spacecraft does not match the contact",
+                    "other_ephemeris",
                 ),
             ]
         ),
@@ -316,14 +316,14 @@ def link_frequency(requests: DataFrame, links: DataFrame) -> DataFrame:
     joined = requests.join(links, ["spacecraft_id", "link_name"], "left")
     reason = first_reason(
         [
-            (F.col("direction").isNull(), "link is missing"),
-            (F.col("direction") != F.col("wanted"), "link has the other direction"),
-            (F.col("frequency_hz").isNull(), "link has no numeric frequency"),
+            (F.col("direction").isNull(), "no_link"),
+            (F.col("direction") != F.col("wanted"), "link_direction"),
+            (F.col("frequency_hz").isNull(), "link_number"),
             (
                 F.isnan("frequency_hz")
                 | (F.abs("frequency_hz") == float("inf"))
                 | (F.col("frequency_hz") <= 0),
-                "link frequency must be positive and finite",
+                "link_frequency",
             ),
         ]
     )
@@ -337,10 +337,10 @@ def station_calibration(contacts: DataFrame, calibrations: DataFrame) -> DataFra
     joined = contacts.join(calibrations, ["antenna", "band"], "left")
     reason = first_reason(
         [
-            (F.col("calibrated_us").isNull(), "no reviewed calibration"),
+            (F.col("calibrated_us").isNull(), "no_calibration"),
             (
                 F.expr("calibrated_us div 86400000000 > start_us div 86400000000"),
-                "calibration date is later than the contact start",
+                "calibration_later",
             ),
         ]
     )

@@ -14,7 +14,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_BUCKET = "_bucket"
+_BUCKET, _GROUP = "_bucket", "_group"
 
 
 def _ordering(order: Sequence[str], descending: bool) -> list[Column]:
@@ -62,31 +62,33 @@ def prefix(
     """Add running values over the rows up to (or strictly before) each row.
 
     ``values`` maps an output name to (kind, column); kinds are count, sum, max,
-    min and last (the latest non-null value). ``order`` must be total within a
-    key, ``keys`` non-null.
+    min and last (the latest non-null value). ``order`` must be total within a key.
+    Null keys are one key, and a null bucket is one bucket: first in ascending, last
+    in descending order, where a null order value stands too.
     """
-    keys = list(keys)
-    group = [*keys, _BUCKET]
-    rows = frame.withColumn(_BUCKET, -bucket if descending else bucket)
+    # One struct names a group: it is never null, so groups with null parts join and
+    # the window, the totals and the join share a partitioning.
+    rows = frame.withColumn(_GROUP, F.struct(*keys, (-bucket if descending else bucket).alias(_BUCKET)))
     position = F.struct(*[F.col(c) for c in order])
     inside = (
-        Window.partitionBy(*group)
+        Window.partitionBy(_GROUP)
         .orderBy(*_ordering(order, descending))
         .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     )
+    place = F.col(f"{_GROUP}.{_BUCKET}")
     earlier = (
-        Window.partitionBy(*keys)
-        .orderBy(_BUCKET)
+        Window.partitionBy(F.struct(F.lit(0), *[F.col(f"{_GROUP}.`{k}`") for k in keys]))
+        .orderBy(place.asc_nulls_last() if descending else place.asc_nulls_first())
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    totals = rows.groupBy(*group).agg(
+    totals = rows.groupBy(_GROUP).agg(
         *[
             _summary(kind, column, position, descending).alias(f"_total_{name}")
             for name, (kind, column) in values.items()
         ]
     )
     carried = totals.select(
-        *group,
+        _GROUP,
         *[
             _within("sum" if kind == "count" else kind, F.col(f"_total_{name}"), earlier)
             .alias(f"_before_{name}")
@@ -100,7 +102,7 @@ def prefix(
             for name, (kind, column) in values.items()
         ],
     )
-    return local.join(carried, group).select(
+    return local.join(carried, _GROUP).select(
         *frame.columns,
         *[
             _combine(kind, F.col(f"_before_{name}"), F.col(f"_inside_{name}")).alias(name)
@@ -148,9 +150,11 @@ def neighbour(
 
 def value_band(value: Column, resolution: int = 1024) -> Column:
     """A band index that never decreases with the value: linear near zero,
-    logarithmic beyond, so the bands follow the data over any range."""
+    logarithmic beyond, so the bands follow the data over any range. NaN has the
+    last band, as it sorts behind all numbers."""
     finite = F.least(F.abs(value), F.lit(1e300))
-    return F.floor(F.signum(value) * F.log1p(finite) * resolution).cast("long")
+    band = F.floor(F.signum(value) * F.log1p(finite) * resolution).cast("long")
+    return F.when(F.isnan(value), F.lit(1 << 62)).otherwise(band)
 
 
 def exact_percentiles(
@@ -165,20 +169,21 @@ def exact_percentiles(
 
     Equal values collapse to one counted row first. The bands that hold the
     wanted ranks are found from the band counts, and only those bands are
-    ordered. Nulls are left out; NaN is not allowed.
+    ordered. Null values are left out, null keys are one key, and NaN counts as
+    greater than any number.
     """
     keys = list(keys)
     counted = (
         frame.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
+        .groupBy(F.struct(F.lit(0).alias("_"), *keys).alias(_GROUP), F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
         .withColumn(_BUCKET, value_band(F.col("_v"), resolution))
     )
-    bands = counted.groupBy(*keys, _BUCKET).agg(F.sum("_c").alias("_bc"))
-    upto = Window.partitionBy(*keys).orderBy(_BUCKET)
-    whole = Window.partitionBy(*keys)
+    bands = counted.groupBy(_GROUP, _BUCKET).agg(F.sum("_c").alias("_bc"))
+    upto = Window.partitionBy(_GROUP).orderBy(_BUCKET)
+    whole = Window.partitionBy(_GROUP)
     bands = bands.select(
-        *keys,
+        _GROUP,
         _BUCKET,
         "_bc",
         (F.sum("_bc").over(upto) - F.col("_bc")).alias("_from"),
@@ -201,12 +206,12 @@ def exact_percentiles(
     wanted = (
         bands.withColumn("_r", F.explode(ranks))
         .where(inside)
-        .groupBy(*keys, _BUCKET, "_from")
+        .groupBy(_GROUP, _BUCKET, "_from")
         .agg(F.collect_list("_r").alias("_ranks"))
     )
-    running = Window.partitionBy(*keys, _BUCKET).orderBy("_v")
+    running = Window.partitionBy(_GROUP, _BUCKET).orderBy("_v")
     placed = (
-        counted.join(wanted, [*keys, _BUCKET])
+        counted.join(wanted, [_GROUP, _BUCKET])
         .withColumn("_end", F.col("_from") + F.sum("_c").over(running))
         .withColumn("_start", F.col("_end") - F.col("_c"))
         .withColumn("_r", F.explode("_ranks"))
@@ -217,7 +222,7 @@ def exact_percentiles(
             F.col(f"_r.{rank}") < F.col("_end")
         )
 
-    picked = placed.groupBy(*keys, F.col("_r.name").alias("_name")).agg(
+    picked = placed.groupBy(_GROUP, F.col("_r.name").alias("_name")).agg(
         F.max(F.when(holds("lo"), F.col("_v"))).alias("_lo"),
         F.max(F.when(holds("hi"), F.col("_v"))).alias("_hi"),
         F.max(F.col("_r.at") - F.col("_r.lo")).alias("_part"),
@@ -226,9 +231,10 @@ def exact_percentiles(
         (F.col("_part") == 0) | (F.col("_lo") == F.col("_hi")), F.col("_lo")
     ).otherwise(F.col("_lo") + (F.col("_hi") - F.col("_lo")) * F.col("_part"))
     picked = picked.withColumn("_p", result)
-    return picked.groupBy(*keys).agg(
+    found = picked.groupBy(_GROUP).agg(
         *[
             F.max(F.when(F.col("_name") == name, F.col("_p"))).alias(name)
             for name in fractions
         ]
     )
+    return found.select(*[F.col(f"{_GROUP}.`{k}`").alias(k) for k in keys], *fractions)

@@ -196,7 +196,7 @@ def causal_groups(
         .when(F.col("_anchor") >= F.col("size"), "ready")
         .otherwise("warm_up")
         .alias("status"),
-        F.when(F.col("_members").isNull(), "anchor failed quality gates")
+        F.when(F.col("_members").isNull(), "anchor_gated")
         .otherwise("")
         .alias("reason"),
     )
@@ -234,6 +234,6 @@ def top_fraction(
                 (F.col("rank") < 6, "rank deficient"),
                 (F.coalesce("_kept", F.lit(False)), "selected"),
             ],
-            "below retained fraction",
+            "below_fraction",
         ).alias("reason"),
     )

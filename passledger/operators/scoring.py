@@ -161,7 +161,7 @@ def window_score(
         .alias("coverage"),
         "first_sample_us",
         "last_sample_us",
-        F.when(~shown, "reference does not cover the complete scoring hour")
+        F.when(~shown, "hour_uncovered")
         .otherwise("")
         .alias("reason"),
         *[F.when(shown, F.col(n)).alias(n) for n in names],
@@ -256,7 +256,7 @@ def interval_orbit_score(
         F.coalesce("_n", F.lit(0)).alias("samples"),
         "position_rmse_km",
         "velocity_rmse_m_s",
-        F.when(F.col("_n").isNull(), "no reference samples in interval")
+        F.when(F.col("_n").isNull(), "no_samples")
         .otherwise("")
         .alias("reason"),
     )

@@ -124,7 +124,7 @@ def profile_changes(stored: DataFrame, offered: DataFrame) -> DataFrame:
         "name", "version",
         F.when(F.col("_old").isNull(), "new")
         .when(F.col("_old") == F.col("definition"), "unchanged")
-        .otherwise("stored profile version differs")
+        .otherwise("profile_changed")
         .alias("status"),
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from passledger.functions.scalars import all_reasons, first_reason
 from passledger.operators.joins import paired_delta
+from passledger.functions.geometry import finite
 from passledger.operators.ordered import exact_percentiles
 
 # Thresholds in kilometres and milestones in hours.
@@ -55,8 +56,8 @@ def contact_results(
         *[F.col(f"{s}_{m}") for s in SOLUTIONS for m in ("median_km", "rms_km")],
         first_reason(
             [
-                (~F.col("success"), "optimizer did not converge"),
-                (fixes == 0, "no position fixes in the accepted window"),
+                (~F.col("success"), "not_converged"),
+                (fixes == 0, "no_fixes"),
             ]
         ).alias("reason"),
     )
@@ -154,7 +155,8 @@ def qualification(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     keys = list(keys)
     bad = ~(F.col("success") & F.col("accepted"))
     # A failed fold has no usable error; infinity keeps it in the median.
-    value = F.when(bad, F.lit(_NOT_ATTAINED)).otherwise(F.col("position_rmse_km"))
+    # An accepted fold whose error is no finite number is not scored.
+    value = F.when(bad, F.lit(_NOT_ATTAINED)).when(finite(F.col("position_rmse_km")), F.col("position_rmse_km"))
     rated = folds.withColumn("_value", value)
     counts = rated.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("folds"),
@@ -166,9 +168,9 @@ def qualification(folds: DataFrame, keys: Sequence[str]) -> DataFrame:
     middle = exact_percentiles(rated, keys, "_value", {"_median": 0.5})
     status = first_reason(
         [
-            (F.col("_uncovered") > 0, "reference coverage unavailable"),
-            (F.col("_unscored") > 0, "reference accuracy unavailable"),
-            (F.col("_median") == _NOT_ATTAINED, "non-attainment: failed/rejected folds"),
+            (F.col("_uncovered") > 0, "uncovered"),
+            (F.col("_unscored") > 0, "unscored"),
+            (F.col("_median") == _NOT_ATTAINED, "not_attained"),
         ],
         "available",
     )
@@ -213,7 +215,7 @@ def prefix_summary(rows: DataFrame) -> DataFrame:
         F.when(whole, F.col("median_km")).alias("median_km"),
         first_reason(
             [
-                (~whole, "incomplete or duplicate omission folds"),
+                (~whole, "folds_incomplete"),
                 (F.col("status").isNull(), "single-pass CV unavailable"),
             ],
             None,
@@ -244,7 +246,7 @@ def first_attainment(prefixes: DataFrame, thresholds: Sequence[float] = THRESHOL
         F.col("_first.median_km").alias("median_km"),
         "last_available_hours",
         F.when(hours.isNotNull(), "attained")
-        .otherwise("not demonstrated in available inventory")
+        .otherwise("not_shown")
         .alias("status"),
         *[
             F.coalesce(hours <= h, F.lit(False)).alias(f"attained_by_{h}h") for h in MILESTONES_H
@@ -329,16 +331,16 @@ def quality_decision(
     known = F.coalesce(F.col("_passes") == F.col("requested_passes"), F.lit(False))
     diagnosed = F.col("diagnostic_reason") == ""
     rules = [
-        (diagnosed & (F.col("parameter_count") == 0), "no estimated parameters"),
+        (diagnosed & (F.col("parameter_count") == 0), "no_parameters"),
         (diagnosed & (F.col("rank") < F.col("parameter_count")), "rank-deficient scaled Jacobian"),
-        (diagnosed & (F.col("degrees_of_freedom") <= 0), "no residual degrees of freedom"),
+        (diagnosed & (F.col("degrees_of_freedom") <= 0), "no_freedom"),
         (
             diagnosed & (F.col("condition_number") > max_condition),
             f"condition number exceeds {max_condition:g}",
         ),
-        (~known, "retained observation counts unavailable"),
+        (~known, "no_counts"),
         (known & (chosen < min_samples), f"fewer than {min_samples} retained samples per {scope}"),
-        (F.col("active_bounds"), "parameters at active bounds"),
+        (F.col("active_bounds"), "at_a_bound"),
         (~F.col("success"), "fit/preparation unsuccessful"),
     ]
     reasons = F.concat_ws(
@@ -391,7 +393,7 @@ def summary_rows(runs: DataFrame, statistics: str) -> DataFrame:
         F.coalesce("_score.solution", F.lit("fitted")).alias("solution"),
         F.coalesce("_score.coverage", F.lit("unavailable")).alias("coverage"),
         F.col("_score.rmse").alias("rmse"),
-        F.when(F.col("_score").isNull(), F.coalesce("unavailable_reason", F.lit("accuracy unavailable")))
+        F.when(F.col("_score").isNull(), F.coalesce("unavailable_reason", F.lit("no_accuracy")))
         .otherwise("")
         .alias("reason"),
     )

@@ -290,8 +290,8 @@ _FITS = "ff AS (SELECT s_suppkey AS fit_id, s_suppkey % 7 <> 3 AS success, s_sup
 @query(
     "residual_covariance",
     "E09",
-    f"""WITH @residuals, {_N2}, {_FITS}, d AS (SELECT *, concat_ws('; ', CASE WHEN NOT success THEN 'optimizer did not converge' END, CASE WHEN at_bound THEN 'parameters at active bounds' END,
-      CASE WHEN loss <> 'linear' THEN 'residual-scaled covariance requires linear loss' END) AS why, a * c - b * b AS det FROM nn JOIN ff USING (fit_id))
+    f"""WITH @residuals, {_N2}, {_FITS}, d AS (SELECT *, concat_ws('; ', CASE WHEN NOT success THEN 'not_converged' END, CASE WHEN at_bound THEN 'at_a_bound' END,
+      CASE WHEN loss <> 'linear' THEN 'loss_not_linear' END) AS why, a * c - b * b AS det FROM nn JOIN ff USING (fit_id))
     SELECT fit_id, why AS unavailable_reason, CASE WHEN why = '' THEN {rd('rr / (n - 2) * c / det', 5)} END AS variance_first, CASE WHEN why = '' THEN {rd('-rr / (n - 2) * b / det', 5)} END AS covariance,
       CASE WHEN why = '' THEN {rd('rr / (n - 2) * a / det', 5)} END AS variance_second FROM d""",
 )
@@ -310,8 +310,8 @@ def residual_covariance(t: Tables) -> DataFrame:
     "E10",
     """WITH v AS (SELECT o_orderkey // 6 AS fit_id, o_orderkey AS contact_id, o_totalprice / 1000 AS bv, CASE WHEN o_orderkey // 6 % 8 = 0 THEN 'no fit' ELSE '' END AS why FROM orders),
     k AS (SELECT fit_id, count(*) FILTER (bv <= 300) AS kept, count(*) AS n, max(why) AS w FROM v GROUP BY 1)
-    SELECT fit_id, contact_id, CASE WHEN w <> '' THEN true ELSE bv <= 300 END AS kept, CASE WHEN w <> '' THEN w WHEN k.kept = 0 THEN 'all passes exceed threshold; no refit'
-      WHEN k.kept = n THEN 'no passes exceed threshold; no refit' ELSE 'refit' END AS note FROM v JOIN k USING (fit_id)""",
+    SELECT fit_id, contact_id, CASE WHEN w <> '' THEN true ELSE bv <= 300 END AS kept, CASE WHEN w <> '' THEN w WHEN k.kept = 0 THEN 'none_left'
+      WHEN k.kept = n THEN 'all_kept' ELSE 'refit' END AS note FROM v JOIN k USING (fit_id)""",
 )
 def bias_pruning(t: Tables) -> DataFrame:
     variances = t.table("orders").selectExpr(
@@ -340,7 +340,8 @@ def held_out_prediction(t: Tables) -> DataFrame:
 
 # --- trajectory comparison -------------------------------------------------------------
 
-_OFFSETS = estimate.sweep_offsets(-1.0, 1.0, 0.25)
+_SWEPT = (-1.0, 1.0, 0.25)
+_OFFSETS = sorted({-1.0 + 0.25 * i for i in range(9)} | set(estimate.ALWAYS_SCORED))
 
 
 def _reference(t: Tables) -> DataFrame:
@@ -370,7 +371,7 @@ _SWEEP = f"""{_OBS}, oz AS (SELECT *, CAST(unnest([{', '.join(repr(o) for o in _
     f"WITH {_SWEEP} SELECT * FROM sc",
 )
 def trajectory_sweep(t: Tables) -> DataFrame:
-    out = estimate.trajectory_sweep(_reference(t), "object_no", _OFFSETS)
+    out = estimate.trajectory_sweep(_reference(t), "object_no", estimate.sweep_column(*_SWEPT))
     return out.select(
         "object_no", "offset_s", "sample_count", r("position_rms_m", 2).alias("position_rms_m"),
         r("velocity_rms_m_s", 4).alias("velocity_rms_m_s"), r("radial_rms_m", 2).alias("radial_rms_m"),
@@ -383,7 +384,7 @@ def trajectory_sweep(t: Tables) -> DataFrame:
     f"WITH {_SWEEP}, b AS (SELECT object_no, arg_min(offset_s, (position_rms_m, offset_s)) AS best_offset_s FROM sc GROUP BY 1) SELECT object_no, best_offset_s, true AS interior FROM b",
 )
 def sweep_optimum(t: Tables) -> DataFrame:
-    scores = estimate.trajectory_sweep(_reference(t), "object_no", _OFFSETS)
+    scores = estimate.trajectory_sweep(_reference(t), "object_no", estimate.sweep_column(*_SWEPT))
     best = sequences.sweep_bracket(scores, ["object_no"], "offset_s", "position_rms_m")
     return best.select("object_no", "best_offset_s", "interior")
 
@@ -487,7 +488,7 @@ def parameter_rows(t: Tables) -> DataFrame:
     "profile_versions",
     "D04",
     """WITH s AS (SELECT o_custkey AS name, o_orderkey AS version, o_orderpriority AS definition FROM orders WHERE o_orderstatus <> 'P')
-    SELECT o_custkey AS name, o_orderkey AS version, CASE WHEN s.definition IS NULL THEN 'new' WHEN o_orderkey % 12 = 0 THEN 'stored profile version differs' ELSE 'unchanged' END AS status
+    SELECT o_custkey AS name, o_orderkey AS version, CASE WHEN s.definition IS NULL THEN 'new' WHEN o_orderkey % 12 = 0 THEN 'profile_changed' ELSE 'unchanged' END AS status
     FROM orders LEFT JOIN s ON s.name = o_custkey AND s.version = o_orderkey""",
 )
 def profile_versions(t: Tables) -> DataFrame:

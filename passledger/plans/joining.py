@@ -30,7 +30,7 @@ MONTH_US = 30 * DAY_US
       count(*) FILTER (wanted IS NULL) AS unrequested, count(DISTINCT spacecraft_id) AS spacecraft,
       CAST(sum(CASE WHEN wanted THEN n END) AS BIGINT) AS samples,
       CASE WHEN count(DISTINCT spacecraft_id) <> 1 THEN 'Doppler fitting requires one spacecraft'
-        WHEN count(*) FILTER (wanted IS NULL) > 0 THEN 'measurements include an unrequested contact'
+        WHEN count(*) FILTER (wanted IS NULL) > 0 THEN 'unrequested'
         WHEN count(*) FILTER (wanted AND coalesce(n, 0) < 1) > 0 THEN 'insufficient selected Doppler samples' ELSE 'ready' END AS status
     FROM b GROUP BY fit_id""",
 )
@@ -355,7 +355,7 @@ def common_prior(t: Tables) -> DataFrame:
     WITH @passes, f AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_mktsegment <> 'MACHINERY'),
     b AS (SELECT concat('V', c_custkey) AS spacecraft_id, concat('2026-', c_custkey % 7) AS object_id FROM customer WHERE c_acctbal > 5000)
     SELECT p.contact_id, CASE WHEN f.object_id IS NULL THEN 'no reference' WHEN f.object_id = concat('2026-', pass_no % 7) THEN 'cospar'
-      WHEN b.object_id IS NOT NULL THEN 'explicit binding' ELSE 'reference identity differs' END AS binding
+      WHEN b.object_id IS NOT NULL THEN 'explicit binding' ELSE 'other_reference' END AS binding
     FROM passes p LEFT JOIN f ON f.spacecraft_id = p.spacecraft_id LEFT JOIN b ON b.spacecraft_id = p.spacecraft_id AND b.object_id = f.object_id""",
 )
 def reference_binding(t: Tables) -> DataFrame:
@@ -404,9 +404,9 @@ def reconcile_attempts(t: Tables) -> DataFrame:
     f"""
     WITH @passes, a AS (SELECT n_nationkey, concat('A', n_nationkey) AS system_id, n_name FROM nation),
     j AS (SELECT p.contact_id, a.n_name AS antenna_name, c_name AS craft,
-      CASE WHEN a.n_name IS NULL OR priority = '5-LOW' THEN 'antenna identity does not match the contact'
-        WHEN c_name IS NULL THEN 'spacecraft identity does not match the contact'
-        WHEN pass_no % 37 = 0 THEN 'ephemeris spacecraft does not match the contact' ELSE '' END AS reason
+      CASE WHEN a.n_name IS NULL OR priority = '5-LOW' THEN 'other_antenna'
+        WHEN c_name IS NULL THEN 'other_spacecraft'
+        WHEN pass_no % 37 = 0 THEN 'other_ephemeris' ELSE '' END AS reason
       FROM passes p LEFT JOIN a ON a.system_id = p.system_id LEFT JOIN customer c ON concat('V', c_custkey) = p.spacecraft_id AND c_mktsegment <> 'HOUSEHOLD')
     SELECT contact_id, antenna_name, craft, reason FROM j""",
 )
@@ -437,8 +437,8 @@ def contact_metadata(t: Tables) -> DataFrame:
     WITH q AS (SELECT o_orderkey AS id, o_custkey AS spacecraft_id, concat('L', o_orderkey % 3) AS link_name, CASE WHEN o_orderkey % 2 = 0 THEN 'up' ELSE 'down' END AS wanted FROM orders),
     l AS (SELECT c_custkey AS spacecraft_id, concat('L', g) AS link_name, CASE WHEN (c_custkey + g) % 2 = 0 THEN 'up' ELSE 'down' END AS direction,
       CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE (c_acctbal + 500) * 100000 END AS frequency_hz FROM customer, (SELECT unnest([0, 1]) AS g)),
-    j AS (SELECT id, frequency_hz AS f, CASE WHEN direction IS NULL THEN 'link is missing' WHEN direction <> wanted THEN 'link has the other direction'
-      WHEN frequency_hz IS NULL THEN 'link has no numeric frequency' WHEN frequency_hz <= 0 THEN 'link frequency must be positive and finite' ELSE '' END AS reason
+    j AS (SELECT id, frequency_hz AS f, CASE WHEN direction IS NULL THEN 'no_link' WHEN direction <> wanted THEN 'link_direction'
+      WHEN frequency_hz IS NULL THEN 'link_number' WHEN frequency_hz <= 0 THEN 'link_frequency' ELSE '' END AS reason
       FROM q LEFT JOIN l ON l.spacecraft_id = q.spacecraft_id AND l.link_name = q.link_name)
     SELECT id, CASE WHEN reason = '' THEN round(f, 3) END AS frequency_hz, reason FROM j""",
 )
@@ -462,8 +462,8 @@ def link_frequency(t: Tables) -> DataFrame:
     """
     WITH @passes, k AS (SELECT concat('A', s_suppkey % 7) AS antenna, 'S' AS band, min(epoch_us(TIMESTAMP '1995-01-01') + s_suppkey * 86400000000 * 300) AS cal, min(s_acctbal) AS corr
       FROM supplier WHERE s_acctbal > 500 GROUP BY 1),
-    j AS (SELECT contact_id, corr, CASE WHEN cal IS NULL THEN 'no reviewed calibration' WHEN cal // 86400000000 > start_us // 86400000000
-      THEN 'calibration date is later than the contact start' ELSE '' END AS reason FROM passes LEFT JOIN k ON k.antenna = system_id)
+    j AS (SELECT contact_id, corr, CASE WHEN cal IS NULL THEN 'no_calibration' WHEN cal // 86400000000 > start_us // 86400000000
+      THEN 'calibration_later' ELSE '' END AS reason FROM passes LEFT JOIN k ON k.antenna = system_id)
     SELECT contact_id, CASE WHEN reason = '' THEN corr END AS correction_hz, reason FROM j""",
 )
 def station_calibration(t: Tables) -> DataFrame:

@@ -114,7 +114,7 @@ def omission_plan(t: Tables) -> DataFrame:
        AND b.ord BETWEEN a.ord - size + 1 AND a.ord GROUP BY 1, 2, 3)
     SELECT p.contact_id AS anchor_id, s.size, coalesce(ids, '') AS contact_ids,
       CASE WHEN m.ord IS NULL THEN 'screening_failed' WHEN m.ord >= s.size THEN 'ready' ELSE 'warm_up' END AS status,
-      CASE WHEN m.ord IS NULL THEN 'anchor failed quality gates' ELSE '' END AS reason
+      CASE WHEN m.ord IS NULL THEN 'anchor_gated' ELSE '' END AS reason
     FROM passes p CROSS JOIN s LEFT JOIN m ON m.anchor_id = p.contact_id AND m.size = s.size""",
 )
 def causal_last_n(t: Tables) -> DataFrame:
@@ -129,7 +129,7 @@ def causal_last_n(t: Tables) -> DataFrame:
        round(amount / 1000, 1) AS trace FROM passes),
     v AS (SELECT *, row_number() OVER (PARTITION BY fit_id ORDER BY trace, -stop_us, contact_id) AS place, count(*) OVER (PARTITION BY fit_id) AS n FROM c WHERE rank = 6)
     SELECT c.fit_id, c.contact_id, coalesce(place <= ceil(n * 0.4), false) AS selected, CASE WHEN c.rank IS NULL THEN 'pilot failed' WHEN c.rank < 6 THEN 'rank deficient'
-      WHEN place <= ceil(n * 0.4) THEN 'selected' ELSE 'below retained fraction' END AS reason FROM c LEFT JOIN v ON v.contact_id = c.contact_id""",
+      WHEN place <= ceil(n * 0.4) THEN 'selected' ELSE 'below_fraction' END AS reason FROM c LEFT JOIN v ON v.contact_id = c.contact_id""",
 )
 def top_fraction(t: Tables) -> DataFrame:
     candidates = t.passes.selectExpr(

@@ -206,7 +206,7 @@ _selected(
 _selected(
     "select_quality",
     "F03",
-    sel.quality,
+    lambda: sel.QualityRule().column(),
     f"{_LOCKED} AND isfinite(ebn0) AND ebn0 >= 3 AND abs(doppler_hz) < 100000",
 )
 _selected("select_strict", "F04", sel.strict, f"{_LOCKED} AND isfinite(ebn0) AND ebn0 > 5")
@@ -224,9 +224,9 @@ _selected("select_strict", "F04", sel.strict, f"{_LOCKED} AND isfinite(ebn0) AND
 def selector_dispatch(t: Tables) -> DataFrame:
     frame = t.telemetry
     variants = {
-        "default": sel.select_for_fit(frame),
-        "gated": sel.select_for_fit(frame, min_ebn0_db=6.0, max_abs_offset_hz=40000.0),
-        "explicit": sel.select_for_fit(frame, selector=lambda d: d.where(sel.timing())),
+        "default": sel.rows_to_fit(frame),
+        "gated": sel.rows_to_fit(frame, sel.QualityRule(6.0, 40_000.0)),
+        "explicit": sel.rows_to_fit(frame, lambda d: d.where(sel.timing())),
     }
     parts = [
         kept.agg(F.count(F.lit(1)).alias("n")).select(F.lit(rule).alias("rule"), "n")
@@ -280,7 +280,7 @@ _COUNTS = f"""
       count(*) FILTER ({_LOCKED} AND ebn0 >= 3 AND abs(doppler_hz) < 100000) AS retained_samples
       FROM telemetry GROUP BY contact_id)"""
 _REASON = """CASE WHEN retained_samples >= 20 THEN ''
-      ELSE concat(retained_samples, ' quality-retained samples; need 20') END"""
+      ELSE concat(retained_samples, ' of 20') END"""
 
 
 @query(
@@ -293,7 +293,7 @@ _REASON = """CASE WHEN retained_samples >= 20 THEN ''
 def selection_counts(t: Tables) -> DataFrame:
     absent = t.table("customer").select(F.concat(F.lit("N"), "c_custkey").alias("contact_id"))
     wanted = t.contacts.select("contact_id").unionByName(absent)
-    return sel.selection_counts(wanted, t.telemetry, sel.quality())
+    return sel.selection_counts(wanted, t.telemetry, sel.QualityRule().column())
 
 
 @query(
@@ -303,7 +303,7 @@ def selection_counts(t: Tables) -> DataFrame:
     FROM contacts c JOIN n ON n.contact_id = c.contact_id""",
 )
 def pass_gate(t: Tables) -> DataFrame:
-    counts = sel.selection_counts(t.contacts.select("contact_id"), t.telemetry, sel.quality())
+    counts = sel.selection_counts(t.contacts.select("contact_id"), t.telemetry, sel.QualityRule().column())
     return counts.withColumn("reason", sel.gate_reason(20))
 
 
@@ -320,7 +320,7 @@ def pass_gate(t: Tables) -> DataFrame:
 )
 def inventory(t: Tables) -> DataFrame:
     counts = sel.selection_counts(
-        t.contacts.select("contact_id", "start_us"), t.telemetry, sel.quality()
+        t.contacts.select("contact_id", "start_us"), t.telemetry, sel.QualityRule().column()
     )
     timing = t.telemetry.groupBy("contact_id").agg(F.count_if(sel.timing()).alias("timing_samples"))
     return (

@@ -108,7 +108,7 @@ def _score_check(after: str) -> str:
     SELECT c.fit_id, c.solution, coalesce(sample_count, 0) AS sample_count,
       CASE WHEN sample_count IS NULL THEN 'unavailable' WHEN complete THEN 'complete' ELSE 'partial' END AS coverage,
       first_sample_us, last_sample_us,
-      CASE WHEN complete THEN '' ELSE 'reference does not cover the complete scoring hour' END AS reason, {outer}
+      CASE WHEN complete THEN '' ELSE 'hour_uncovered' END AS reason, {outer}
     FROM c LEFT JOIN s ON s.fit_id = c.fit_id AND s.solution = c.solution"""
 
 
@@ -311,7 +311,7 @@ def gps_in_span(t: Tables) -> DataFrame:
     WITH @state_errors, w AS (SELECT p_partkey AS window_id, p_partkey * 7 % (SELECT count(*) FROM supplier) AS fit_id,
         {ORIGIN_US} + (p_partkey % 9) * {HOUR_US} AS start_us, {ORIGIN_US} + (p_partkey % 9) * {HOUR_US} + (p_partkey % 30) * {MINUTE_US} + 1 AS stop_us FROM part)
     SELECT window_id, count(dx_m) AS samples, {rd(f'sqrt(avg({_P2})) / 1000')} AS position_rmse_km,
-      {rd(f'sqrt(avg({_V2}))')} AS velocity_rmse_m_s, CASE WHEN count(dx_m) = 0 THEN 'no reference samples in interval' ELSE '' END AS reason
+      {rd(f'sqrt(avg({_V2}))')} AS velocity_rmse_m_s, CASE WHEN count(dx_m) = 0 THEN 'no_samples' ELSE '' END AS reason
     FROM w LEFT JOIN (SELECT * FROM state_errors WHERE solution = 'fitted') s ON s.fit_id = w.fit_id AND t_us BETWEEN start_us AND stop_us GROUP BY 1""",
 )
 def interval_orbit_score(t: Tables) -> DataFrame:

@@ -31,7 +31,7 @@ _SOLS = ("source", "prior", "corrected")
     a AS (SELECT contact_id, {', '.join(f"{rd(f'median(d) FILTER (solution = {s!r})')} AS {s}_median_km, {rd(f'sqrt(avg(d*d) FILTER (solution = {s!r}))')} AS {s}_rms_km" for s in _SOLS)},
        count(*) FILTER (solution = 'source') AS n FROM u GROUP BY 1)
     SELECT c.contact_id, success, coalesce(n, 0) AS gps_fixes, coalesce(n, 0) >= 5 AS primary, {', '.join(f'{s}_median_km, {s}_rms_km' for s in _SOLS)},
-      CASE WHEN NOT success THEN 'optimizer did not converge' WHEN coalesce(n, 0) = 0 THEN 'no position fixes in the accepted window' ELSE '' END AS reason
+      CASE WHEN NOT success THEN 'not_converged' WHEN coalesce(n, 0) = 0 THEN 'no_fixes' ELSE '' END AS reason
     FROM c LEFT JOIN a USING (contact_id)""".replace("primary,", '"primary",'),
 )
 def contact_results(t: Tables) -> DataFrame:
@@ -152,14 +152,14 @@ _QUALIFY = """
     q AS (SELECT spacecraft_id, method, prefix_count, count(*) AS folds, count(*) FILTER (success AND accepted) AS accepted_folds, count(position_rmse_km) AS scored_folds,
        median(CASE WHEN success AND accepted THEN position_rmse_km ELSE 1e300 END) AS md, count(*) FILTER (coverage NOT IN ('complete', 'unknown')) AS unc,
        count(*) FILTER (success AND accepted AND position_rmse_km IS NULL) AS uns FROM folds WHERE held_ordinal > 0 GROUP BY 1, 2, 3),
-    qq AS (SELECT *, CASE WHEN unc > 0 THEN 'reference coverage unavailable' WHEN uns > 0 THEN 'reference accuracy unavailable' WHEN md > 1e299 THEN 'non-attainment: failed/rejected folds' ELSE 'available' END AS status FROM q)"""
+    qq AS (SELECT *, CASE WHEN unc > 0 THEN 'uncovered' WHEN uns > 0 THEN 'unscored' WHEN md > 1e299 THEN 'not_attained' ELSE 'available' END AS status FROM q)"""
 _PREFIXES = """
     s AS (SELECT spacecraft_id, method, prefix_count, count(*) FILTER (held_ordinal = 0) AS fu, count(*) FILTER (held_ordinal > 0) AS planned_folds,
        count(DISTINCT CASE WHEN held_ordinal > 0 THEN held_ordinal END) AS di, max(CASE WHEN held_ordinal = 0 THEN position_rmse_km END) AS full_prefix_rmse_km, max(elapsed_hours) AS elapsed_hours FROM folds GROUP BY 1, 2, 3),
     sw AS (SELECT s.*, fu = 1 AND planned_folds = CASE WHEN s.prefix_count > 1 THEN s.prefix_count ELSE 0 END AND di = planned_folds AS whole, accepted_folds, scored_folds, md, status AS st
        FROM s LEFT JOIN qq ON qq.spacecraft_id = s.spacecraft_id AND qq.method = s.method AND qq.prefix_count = s.prefix_count),
     prefixes AS (SELECT spacecraft_id, method, prefix_count, elapsed_hours, planned_folds, coalesce(accepted_folds, 0) AS accepted_folds, coalesce(scored_folds, 0) AS scored_folds,
-       CASE WHEN whole AND st = 'available' THEN md END AS median_km, CASE WHEN NOT whole THEN 'incomplete or duplicate omission folds' WHEN st IS NULL THEN 'single-pass CV unavailable' ELSE st END AS status, full_prefix_rmse_km FROM sw)"""
+       CASE WHEN whole AND st = 'available' THEN md END AS median_km, CASE WHEN NOT whole THEN 'folds_incomplete' WHEN st IS NULL THEN 'single-pass CV unavailable' ELSE st END AS status, full_prefix_rmse_km FROM sw)"""
 _ATTAIN = """
     tr AS (SELECT *, unnest([5.0, 2.0]) AS threshold_km FROM prefixes),
     attain AS (SELECT spacecraft_id, method, CAST(threshold_km AS DOUBLE) AS threshold_km, min(elapsed_hours) FILTER (median_km < threshold_km) AS h,
@@ -216,7 +216,7 @@ def prefix_summary(t: Tables) -> DataFrame:
     "first_attainment",
     "A23",
     f"""WITH @passes, {_FOLDS}, {_QUALIFY}, {_PREFIXES}, {_ATTAIN} SELECT spacecraft_id, method, threshold_km, {rd('h')} AS first_attainment_hours, prefix_count, {rd('median_km')} AS median_km,
-      {rd('last_h')} AS last_available_hours, CASE WHEN h IS NULL THEN 'not demonstrated in available inventory' ELSE 'attained' END AS status,
+      {rd('last_h')} AS last_available_hours, CASE WHEN h IS NULL THEN 'not_shown' ELSE 'attained' END AS status,
       coalesce(h <= 8, false) AS attained_by_8h, coalesce(h <= 16, false) AS attained_by_16h, coalesce(h <= 24, false) AS attained_by_24h FROM attain""",
 )
 def first_attainment(t: Tables) -> DataFrame:
@@ -248,9 +248,9 @@ def population_attainment(t: Tables) -> DataFrame:
        CASE WHEN o_orderkey % 31 = 0 THEN 'saved fit lacks replay metadata' ELSE '' END AS why, o_orderkey % 6 + 1 AS req, o_orderkey % 17 = 0 AS ab, o_orderstatus <> 'P' AS ok FROM orders),
     j AS (SELECT f.*, tot, mi, coalesce(p = req, false) AS known FROM f LEFT JOIN k ON k.fit_id = f.fit_id),
     z AS (SELECT fit_id, tot, mi, concat_ws('; ', CASE WHEN why <> '' THEN why END, CASE WHEN why = '' AND rk < pc THEN 'rank-deficient scaled Jacobian' END,
-       CASE WHEN why = '' AND dof <= 0 THEN 'no residual degrees of freedom' END, CASE WHEN why = '' AND cond > 1e6 THEN 'condition number exceeds 1e+06' END,
-       CASE WHEN NOT known THEN 'retained observation counts unavailable' END, CASE WHEN known AND tot < 60 THEN 'fewer than 60 retained samples per fit' END,
-       CASE WHEN ab THEN 'parameters at active bounds' END, CASE WHEN NOT ok THEN 'fit/preparation unsuccessful' END) AS rr FROM j)
+       CASE WHEN why = '' AND dof <= 0 THEN 'no_freedom' END, CASE WHEN why = '' AND cond > 1e6 THEN 'condition number exceeds 1e+06' END,
+       CASE WHEN NOT known THEN 'no_counts' END, CASE WHEN known AND tot < 60 THEN 'fewer than 60 retained samples per fit' END,
+       CASE WHEN ab THEN 'at_a_bound' END, CASE WHEN NOT ok THEN 'fit/preparation unsuccessful' END) AS rr FROM j)
     SELECT fit_id, tot AS fit_sample_count, mi AS minimum_pass_sample_count, rr = '' AS quality_accepted, rr AS rejection_reasons FROM z""",
 )
 def quality_decision(t: Tables) -> DataFrame:

@@ -15,9 +15,6 @@ _SETTINGS = {
     # A third of the rows may share one join key: split it even if that costs
     # one more exchange further up.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
-    # A generated method beyond this size is never compiled by the JVM; such a
-    # stage (the polynomials of a stencil) runs faster without fused code.
-    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

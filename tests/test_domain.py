@@ -32,16 +32,16 @@ def test_selectors_at_their_thresholds(spark):
         return {r.id for r in frame.where(rule).collect()}
 
     assert kept(selectors.locked_finite()) == {1, 5, 6, 7, 10}
-    assert kept(selectors.quality()) == {1, 7, 10}
+    assert kept(selectors.QualityRule().column()) == {1, 7, 10}
     assert kept(selectors.strict()) == {5, 10}
     assert kept(selectors.timing()) == {1, 4, 5, 6}
 
 
 def test_selector_arguments_are_checked(spark):
     with pytest.raises(ValueError):
-        selectors.quality(NAN)
+        selectors.QualityRule(least_ebn0_db=NAN)
     with pytest.raises(ValueError):
-        selectors.select_for_fit(None, selector=lambda d: d, min_ebn0_db=3.0)
+        selectors.QualityRule(offset_below_hz=-1.0)
     with pytest.raises(ValueError):
         selectors.gate_reason(0)
 
@@ -113,9 +113,9 @@ def test_qualification_with_failures(spark):
     frame = spark.createDataFrame(rows, "k string, success boolean, accepted boolean, position_rmse_km double, coverage string")
     got = {r.k: (r.median_km, r.status) for r in study.qualification(frame, ["k"]).collect()}
     assert got["a"] == (3.0, "available")
-    assert got["b"] == (None, "non-attainment: failed/rejected folds")
-    assert got["c"] == (None, "reference coverage unavailable")
-    assert got["d"] == (None, "reference accuracy unavailable")
+    assert got["b"] == (None, "not_attained")
+    assert got["c"] == (None, "uncovered")
+    assert got["d"] == (None, "unscored")
 
 
 def test_population_keeps_non_attaining_members(spark):
@@ -167,9 +167,9 @@ def test_measurement_columns_are_required(spark):
 
 
 def test_gps_column_choice():
-    assert gps.column_with(["Time", "x_bestxyz_x_pos_f.m"], "bestxyz_x_pos_f.") == "x_bestxyz_x_pos_f.m"
+    assert gps.export_columns(["Time", "x_bestxyz_x_pos_f.m"], {"x": "bestxyz_x_pos_f."}) == {"x": "x_bestxyz_x_pos_f.m"}
     with pytest.raises(ValueError):
-        gps.column_with(["a1", "a2"], "a")
+        gps.export_columns(["a1", "a2"], {"a": "a"})
 
 
 def _message(*extra, frame="EME2000"):

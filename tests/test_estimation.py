@@ -147,11 +147,11 @@ def test_held_out_equals_refits(spark):
         assert got[held].holdout_fitted_bias_hz == pytest.approx(-e.mean())
 
 
-def test_sweep_offsets():
-    grid = estimate.sweep_offsets(-0.5, 0.5, 0.25)
+def test_sweep_column(spark):
+    grid = spark.range(1).select(estimate.sweep_column(-0.5, 0.5, 0.25)).first()[0]
     assert grid == [-0.5, -0.35, -0.25, 0.0, 0.25, 0.35, 0.5]
     with pytest.raises(ValueError):
-        estimate.sweep_offsets(1, 0, 0.1)
+        estimate.sweep_column(1, 0, 0.1)
 
 
 def test_stencil_bucket_does_not_matter(spark, observations):
