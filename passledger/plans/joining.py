@@ -23,7 +23,7 @@ MONTH_US = 30 * DAY_US
     """
     WITH @passes, q AS (SELECT pass_no // 6 AS fit_id, contact_id FROM passes WHERE NOT (status = 'P' AND priority = '5-LOW')),
     cr AS (SELECT contact_id, CASE WHEN pass_no % 40 = 3 THEN spacecraft_id ELSE concat('V', pass_no // 6) END AS spacecraft_id FROM passes),
-    s AS (SELECT l_orderkey // 6 AS fit_id, concat('P', l_orderkey) AS contact_id, count(*) AS n FROM lineitem WHERE l_quantity > 4 GROUP BY 1, 2),
+    s AS (SELECT l_orderkey // 6 AS fit_id, concat('P', l_orderkey) AS contact_id, count(*) AS n FROM lineitem GROUP BY 1, 2),
     w AS (SELECT q.fit_id, q.contact_id, spacecraft_id, true AS wanted FROM q LEFT JOIN cr USING (contact_id)),
     b AS (SELECT * FROM w FULL JOIN s USING (fit_id, contact_id))
     SELECT fit_id, count(wanted) AS requested, count(*) FILTER (wanted AND coalesce(n, 0) < 1) AS insufficient,
@@ -43,7 +43,6 @@ def preparation_check(t: Tables) -> DataFrame:
     )
     selected = (
         t.table("lineitem")
-        .where("l_quantity > 4")
         .selectExpr("l_orderkey div 6 AS fit_id", "concat('P', l_orderkey) AS contact_id")
     )
     return joins.preparation_check(requests, contacts, selected, 1)
@@ -460,8 +459,8 @@ def link_frequency(t: Tables) -> DataFrame:
     "station_calibration",
     "S23",
     """
-    WITH @passes, k AS (SELECT concat('A', s_suppkey % 7) AS antenna, 'S' AS band, min(epoch_us(TIMESTAMP '1995-01-01') + s_suppkey * 86400000000 * 300) AS cal, min(s_acctbal) AS corr
-      FROM supplier WHERE s_acctbal > 500 GROUP BY 1),
+    WITH @passes, k AS (SELECT concat('A', s_suppkey % 5) AS antenna, 'S' AS band, min(epoch_us(TIMESTAMP '1995-01-01') + s_suppkey * 86400000000 * 300) AS cal, min(s_acctbal) AS corr
+      FROM supplier GROUP BY 1),
     j AS (SELECT contact_id, corr, CASE WHEN cal IS NULL THEN 'no_calibration' WHEN cal // 86400000000 > start_us // 86400000000
       THEN 'calibration_later' ELSE '' END AS reason FROM passes LEFT JOIN k ON k.antenna = system_id)
     SELECT contact_id, CASE WHEN reason = '' THEN corr END AS correction_hz, reason FROM j""",
@@ -469,8 +468,7 @@ def link_frequency(t: Tables) -> DataFrame:
 def station_calibration(t: Tables) -> DataFrame:
     calibrations = (
         t.table("supplier")
-        .where("s_acctbal > 500")
-        .groupBy(F.concat(F.lit("A"), F.col("s_suppkey") % 7).alias("antenna"), F.lit("S").alias("band"))
+        .groupBy(F.concat(F.lit("A"), F.col("s_suppkey") % 5).alias("antenna"), F.lit("S").alias("band"))
         .agg(
             F.min(F.expr("788918400000000 + s_suppkey * 86400000000 * 300")).alias("calibrated_us"),
             F.min("s_acctbal").alias("correction_hz"),

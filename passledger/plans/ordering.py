@@ -54,22 +54,14 @@ def group_expansion(t: Tables) -> DataFrame:
 @query(
     "group_members",
     "J08",
-    f"""WITH @passes, {_ORDERED} SELECT a.contact_id AS last_contact_id, count(*) AS pass_count, string_agg(b.contact_id, ',' ORDER BY b.ord) AS contact_ids
-    FROM o a JOIN o b ON a.spacecraft_id = b.spacecraft_id AND b.ord BETWEEN a.ord - 2 AND a.ord WHERE a.ord >= 3 GROUP BY 1""",
+    f"""WITH @passes, {_ORDERED}, fam AS (SELECT * FROM (VALUES ('timing', 'single', 0), ('timing', 'cumulative', 1), ('sgp4_L+n', 'rolling', 2),
+        ('sgp4_L+n', 'cumulative', 3), ('full_state', 'cumulative', 4)) v(method, strategy, family_rank)),
+    g AS (SELECT o.*, method, strategy, CASE strategy WHEN 'single' THEN ord WHEN 'rolling' THEN ord - 2 ELSE 1 END AS low FROM o, fam WHERE strategy <> 'rolling' OR ord >= 3)
+    SELECT g.method, g.strategy, g.contact_id AS last_contact_id, b.ord AS ordinal, b.contact_id FROM g JOIN o b ON g.spacecraft_id = b.spacecraft_id AND b.ord BETWEEN low AND g.ord""",
 )
 def group_members(t: Tables) -> DataFrame:
-    plan = planning.group_expansion(t.passes, t.passes).where("strategy = 'rolling'")
-    members = planning.group_members(plan, planning.pass_order(t.passes))
-    # Three members per rolling group.
-    return members.groupBy("last_contact_id").agg(
-        F.count(F.lit(1)).alias("pass_count"),
-        F.array_join(
-            F.transform(
-                F.array_sort(F.collect_list(F.struct("ordinal", "contact_id"))), lambda m: m["contact_id"]
-            ),
-            ",",
-        ).alias("contact_ids"),
-    )
+    members = planning.group_members(planning.group_expansion(t.passes, t.passes), planning.pass_order(t.passes))
+    return members.select("method", "strategy", "last_contact_id", "ordinal", "contact_id")
 
 
 @query(

@@ -350,25 +350,53 @@ def angle_lines(t: Tables) -> DataFrame:
     return tracking_data.angle_lines(_angle_observations(t).where("reason = ''"))
 
 
+_HEAD = """
+    hs AS (SELECT s_suppkey AS contact_id, s_name AS name, s_nationkey AS lat, s_suppkey % 9 AS lg, CASE WHEN s_suppkey % 4 = 0 THEN 'X' ELSE 'S' END AS band FROM supplier),
+    hl AS (SELECT contact_id, kind, unnest(generate_series(1, len(x))) AS p, unnest(x) AS x FROM (SELECT contact_id, kind, list_concat(
+      ['CCSDS_TDM_VERS = 2.0', CASE kind WHEN 'TRACK' THEN 'COMMENT Radiometric Tracking Data' ELSE 'COMMENT Antenna Pointing Angles' END,
+       concat('COMMENT Ground antenna: ', name, ' SITE'), concat('COMMENT WGS84 coordinates: lat=', lat, ', long=2, alt=3'),
+       'COMMENT ECEF coordinates: X=1.000, Y=2.000, Z=3.500', concat('COMMENT Pedestal offset: Lg=', lg, ' meters'),
+       concat('COMMENT ', CASE kind WHEN 'TRACK' THEN concat(band, '-band ') ELSE '' END, 'TLT calibration date: 2026-01-02'),
+       'COMMENT Spacecraft: CRAFT', 'COMMENT COSPAR: 2026-001A Catalog: 00001', 'CREATION_DATE = 2026-01-01T00:00:00', 'ORIGINATOR = TEST', '', 'META_START'],
+      CASE kind WHEN 'TRACK' THEN ['COMMENT Range Tracking Data: Mode 4=Doppler only'] ELSE [] END,
+      ['TIME_SYSTEM = UTC', concat('PARTICIPANT_1 = ', name), 'PARTICIPANT_2 = 2026-001A'],
+      CASE kind WHEN 'TRACK' THEN ['MODE = SEQUENTIAL', concat('TRANSMIT_BAND = ', band), concat('RECEIVE_BAND = ', band), 'TURNAROUND_NUMERATOR = 240',
+        'TURNAROUND_DENOMINATOR = 221', 'INTEGRATION_INTERVAL = 1.0', 'INTEGRATION_REF = END', concat('CORRECTION_DOPPLER = ', lg), 'CORRECTIONS_APPLIED = NO', 'PATH = 1,2,1']
+        ELSE [concat('RECEIVE_BAND = ', band), 'ANGLE_TYPE = AZEL'] END,
+      ['META_STOP', '', 'DATA_START']) AS x FROM hs, (SELECT unnest(['TRACK', 'ANGLE']) AS kind)))"""
+
+
+def _headers(t: Tables, kind: str) -> DataFrame:
+    contacts = t.table("supplier").selectExpr(
+        "s_suppkey AS contact_id", "s_name AS antenna", "'SITE' AS location", "CAST(s_nationkey AS STRING) AS latitude", "'2' AS longitude", "'3' AS altitude",
+        "1.0D AS ecef_x", "2.0D AS ecef_y", "3.5D AS ecef_z", "'CRAFT' AS spacecraft", "'2026-001A' AS cospar", "'00001' AS catalog",
+        "CASE WHEN s_suppkey % 4 = 0 THEN 'X' ELSE 'S' END AS band", "s_suppkey % 9 AS pedestal_offset_m", "DATE '2026-01-02' AS calibration_date",
+        "s_suppkey % 9 AS correction_doppler_hz",
+    )
+    return tracking_data.header_lines(contacts, kind=kind, originator="TEST", created="2026-01-01T00:00:00")
+
+
+@query("export_headers", "S15 S16", f"WITH {_HEAD} SELECT contact_id, kind, p - 1 AS part, x AS text FROM hl")
+def export_headers(t: Tables) -> DataFrame:
+    both = [_headers(t, k).withColumn("kind", F.lit(k)) for k in ("TRACK", "ANGLE")]
+    return both[0].unionByName(both[1]).select("contact_id", "kind", "part", "text")
+
+
 @query(
-    "export_headers",
+    "export_files",
     "S15 S16",
-    """SELECT s_suppkey AS contact_id, count(*) AS lines, string_agg(x, '|' ORDER BY p) AS head FROM (SELECT s_suppkey, unnest([1, 2, 3, 4]) AS p,
-      unnest(['CCSDS_TDM_VERS = 2.0', 'COMMENT Antenna Pointing Angles', concat('COMMENT Ground antenna: ', s_name, ' SITE'), concat('COMMENT Pedestal offset: ', CASE WHEN s_suppkey % 3 = 0 THEN 'UNKNOWN' ELSE concat('Lg=', s_suppkey % 9, ' meters') END)]) AS x FROM supplier) GROUP BY 1""",
+    f"""WITH {_TRACK}, {_HEAD}, ok AS (SELECT contact_id, t_us, lo[1] AS tx FROM tg WHERE lo = hi),
+    n AS (SELECT contact_id, count(*) + count(*) FILTER (prev IS DISTINCT FROM tx) AS data_lines
+       FROM (SELECT *, lag(tx) OVER (PARTITION BY contact_id ORDER BY t_us) AS prev FROM ok) GROUP BY 1)
+    SELECT h.contact_id, count(*) + 1 + max(coalesce(data_lines, 0)) AS lines, max(coalesce(data_lines, 0)) AS data_lines
+    FROM hl h LEFT JOIN n ON n.contact_id = h.contact_id WHERE kind = 'TRACK' GROUP BY 1""",
 )
-def export_headers(t: Tables) -> DataFrame:
-    contacts = t.table("supplier").selectExpr(
-        "s_suppkey AS contact_id", "s_name AS antenna", "'SITE' AS location", "'1' AS latitude", "'2' AS longitude", "'3' AS altitude",
-        "1.0D AS ecef_x", "2.0D AS ecef_y", "3.0D AS ecef_z", "'CRAFT' AS spacecraft", "'2026-001A' AS cospar", "'00001' AS catalog", "'S' AS band",
-        "CASE WHEN s_suppkey % 3 <> 0 THEN s_suppkey % 9 END AS pedestal_offset_m", "CAST(NULL AS DATE) AS calibration_date",
-    )
-    head = tracking_data.header_lines(contacts, kind="ANGLE", originator="TEST", created="2026-01-01T00:00:00")
-    chosen = head.where(F.col("part").isin(0, 1, 2, 5))
-    return chosen.groupBy("contact_id").agg(
-        F.count(F.lit(1)).alias("lines"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "|"
-        ).alias("head"),
+def export_files(t: Tables) -> DataFrame:
+    """The TRACK files of all contacts, written and read back."""
+    path = scratch_path(t.spark, "track-files")
+    tracking_data.write_exports(_headers(t, "TRACK"), track_lines(t), path)
+    return t.spark.read.text(path).groupBy(F.col("contact_id").cast("long").alias("contact_id")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("value").rlike("^(TRANSMIT|RECEIVE)_FREQ_1 = ")).alias("data_lines")
     )
 
 

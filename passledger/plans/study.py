@@ -25,7 +25,7 @@ _SOLS = ("source", "prior", "corrected")
 @query(
     "contact_results",
     "A14",
-    f"""WITH @state_errors, e AS (SELECT fit_id * 2 + segment AS contact_id, CASE solution WHEN 'fitted' THEN 'corrected' ELSE solution END AS solution, {_NORM} AS d FROM state_errors WHERE dx_m > 22),
+    f"""WITH @state_errors, e AS (SELECT fit_id * 2 + segment AS contact_id, CASE solution WHEN 'fitted' THEN 'corrected' ELSE solution END AS solution, {_NORM} AS d FROM state_errors),
     c AS (SELECT s_suppkey * 2 + g AS contact_id, (s_suppkey + g) % 6 <> 0 AS success FROM supplier, (SELECT unnest([0, 1]) AS g)),
     u AS (SELECT e.*, success FROM e JOIN c USING (contact_id) WHERE solution <> 'corrected' OR success),
     a AS (SELECT contact_id, {', '.join(f"{rd(f'median(d) FILTER (solution = {s!r})')} AS {s}_median_km, {rd(f'sqrt(avg(d*d) FILTER (solution = {s!r}))')} AS {s}_rms_km" for s in _SOLS)},
@@ -40,7 +40,7 @@ def contact_results(t: Tables) -> DataFrame:
 
 
 def _contact_results(t: Tables) -> DataFrame:
-    errors = t.state_errors.where("dx_m > 22").selectExpr(
+    errors = t.state_errors.selectExpr(
         "fit_id * 2 + segment AS contact_id",
         "CASE solution WHEN 'fitted' THEN 'corrected' ELSE solution END AS solution",
         f"{_NORM} AS error_km",
@@ -147,7 +147,10 @@ _FOLDS = f"""
        (c * 5 + prefix_count + held_ordinal * 3 + m) % 6 <> 0 AS accepted,
        CASE WHEN (c + prefix_count * held_ordinal) % 29 = 0 THEN NULL ELSE ((c * 31 + prefix_count * 170 + held_ordinal * 13 + m) % 900) / 100.0 END AS position_rmse_km,
        CASE WHEN c % 19 = 0 THEN 'partial' ELSE 'complete' END AS coverage, (stop_us - f) / {YEARS_US} * 24.0 AS elapsed_hours FROM x
-       WHERE NOT (prefix_count = 5 AND held_ordinal = 2))"""
+       )"""
+# A study that lost some of its folds.
+_GAP = "NOT (prefix_count = 5 AND held_ordinal = 2)"
+_LOST = f"{_FOLDS.rstrip().removesuffix(')')} WHERE {_GAP})"
 _QUALIFY = """
     q AS (SELECT spacecraft_id, method, prefix_count, count(*) AS folds, count(*) FILTER (success AND accepted) AS accepted_folds, count(position_rmse_km) AS scored_folds,
        median(CASE WHEN success AND accepted THEN position_rmse_km ELSE 1e300 END) AS md, count(*) FILTER (coverage NOT IN ('complete', 'unknown')) AS unc,
@@ -170,8 +173,7 @@ _ATTAIN = """
 def fold_rows(t: Tables) -> DataFrame:
     """The stored fold table of a study: planned folds with stand-in outcomes.
 
-    Some folds are missing on purpose. The statistics read the table several
-    times, so it is written once.
+    The statistics read the table several times, so it is written once.
     """
     window = planning.first_window(t.passes, YEARS_US)
     ordered = planning.pass_order(window)
@@ -187,7 +189,7 @@ def fold_rows(t: Tables) -> DataFrame:
         f"(({c} * 31 + prefix_count * 170 + held_ordinal * 13 + {m}) % 900) / 100.0D END AS position_rmse_km",
         f"CASE WHEN {c} % 19 = 0 THEN 'partial' ELSE 'complete' END AS coverage",
         f"(checkpoint_us - f) / {YEARS_US} * 24.0D AS elapsed_hours",
-    ).where("NOT (prefix_count = 5 AND held_ordinal = 2)")
+    )
     return cut_lineage(rows)
 
 
@@ -205,11 +207,11 @@ def qualification_median(t: Tables) -> DataFrame:
 @query(
     "prefix_summary",
     "A22",
-    f"""WITH @passes, {_FOLDS}, {_QUALIFY}, {_PREFIXES} SELECT spacecraft_id, method, prefix_count, {rd('elapsed_hours')} AS elapsed_hours, planned_folds, accepted_folds, scored_folds,
+    f"""WITH @passes, {_LOST}, {_QUALIFY}, {_PREFIXES} SELECT spacecraft_id, method, prefix_count, {rd('elapsed_hours')} AS elapsed_hours, planned_folds, accepted_folds, scored_folds,
       {rd('median_km')} AS median_km, status, {rd('full_prefix_rmse_km')} AS full_prefix_rmse_km FROM prefixes""",
 )
 def prefix_summary(t: Tables) -> DataFrame:
-    return _rounded(study.prefix_summary(fold_rows(t)), "elapsed_hours", "median_km", "full_prefix_rmse_km")
+    return _rounded(study.prefix_summary(fold_rows(t).where(_GAP)), "elapsed_hours", "median_km", "full_prefix_rmse_km")
 
 
 @query(

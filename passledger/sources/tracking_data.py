@@ -106,15 +106,19 @@ def angle_lines(observations: DataFrame) -> DataFrame:
     )
 
 
-def header_lines(contacts: DataFrame, *, kind: str, originator: str, created: str) -> DataFrame:
+def header_lines(
+    contacts: DataFrame, *, kind: str, originator: str, created: str, turnaround: tuple[int, int] = (240, 221), integration_s: str = "1.0"
+) -> DataFrame:
     """Header and metadata lines per contact.
 
     ``contacts`` holds contact_id, antenna, location, latitude, longitude,
     altitude, ecef_x/y/z, spacecraft, cospar, catalog, band, pedestal_offset_m
-    and calibration_date; null calibration prints UNKNOWN for pointing files.
+    calibration_date and, for TRACK, correction_doppler_hz; null calibration prints
+    UNKNOWN for pointing files.
     """
     if kind not in ("TRACK", "ANGLE"):
         raise ValueError("kind must be TRACK or ANGLE")
+    # Fixed values from here on: comments and keywords of the export format.
     title = "Radiometric Tracking Data" if kind == "TRACK" else "Antenna Pointing Angles"
     pedestal = F.when(
         F.col("pedestal_offset_m").isNotNull(),
@@ -142,13 +146,17 @@ def header_lines(contacts: DataFrame, *, kind: str, originator: str, created: st
         F.lit(f"ORIGINATOR = {originator}"),
         F.lit(""),
         F.lit("META_START"),
+        *([F.lit("COMMENT Range Tracking Data: Mode 4=Doppler only")] if kind == "TRACK" else []),
         F.lit("TIME_SYSTEM = UTC"),
         F.concat(F.lit("PARTICIPANT_1 = "), "antenna"),
         F.concat(F.lit("PARTICIPANT_2 = "), "cospar"),
     ]
     own = (
         [F.lit("MODE = SEQUENTIAL"), F.concat(F.lit("TRANSMIT_BAND = "), "band"),
-         F.concat(F.lit("RECEIVE_BAND = "), "band"), F.lit("PATH = 1,2,1")]
+         F.concat(F.lit("RECEIVE_BAND = "), "band"), F.lit(f"TURNAROUND_NUMERATOR = {turnaround[0]}"),
+         F.lit(f"TURNAROUND_DENOMINATOR = {turnaround[1]}"), F.lit(f"INTEGRATION_INTERVAL = {integration_s}"),
+         F.lit("INTEGRATION_REF = END"), F.concat(F.lit("CORRECTION_DOPPLER = "), F.col("correction_doppler_hz").cast("string")),
+         F.lit("CORRECTIONS_APPLIED = NO"), F.lit("PATH = 1,2,1")]
         if kind == "TRACK"
         else [F.concat(F.lit("RECEIVE_BAND = "), "band"), F.lit("ANGLE_TYPE = AZEL")]
     )

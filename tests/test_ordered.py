@@ -101,3 +101,34 @@ def test_salted_join_keeps_rows(spark, rows):
     names = rows.select("k").distinct().withColumn("name", F.upper("k"))
     joined = salted_join(rows, names, ["k"], F.col("id"), salts=5)
     assert joined.count() == 900 and joined.where("name <> upper(k)").count() == 0
+
+
+def test_null_keys_and_orders_stay(spark):
+    rows = spark.createDataFrame(
+        [(None, 5, 1), (None, None, 2), ("a", None, 3), ("a", 90, 4), ("a", 10, 5), (None, 100, 6)], "k string, t long, id long"
+    )
+    bucket = F.floor(F.col("t") / 40).cast("long")
+    for down in (False, True):
+        order = [F.col(c).desc() if down else F.col(c).asc() for c in ("t", "id")]
+        w = Window.partitionBy("k").orderBy(*order)
+        plain = rows.select("id", F.row_number().over(w).alias("n"), F.lag("id").over(w).alias("p"))
+        ours = ordinal(rows, ["k"], ["t", "id"], bucket, "n", descending=down)
+        ours = prefix(ours, ["k"], ["t", "id"], bucket, {"p": ("last", F.col("id"))}, inclusive=False, descending=down)
+        assert sorted(map(tuple, ours.select("id", "n", "p").collect())) == sorted(map(tuple, plain.collect()))
+
+
+def test_percentiles_with_null_groups_and_nan(spark):
+    nan = float("nan")
+    data = [(None, v) for v in (1.0, 2.0, 4.0)] + [("a", v) for v in (2.0, 5.0, nan)] + [("b", nan), ("b", None)]
+    frame = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: r.m for r in exact_percentiles(frame, ["g"], "v", {"m": 0.5}).collect()}
+    assert got[None] == 2.0 and got["a"] == 5.0 and np.isnan(got["b"])
+
+
+def test_accepted_folds_without_a_number_are_unscored(spark):
+    from passledger.operators.study import qualification
+
+    data = [("k", v) for v in (float("nan"), 1.0, 2.0)] + [("i", float("inf")), ("f", 2.0)]
+    folds = spark.createDataFrame(data, "k string, position_rmse_km double").selectExpr("*", "true success", "true accepted", "'complete' coverage")
+    got = {r.k: (r.status, r.median_km) for r in qualification(folds, ["k"]).collect()}
+    assert got == {"k": ("unscored", None), "i": ("unscored", None), "f": ("available", 2.0)}
