@@ -45,7 +45,8 @@ def test_hot_key_is_not_one_task(rows):
     bucket = F.floor(F.col("t") / 40).cast("long")
     plan = ordinal(rows, ["k"], ["t", "id"], bucket)._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "row_number" in line or "count(1) windowspec" in line]
-    assert windows and all("_bucket" in line for line in windows)
+    groups = [line for line in plan.splitlines() if "AS _group" in line]
+    assert windows and all("_group" in line for line in windows) and all("_bucket" in line for line in groups)
 
 
 @pytest.mark.parametrize("p", [0.0, 0.25, 0.5, 0.95, 1.0])
