@@ -332,7 +332,7 @@ def quality_decision(
     diagnosed = F.col("diagnostic_reason") == ""
     rules = [
         (diagnosed & (F.col("parameter_count") == 0), "no_parameters"),
-        (diagnosed & (F.col("rank") < F.col("parameter_count")), "rank-deficient scaled Jacobian"),
+        (diagnosed & (F.col("rank") < F.col("parameter_count")), "rank"),
         (diagnosed & (F.col("degrees_of_freedom") <= 0), "no_freedom"),
         (
             diagnosed & (F.col("condition_number") > max_condition),

@@ -171,7 +171,7 @@ def phase_scan(t: Tables) -> DataFrame:
 
 
 def _fitted(t: Tables, drift: bool) -> DataFrame:
-    return estimate.joint_fit(observations(t), drift=drift, loss="soft_l1", loss_scale=3.0, steps=7)
+    return estimate.joint_fit(observations(t), drift=drift, loss="soft_l1", loss_scale=3.0, steps=12, tolerance_s=1e-4, tolerance_hz=1e-2)
 
 
 @query("joint_fit", "E04")

@@ -249,7 +249,7 @@ def population_attainment(t: Tables) -> DataFrame:
     f AS (SELECT o_orderkey AS fit_id, o_orderkey % 7 AS rk, 4 AS pc, o_orderkey % 50 - 3 AS dof, o_totalprice * (o_orderkey % 10) AS cond,
        CASE WHEN o_orderkey % 31 = 0 THEN 'saved fit lacks replay metadata' ELSE '' END AS why, o_orderkey % 6 + 1 AS req, o_orderkey % 17 = 0 AS ab, o_orderstatus <> 'P' AS ok FROM orders),
     j AS (SELECT f.*, tot, mi, coalesce(p = req, false) AS known FROM f LEFT JOIN k ON k.fit_id = f.fit_id),
-    z AS (SELECT fit_id, tot, mi, concat_ws('; ', CASE WHEN why <> '' THEN why END, CASE WHEN why = '' AND rk < pc THEN 'rank-deficient scaled Jacobian' END,
+    z AS (SELECT fit_id, tot, mi, concat_ws('; ', CASE WHEN why <> '' THEN why END, CASE WHEN why = '' AND rk < pc THEN 'rank' END,
        CASE WHEN why = '' AND dof <= 0 THEN 'no_freedom' END, CASE WHEN why = '' AND cond > 1e6 THEN 'condition number exceeds 1e+06' END,
        CASE WHEN NOT known THEN 'no_counts' END, CASE WHEN known AND tot < 60 THEN 'fewer than 60 retained samples per fit' END,
        CASE WHEN ab THEN 'at_a_bound' END, CASE WHEN NOT ok THEN 'fit/preparation unsuccessful' END) AS rr FROM j)
