@@ -1,19 +1,20 @@
 """Sequential filters as keyed state: Doppler (three states) and offset (two).
 
-Rows of one key are handled in time order inside a batch. A row older than the
-last one of its key changes nothing and comes out as ``late``.
+Rows of one key are handled in time order: all of a table's, and those inside a batch
+of a stream. There, a row older than the last one of its key changes nothing and comes
+out as ``late``.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from passledger.streaming.runner import keyed
 
 
 @dataclass(frozen=True)
@@ -64,20 +65,19 @@ _DOPPLER_STATE = "t_us long, x array<double>, p array<double>"
 
 
 def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilterConfig()) -> DataFrame:
-    """Filter every contact of a stream of enriched samples.
+    """Filter every contact of a table or stream of enriched samples.
 
     ``samples`` holds contact_id, t_us, sequence (the order of equal times), observed_hz, variance_hz2, predicted_hz
     and slope_hz_s. A row with an unusable number is ``invalid`` and leaves the
     state alone; a gated row keeps only the prediction.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.exists:
-            last, x, p = state.get
+    def advance(key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[list[tuple], tuple | None]:
+        if held is not None:
+            last, x, p = held
             x, p = np.array(x), np.array(p).reshape(3, 3)
         else:
             last, x, p = None, np.array(config.initial_state), np.diag(config.initial_variance)
-        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
         out = []
         for t, z, r, f, s in zip(
             rows["t_us"], rows["observed_hz"], rows["variance_hz2"], rows["predicted_hz"], rows["slope_hz_s"]
@@ -93,19 +93,9 @@ def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilt
                 x, p, accepted, nis = doppler_step(x, p, dt, (z, r, f, s), config)
                 status, last = "accepted" if accepted else "gated", t
             out.append((key[0], t, status, nis, x[0], x[1], x[2], p[0, 0]))
-        if last is not None:
-            state.update((last, x.tolist(), p.ravel().tolist()))
-        yield pd.DataFrame(
-            out,
-            columns=[
-                "contact_id", "t_us", "status", "nis", "time_offset_s", "bias_hz",
-                "carrier_offset_hz", "offset_variance",
-            ],
-        )
-
-    return samples.groupBy("contact_id").applyInPandasWithState(
-        run, DOPPLER_OUTPUT, _DOPPLER_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+        return out, None if last is None else (last, x.tolist(), p.ravel().tolist())
+
+    return keyed(samples, ["contact_id"], advance, DOPPLER_OUTPUT, _DOPPLER_STATE)
 
 
 @dataclass(frozen=True)
@@ -172,19 +162,12 @@ def offset_filter(measurements: DataFrame, config: OffsetFilterConfig = OffsetFi
     ``sequence`` is the order of equal times.
     """
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = state.get if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
+    def advance(key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[list[tuple], tuple | None]:
         out = []
         for e, t, v, r in zip(rows["ephemeris_id"], rows["t_us"], rows["offset_s"], rows["variance"]):
             held, status, nis = offset_step(held, e, int(t), float(v), float(r), config)
             shown = held if held is not None else (None,) * 9
             out.append((*key, e, int(t), status, nis, shown[2], shown[3], shown[4], shown[7], shown[8]))
-        if held is not None:
-            state.update(held)
-        frame = pd.DataFrame(out, columns=[f.split()[0] for f in OFFSET_OUTPUT.split(", ")])
-        yield frame.astype({"accepted_samples": "Int64", "window_start_us": "Int64"})
+        return out, held
 
-    return measurements.groupBy("contact_id", "antenna_id").applyInPandasWithState(
-        run, OFFSET_OUTPUT, _OFFSET_STATE, "append", GroupStateTimeout.NoTimeout
-    )
+    return keyed(measurements, ["contact_id", "antenna_id"], advance, OFFSET_OUTPUT, _OFFSET_STATE)

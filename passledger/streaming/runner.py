@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from passledger.session import scratch_path
 
@@ -31,3 +35,43 @@ def drain(stream: DataFrame, label: str) -> DataFrame:
         .awaitTermination()
     )
     return spark.read.schema(stream.schema).parquet(path)
+
+
+def keyed(samples: DataFrame, keys: list[str], advance: Callable, output: str, state: str) -> DataFrame:
+    """Rows of every key through ``advance`` in (t_us, sequence) order.
+
+    ``advance`` (key, rows, held) returns output rows and what to hold; held is None at
+    first. A table is ordered as a whole, so its answer does not depend on how its rows
+    came, and a task holds one batch of rows whatever the size of a key. A stream is
+    ordered inside each batch only: ``drain`` it into a table first where all must be in order.
+    """
+    fields = [f.split() for f in output.split(", ")]
+
+    def framed(rows: list[tuple]) -> pd.DataFrame:
+        frame = pd.DataFrame(rows, columns=[f[0] for f in fields])
+        return frame.astype({name: "Int64" for name, kind in fields if kind == "long"})
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
+        out, held = advance(key, rows, group.get if group.exists else None)
+        if held is not None:
+            group.update(held)
+        if out:
+            yield framed(out)
+
+    def run_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last = held = None
+        for rows in frames:
+            at, out = list(zip(*(rows[k] for k in keys))), []
+            edges = [i for i in range(len(at)) if not i or at[i] != at[i - 1]]
+            for start, stop in zip(edges, [*edges[1:], len(at)]):
+                held = held if at[start] == last else None
+                last = at[start]
+                more, held = advance(last, rows[start:stop], held)
+                out += more
+            if out:
+                yield framed(out)
+
+    if samples.isStreaming:
+        return samples.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
+    return samples.repartition(*keys).sortWithinPartitions(*keys, "t_us", "sequence").mapInPandas(run_sorted, output)

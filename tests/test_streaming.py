@@ -1,11 +1,14 @@
 """Sequential steps and streams fed file by file."""
 
+import functools
 import math
+import shutil
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from passledger.plans import catalog, streams
 from passledger.session import scratch_path
 from passledger.streaming import acquisition as acq
 from passledger.streaming import commands
@@ -171,3 +174,22 @@ def test_confirmation_and_timeout(spark):
     assert {r.command_id for r in good.collect()} == {0, 1}
     lost = drain(commands.timeouts(c, b, timeout_s=30, lateness="5 seconds"), "timeout")
     assert {r.command_id for r in lost.collect()} == {2, 3, 4, 5}
+
+
+@pytest.fixture(scope="module")
+def dealt_events(spark, tmp_path_factory):
+    """The events as one file, and as part files without any order in time."""
+    one, many = (tmp_path_factory.mktemp(n) for n in ("one", "many"))
+    shutil.copy("/root/testdata/sf0.001/events.parquet", one / "events.parquet")
+    rows = spark.read.parquet(str(one / "events.parquet"))
+    rows.repartition(7, F.xxhash64("event_id")).write.parquet(str(many / "events.parquet"))
+    return str(one), str(many)
+
+
+@pytest.mark.parametrize("name", ["doppler_filter", "offset_filter", "lock_acquisition", "control_decisions"])
+def test_batch_cuts_do_not_matter(spark, monkeypatch, dealt_events, name):
+    one, many = dealt_events
+    want = catalog.QUERIES[name](spark, one).collect()
+    monkeypatch.setattr(streams, "table_stream", functools.partial(table_stream, files=1))
+    got = catalog.QUERIES[name](spark, many).collect()
+    assert want and sorted(map(repr, got)) == sorted(map(repr, want))
