@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from passledger.functions import geometry as geo
 from passledger.functions.scalars import PARAMETER_UNITS, curvature_weight
-from passledger.operators import estimate, interpolate, sequences, service
+from passledger.operators import estimate, interpolate, service
 from passledger.plans.registry import query
 from passledger.plans.rounding import r, rd
 from passledger.plans.standins import HOUR_US, ORIGIN_US, Tables
@@ -384,8 +384,7 @@ def trajectory_sweep(t: Tables) -> DataFrame:
     f"WITH {_SWEEP}, b AS (SELECT object_no, arg_min(offset_s, (position_rms_m, offset_s)) AS best_offset_s FROM sc GROUP BY 1) SELECT object_no, best_offset_s, true AS interior FROM b",
 )
 def sweep_optimum(t: Tables) -> DataFrame:
-    scores = estimate.trajectory_sweep(_reference(t), "object_no", estimate.sweep_column(*_SWEPT))
-    best = sequences.sweep_bracket(scores, ["object_no"], "offset_s", "position_rms_m")
+    best = estimate.sweep_optimum(_reference(t), "object_no", estimate.sweep_column(*_SWEPT))
     return best.select("object_no", "best_offset_s", "interior")
 
 

@@ -159,3 +159,13 @@ def test_stencil_bucket_does_not_matter(spark, observations):
     other = interpolate.attach(standin.samples(tables), standin.orbit_table(tables), ["object_no", "segment"], bucket_us=HOUR_US * 24)
     a = observations.select("event_id", "base_us")
     assert a.exceptAll(other.select("event_id", "base_us")).count() == 0
+
+
+@pytest.mark.parametrize("lead, interior", [(0.42, True), (-0.1037, True), (1.5, False)])
+def test_sweep_optimum_is_refined(spark, observations, lead, interior):
+    """A lead between the offsets of the grid is found; one beyond its end is not refined."""
+    truth = standin.circular(F.col("object_no"), (F.col("t_us") - ORIGIN_US) / 1e6 + lead)
+    reference = observations.select("*", *[v.alias(f"r_{n}") for v, n in zip(truth, interpolate.COMPONENTS)])
+    rows = estimate.sweep_optimum(reference, "object_no", estimate.sweep_column(-1.0, 1.0, 0.25)).collect()
+    assert rows and all(r.interior == interior for r in rows)
+    assert max(abs(r.best_offset_s - min(lead, 1.0)) for r in rows) <= 1e-4
