@@ -28,7 +28,7 @@ _ATTRIBUTE = re.compile(r"""([a-zA-Z-]+)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?"
 
 #: Names of HTML elements by their part in a page.
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = set("script style noscript template svg math iframe object textarea title select option canvas audio video".split())
+_RAW = set("script style noscript template svg math iframe object textarea title select canvas audio video".split())
 _INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark nobr q s samp small span "
     "strike strong sub sup time tt u var wbr".split()
@@ -36,7 +36,8 @@ _INLINE = set(
 _CLOSES_P = set(
     "address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split()
 )
-_AWAY = set("nav footer aside form button menu dialog fieldset head".split())
+_HEAD = set("base link meta noscript script style template title html head".split())
+_AWAY = set("nav footer aside button menu dialog fieldset head".split())  # and a form, see blocks
 _HOME = set("article main".split())
 #: Words of class, id and role that say what a part is for.
 _AWAY_WORDS = set(
@@ -59,6 +60,7 @@ class Block:
     parent: int  # number of the element around its own
     depth: int
     shared: int  # how many elements it shares with the block before it
+    form: int = 0  # number of the form around it
 
 
 @dataclass(slots=True)
@@ -73,15 +75,22 @@ class _Open:
     home: int = 0
     away: int = 0
     link: bool = False
+    form: int = 0
 
 
 def blocks(page: str) -> list[Block]:
-    """Blocks of a page in page order, white space collapsed, character references decoded."""
+    """Blocks of a page in page order, white space collapsed, character references decoded.
+
+    A head ends at the first thing that cannot be in it, an option at the next block or
+    at the end of what it lies in. A form speaks against its text, unless it holds an
+    article or main element or more than half of the page's text.
+    """
     found: list[Block] = []
     stack = [_Open("")]
     held: dict[str, int] = defaultdict(int)  # open elements by tag
     parts: list[str] = []
-    linked = number = at = low = 0
+    linked = number = at = low = muted = 0  # muted: elements open where an option began
+    bodies: set[int] = set()  # forms around an article or main element
     last = page.rfind(">")  # nothing behind it is a tag
 
     def close() -> None:
@@ -90,16 +99,17 @@ def blocks(page: str) -> list[Block]:
             text = " ".join(unescape("".join(parts)).split())
             if text:
                 top = stack[-1]
-                found.append(Block(text, top.block, linked, top.home, top.away, top.parent, top.depth, min(low, top.depth)))
+                found.append(Block(text, top.block, linked, top.home, top.away, top.parent, top.depth, min(low, top.depth), top.form))
                 low = top.depth
             parts.clear()
         linked = 0
 
     def shut(depth: int) -> None:
-        nonlocal low
+        nonlocal low, muted
         for gone in stack[depth:]:
             held[gone.tag] -= 1
         del stack[depth:]
+        muted = muted if depth >= muted else 0
         low = min(low, stack[-1].depth)
 
     while at < len(page):
@@ -108,9 +118,12 @@ def blocks(page: str) -> list[Block]:
             start = len(page)
         if start > at:
             piece = page[at:start]
-            parts.append(piece)
-            if stack[-1].link:
-                linked += len(piece.strip())
+            while stack[-1].tag == "head" and piece.strip():
+                shut(len(stack) - 1)
+            if not muted:
+                parts.append(piece)
+                if stack[-1].link:
+                    linked += len(piece.strip())
         if start == len(page):
             break
         if page.startswith("<!--", start):
@@ -120,13 +133,15 @@ def blocks(page: str) -> list[Block]:
         match = start < last and (_TAG.match(page, start) or _LOOSE.match(page, start))
         if not match:
             other = start < last and _OTHER.match(page, start)
-            if not other:
+            if not other and not muted:
                 parts.append("<")
             at = other.end() if other else start + 1
             continue
         at, closing, tag = match.end(), bool(match[1]), match[2].lower()
         if tag not in _INLINE:
             close()
+            if tag not in _RAW and tag not in _VOID:
+                muted = 0
         elif tag == "br":
             parts.append(" ")
         if closing:
@@ -137,13 +152,18 @@ def blocks(page: str) -> list[Block]:
             if held[tag] and depth:
                 shut(depth)
             continue
+        while stack[-1].tag == "head" and tag not in _HEAD:
+            shut(len(stack) - 1)
         if tag in _CLOSES_P and held["p"]:
             depth = len(stack) - 1
             while depth and stack[depth].tag in _INLINE:
                 depth -= 1
             if stack[depth].tag == "p":
                 shut(depth)
-        if tag in _RAW:
+        if tag == "option":
+            muted = len(stack)
+            continue
+        if tag in _RAW and not (tag in ("svg", "math") and match[3].endswith("/")):
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
             continue
@@ -152,12 +172,21 @@ def blocks(page: str) -> list[Block]:
         top = stack[-1]
         held[tag] += 1
         if tag in _INLINE:
-            stack.append(_Open(tag, top.number, top.parent, top.depth, top.block, top.home, top.away, top.link or tag == "a"))
+            stack.append(_Open(tag, top.number, top.parent, top.depth, top.block, top.home, top.away, top.link or tag == "a", top.form))
             continue
         number += 1
         home, away = _cues(tag, match[3], top.home)
-        stack.append(_Open(tag, number, top.number, top.depth + 1, tag, top.home + home, top.away + away, top.link))
+        if tag in _HOME:
+            bodies.add(top.form)
+        form = top.form or (number if tag == "form" else 0)  # a form inside a form is none
+        stack.append(_Open(tag, number, top.number, top.depth + 1, tag, top.home + home, top.away + away, top.link, form))
     close()
+    inside: dict[int, int] = defaultdict(int)
+    for block in found:
+        inside[block.form] += len(block.text)
+    total = sum(inside.values())
+    for block in found:
+        block.away += bool(block.form) and block.form not in bodies and 2 * inside[block.form] <= total
     return found
 
 

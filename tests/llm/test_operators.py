@@ -397,6 +397,33 @@ def test_main_text():
         assert isinstance(html.main_text(page), str)
 
 
+ARTICLE = "<h1>Big title</h1><p>%s</p><p>%s</p>" % ("The first passage has a lot to say. " * 4, "So does the second one. " * 6)
+MAIN = html.main_text(f"<html><body><article>{ARTICLE}</article></body></html>")
+NAV = "<nav><a href=/>Home</a> <a href=/b>Other pages of the site</a></nav>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f"<html><head><title>T</title><meta name=a><body>{NAV}<article>{ARTICLE}</article></body></html>",
+        f"<html><head><title>T</title>{NAV}<article>{ARTICLE}</article></html>",
+        f"<head><style>p {{}}</style></head>{NAV}<article>{ARTICLE}</article>",
+        f"<body><form action=/ method=post>{NAV}<main>{ARTICLE}</main></form></body>",
+        f"<body><form>{NAV}<div>{ARTICLE}</div></form></body>",
+        f"<body><form>{NAV}<form><article>{ARTICLE}</article></form></body>",
+        f"<body><datalist><option>Red<option>Green <b>one</b> or so</datalist><article>{ARTICLE}</article></body>",
+        f"<body><div><span><option>Red</span></div><article>{ARTICLE}</article></body>",
+        f"<body><select><option>Red<option>Green</select><article>{ARTICLE}</article></body>",
+        f"<body><svg/><article>{ARTICLE}</article><math display=block /></body>",
+        f"<body><svg><path d=x /><text>Drawn</text></svg><article>{ARTICLE}</article></body>",
+        f"<body><article>{ARTICLE}</article><form><label>Send us your name and your address please</label></form></body>",
+    ],
+)
+def test_main_text_of_other_pages(page):
+    assert MAIN.startswith("Big title") and "second" in MAIN
+    assert html.main_text(page) == MAIN
+
+
 def test_main_text_edges(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")]
     got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
