@@ -14,6 +14,15 @@ from passledger.session import configure
 
 #: The white space of the contracts, space and U+0009 to U+000D.
 SPACE = " \t\n\x0b\x0c\r"
+#: By byte of UTF-8: A-Z in lower case, letters, digits and all above ASCII as they are, the others a space.
+_PLAIN = bytes(
+    b + 32 if 65 <= b <= 90 else b if b > 127 or chr(b).isalnum() else 32 for b in range(256)
+)
+
+
+def plain_words(text: str) -> list[bytes]:
+    """The words ``[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+`` of a text with A-Z in lower case, in UTF-8."""
+    return text.encode().translate(_PLAIN).split()
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

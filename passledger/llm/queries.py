@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, chat, contamination, exact, html, language, quality, simhash, toxicity, warc
+from passledger.llm import bpe, chat, contamination, exact, html, language, quality, resampling, simhash, toxicity, warc
 from passledger.llm.common import learnable, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -139,3 +139,37 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op3_decontaminate")
 def op3(spark: SparkSession, folder: str) -> DataFrame:
     return contamination.contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(
+    "op11_resampling",
+    r"""
+    WITH tab AS (
+        SELECT list(c ORDER BY i) AS crc FROM (
+            SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) AS c FROM range(256) r(i))),
+    d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+    b AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                 '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+    w AS (SELECT doc_id, unnest(words) AS word FROM d),
+    f AS (SELECT word, xor(list_reduce(list_transform(range(CAST(length(hex(word)) / 2 AS BIGINT)),
+                     lambda i: CAST('0x' || substr(hex(word), CAST(2 * i + 1 AS INT), 2) AS BIGINT)),
+                 lambda c, x: xor(c >> 8, crc[CAST(xor(c, x) & 255 AS INT) + 1]), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket
+          FROM (SELECT word FROM w UNION SELECT word FROM b), tab),
+    s AS (SELECT bucket, count(*) AS s FROM w JOIN f USING (word) GROUP BY bucket),
+    t AS (SELECT bucket, count(*) AS t FROM b JOIN f USING (word) GROUP BY bucket),
+    g AS (SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM w) + 10000)
+                     / ((coalesce(s, 0) + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)))) AS BIGINT) AS gain
+          FROM (SELECT DISTINCT bucket FROM f) LEFT JOIN s USING (bucket) LEFT JOIN t USING (bucket)),
+    k AS (SELECT doc_id, CAST(sum(gain) AS BIGINT) AS weight FROM w JOIN f USING (word) JOIN g USING (bucket) GROUP BY doc_id),
+    r AS (SELECT doc_id, len(words) AS n_features, coalesce(weight, 0) AS weight,
+                 coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM d LEFT JOIN k USING (doc_id)),
+    o AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place FROM r WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score,
+           CASE WHEN place <= (SELECT count(*) FROM o) * 10 // 100 THEN place END AS rank
+    FROM r LEFT JOIN o USING (doc_id)
+    """,
+)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return resampling.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
