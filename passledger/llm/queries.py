@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, chat, contamination, exact, html, language, quality, resampling, simhash, toxicity, warc
+from passledger.llm import bpe, chat, contamination, exact, html, language, licences, quality, resampling, simhash, toxicity, warc
 from passledger.llm.common import learnable, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -173,3 +173,8 @@ def op3(spark: SparkSession, folder: str) -> DataFrame:
 )
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return resampling.drawn(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query("op12_licences")
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.licence_digests(table(spark, folder, "documents"))
