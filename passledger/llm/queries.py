@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from passledger.llm import bpe, chat, contamination, exact, html, language, licences, quality, resampling, simhash, toxicity, warc
+from passledger.llm import bpe, chat, collocations, contamination, exact, html, language, licences, quality, resampling, simhash, toxicity, warc
 from passledger.llm.common import learnable, remainder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -178,3 +178,31 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
 @query("op12_licences")
 def op12(spark: SparkSession, folder: str) -> DataFrame:
     return licences.licence_digests(table(spark, folder, "documents"))
+
+
+@query(
+    "op13_collocations",
+    r"""
+    WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(
+                   translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+    w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+    t AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM w GROUP BY lang),
+    i AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+    g AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM i, range(1, 6) r(k) WHERE i + k - 1 <= len(ws)),
+    f AS (SELECT lang, k, phrase, count(*) AS n FROM g GROUP BY ALL HAVING count(*) >= 100),
+    c AS (SELECT lang, k, phrase, n AS a FROM f WHERE k > 1),
+    kept AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM c o WHERE o.lang = c.lang AND o.k > c.k AND 100 * o.a >= 100 * c.a
+                 AND contains(' ' || o.phrase || ' ', ' ' || c.phrase || ' '))),
+    cut AS (SELECT lang, phrase, a, j, array_to_string(string_split(phrase, ' ')[1 : j], ' ') AS one,
+                   array_to_string(string_split(phrase, ' ')[j + 1 : ], ' ') AS two
+            FROM kept, range(1, 5) r(j) WHERE j < k),
+    s AS (SELECT cut.lang, cut.phrase, a, j, x.n AS l, y.n AS r, t.n,
+                 CAST(1000::HUGEINT * a * t.n // (x.n::HUGEINT * y.n) AS BIGINT) AS score
+          FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = one JOIN f y ON y.lang = cut.lang AND y.phrase = two JOIN t ON t.lang = cut.lang),
+    m AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) AS place FROM s),
+    o AS (SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score FROM m WHERE place = 1)
+    SELECT * FROM o WHERE rank <= 2000
+    """,
+)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(table(spark, folder, "documents").select("lang", "text"))
