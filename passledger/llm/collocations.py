@@ -5,11 +5,11 @@ places, padded behind the end of its piece. Only these longest windows are count
 ROLLUP sums them to all shorter prefixes, and the empty prefix of a language is its
 number of words. No order is counted on its own.
 
-A window is padded from where two neighbouring words together are too rare, since no
-phrase over them can be a candidate. Pairs are counted by a hash, and those that are
-frequent enough set a bit of a map of fixed size. A bit set by chance, or a map that
-fills up, only lets rare windows through; the counts of candidates and of all their
-parts stay exact.
+A window is padded from where two or three neighbouring words together are too rare,
+since no phrase over them can be a candidate. Such runs are counted by a hash, and
+those that are frequent enough set a bit of a map of fixed size. A bit set by chance, or
+a map that fills up, only lets rare windows through; the counts of candidates and of all
+their parts stay exact.
 """
 
 from __future__ import annotations
@@ -26,8 +26,8 @@ from passledger.llm.common import text_slices, whole
 from passledger.session import cut_lineage
 
 LONGEST = 5
-#: Bits of the map of frequent pairs, and how many of them one group of it holds.
-MAP_BITS, GROUP_BITS = 27, 20
+#: Maps of frequent runs (of two words, of three), the bits of one, and those that one group of it holds.
+MAPS, MAP_BITS, GROUP_BITS = 2, 27, 20
 _WORDS = [f"w{k}" for k in range(1, LONGEST + 1)]
 _END = b"."
 #: By byte of UTF-8: A-Z in lower case, tab a space, the ends of pieces a full stop.
@@ -66,29 +66,48 @@ def _parts(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[tuple[str,
                 yield lang, np.concatenate(found), list(number)
 
 
-def _pair_hashes(lang: str, words: list[bytes], numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the first words of all pairs within pieces, and a hash of each pair."""
-    own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
-    at = np.flatnonzero((numbers[:-1] != 0) & (numbers[1:] != 0))
+def _mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        mixed = own[numbers[at]] * np.uint64(0x9E3779B97F4A7C15) + own[numbers[at + 1]]
-        mixed ^= np.uint64(xxhash.xxh64_intdigest(lang.encode()))
-        mixed ^= mixed >> np.uint64(29)
-        mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return at, (mixed ^ (mixed >> np.uint64(32))).view(np.int64)
+        value = left * np.uint64(0x9E3779B97F4A7C15) + right
+        value ^= value >> np.uint64(29)
+        value *= np.uint64(0xBF58476D1CE4E5B9)
+    return value ^ (value >> np.uint64(32))
 
 
-def frequent_pairs(rows: DataFrame, least: int, limit: int) -> bytes:
-    """A map of 2 ** ``MAP_BITS`` bits, set where a pair of words is found ``least`` times.
+def _runs(lang: str, words: list[bytes], numbers: np.ndarray, maps: list[bytes]) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Hashes of the runs one word longer than those of the last map, and marks where runs are in each map.
 
-    Pairs are counted over all rows (lang, text); the map is made in groups, so that
-    neither a task nor the driver holds more than the map.
+    ``maps`` are of runs of two words, three and so on. A run takes part if both runs
+    inside it that are a word shorter are in their map.
+    """
+    own = np.array([xxhash.xxh64_intdigest(w) for w in words], np.uint64)
+    at = np.flatnonzero((numbers[:-1] != 0) & (numbers[1:] != 0))
+    value = _mixed(own[numbers[at]] ^ np.uint64(xxhash.xxh64_intdigest(lang.encode())), own[numbers[at + 1]])
+    marks = []
+    for longer, content in enumerate(maps, 2):
+        place = (value & np.uint64((1 << MAP_BITS) - 1)).astype(np.int64)
+        there = (np.frombuffer(content, np.uint8)[place >> 3] >> (7 - (place & 7)).astype(np.uint8) & 1).astype(bool)
+        mark = np.zeros(len(numbers) + LONGEST, bool)
+        mark[at[there]] = True
+        marks.append(mark)
+        both = there & mark[at + 1]
+        at = at[both]
+        value = _mixed(value[both], own[numbers[at + longer]])
+    return value.view(np.int64), marks
+
+
+def frequent_runs(rows: DataFrame, shorter: list, least: int, limit: int) -> bytes:
+    """A map of 2 ** ``MAP_BITS`` bits, set where a run of words is found ``least`` times.
+
+    The runs have two words more than there are maps of ``shorter`` ones (broadcast), and
+    are counted over all rows (lang, text); the map is made in groups, so that neither a
+    task nor the driver holds more than the map.
     """
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, numbers, words in _parts(batches, limit):
-            value, n = np.unique(_pair_hashes(lang, words, numbers)[1], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["pair", "n"])
+            value, n = np.unique(_runs(lang, words, numbers, [m.value for m in shorter])[0], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], names=["run", "n"])
 
     def group(table: pa.Table) -> pa.Table:
         bits = np.zeros(1 << GROUP_BITS, np.uint8)
@@ -96,8 +115,8 @@ def frequent_pairs(rows: DataFrame, least: int, limit: int) -> bytes:
         number = table.column("bit")[0].as_py() >> GROUP_BITS
         return pa.table({"number": pa.array([number], pa.int32()), "bits": pa.array([np.packbits(bits).tobytes()])})
 
-    counted = rows.mapInArrow(hashes, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
-    bit = (F.col("pair").bitwiseAND((1 << MAP_BITS) - 1)).cast("int").alias("bit")
+    counted = rows.mapInArrow(hashes, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n"))
+    bit = (F.col("run").bitwiseAND((1 << MAP_BITS) - 1)).cast("int").alias("bit")
     found = counted.where(F.col("n") >= least).select(bit).distinct()
     parts = found.groupBy(F.shiftright("bit", GROUP_BITS)).applyInArrow(group, "number int, bits binary").collect()
     size = (1 << GROUP_BITS) // 8
@@ -107,42 +126,34 @@ def frequent_pairs(rows: DataFrame, least: int, limit: int) -> bytes:
     return bytes(out)
 
 
-def padded_windows(rows: DataFrame, frequent, limit: int) -> DataFrame:
+def padded_windows(rows: DataFrame, maps: list, limit: int) -> DataFrame:
     """(lang, w1 to w5, n) of all windows of ``rows`` (lang, text); empty words pad them.
 
-    ``frequent`` is a broadcast map of pairs. Equal windows of one slice are one row.
+    ``maps`` are broadcast maps of frequent runs. Equal windows of one slice are one row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = np.frombuffer(frequent.value, np.uint8)
         for lang, numbers, words in _parts(batches, limit):
-            at, pair = _pair_hashes(lang, words, numbers)
-            place = pair & ((1 << MAP_BITS) - 1)
-            joined = np.zeros(len(numbers) + LONGEST, bool)
-            joined[at] = (bits[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1
-            alone = np.flatnonzero((numbers != 0) & ~joined[: len(numbers)])
-            count = np.bincount(numbers[alone], minlength=len(words))
-            single = np.flatnonzero(count)
-            first = np.flatnonzero(joined[: len(numbers)])
+            marks = _runs(lang, words, numbers, [m.value for m in maps])[1]
+            joined = marks[0][: len(numbers)]
+            count = np.bincount(numbers[(numbers != 0) & ~joined], minlength=len(words))
+            single, first = np.flatnonzero(count), np.flatnonzero(joined)
             lead = np.zeros((LONGEST, len(first)), np.int32)
-            going = np.ones(len(first), bool)
-            long_numbers = np.concatenate([numbers, np.zeros(LONGEST, np.int32)])
             lead[0] = numbers[first]
+            going, ahead = np.ones(len(first), bool), np.append(numbers, np.zeros(LONGEST, np.int32))
             for k in range(1, LONGEST):
-                going &= joined[first + k - 1]
-                lead[k] = np.where(going, long_numbers[first + k], 0)
-            order = np.lexsort(lead[::-1])
-            lead = lead[:, order]
-            new = np.ones(len(first), bool)
-            new[1:] = (lead[:, 1:] != lead[:, :-1]).any(axis=0)
+                for back, mark in enumerate(marks[:k], 1):
+                    going &= mark[first + k - back]
+                lead[k] = np.where(going, ahead[first + k], 0)
+            lead = lead[:, np.lexsort(lead[::-1])]
+            new = np.append(True, (lead[:, 1:] != lead[:, :-1]).any(axis=0)) if len(first) else np.zeros(0, bool)
             starts = np.flatnonzero(new)
-            sizes = np.diff(np.append(starts, len(first)))
             text = pa.array([b"", *words[1:]], pa.binary()).cast(pa.string())
             none = np.zeros(len(single), np.int32)
             columns = [
-                text.take(pa.array(np.concatenate([single if k == 0 else none, lead[k][starts]]))) for k in range(LONGEST)
+                text.take(pa.array(np.append(single if k == 0 else none, lead[k][starts]))) for k in range(LONGEST)
             ]
-            n = np.concatenate([count[single], sizes]).astype(np.int64)
+            n = np.append(count[single], np.diff(np.append(starts, len(first)))).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *columns, pa.array(n)], names=["lang", *_WORDS, "n"])
 
     return rows.mapInArrow(run, "lang string, " + ", ".join(f"{w} string" for w in _WORDS) + ", n bigint")
@@ -155,8 +166,10 @@ def phrase_counts(frame: DataFrame, least: int = 100, limit: int = 8_000_000) ->
     texts count as empty, a null lang is ``und``.
     """
     rows = frame.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), whole().alias("text"))
-    frequent = frame.sparkSession.sparkContext.broadcast(frequent_pairs(rows, least, limit))
-    counted = padded_windows(rows, frequent, limit).rollup("lang", *_WORDS).agg(F.sum("n").alias("n"))
+    maps: list = []
+    for _ in range(MAPS):
+        maps.append(frame.sparkSession.sparkContext.broadcast(frequent_runs(rows, list(maps), least, limit)))
+    counted = padded_windows(rows, maps, limit).rollup("lang", *_WORDS).agg(F.sum("n").alias("n"))
     # a prefix that ends in padding says the same as the shorter one; Catalyst moves this below the sums
     for word in _WORDS:
         counted = counted.where(F.coalesce(F.col(word), F.lit("-")) != "")
