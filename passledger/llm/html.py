@@ -1,8 +1,8 @@
 """Main text of web pages by a minimum cut between content and boilerplate.
 
-A page becomes blocks of text in page order. A linear classifier prices each block: a
-positive price is the capacity of its edge from the content terminal, a negative one of
-its edge to the boilerplate terminal. Blocks that follow each other or lie in the same
+A page becomes blocks of text in page order. A classifier fitted on a sample of pages
+prices each block by its log odds: a positive price is the capacity of its edge from the
+content terminal, a negative one of its edge to the boilerplate terminal. Blocks that follow each other or lie in the same
 part of the document tree are joined by smoothness edges. The cheapest cut labels all
 blocks of the page at once.
 """
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,6 +48,8 @@ _AWAY_WORDS = set(
     "breadcrumbs pagination pager newsletter subscribe subscription signup login popup modal overlay widget widgets "
     "copyright legal disclaimer search tags contentinfo complementary".split()
 )
+_RIGHTS = re.compile(r"©|\(c\)|copyright|all rights reserved", re.I)
+_MOST = 3.0  # log odds count no further
 _HOME_WORDS = set("article articlebody content post entry story main maincontent".split())
 
 
@@ -207,32 +210,91 @@ def _cues(tag: str, attributes: str, inside: int) -> tuple[int, int]:
     return home, away
 
 
-def price(block: Block) -> int:
-    """What a block is worth as content, in tenths; negative for boilerplate."""
-    size = len(block.text)
-    worth = min(size, 200) // 10 - 3
-    worth -= 40 * block.linked // max(size, 1)
-    worth += 50 * min(block.home, 2)
-    worth -= 160 * min(block.away, 3)
-    if block.tag in ("p", "blockquote", "pre"):
-        worth += 10
-    elif block.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-        worth += 15
-    elif block.tag in ("li", "dd", "dt", "td", "th"):
-        worth -= 5
-    if re.search(r"©|\(c\)|copyright|all rights reserved", block.text, re.I) and size < 200:
-        worth -= 30
-    return worth
+FEATURES = (
+    "one", "length", "link share", "ends a sentence", "marks a word", "paragraph", "heading", "list or cell",
+    "copyright", "home", "away",
+)
+_CUES = [FEATURES.index(f) for f in ("home", "away")]
+_TAGS = [FEATURES.index(f) for f in ("paragraph", "heading", "list or cell")]
+#: Weights in the order of ``FEATURES``, as ``fitted`` gave them for 500 of the 2,500 pages of the given table.
+DEFAULT = (0.289, 5.872, -7.401, -2.173, 2.544, 3.996, 2.961, 0.286, -5.677, 5.181, -8.614)
+
+
+def features(found: list[Block]) -> np.ndarray:
+    """A row of ``FEATURES`` for each block of a page; what names say is two of them."""
+    rows = []
+    for block in found:
+        size = max(len(block.text), 1)
+        words = block.text.count(" ") + 1
+        rows.append(
+            (
+                1.0, size / (size + 100), min(block.linked / size, 1.0), float(block.text[-1] in ".!?…。"),
+                min(sum(map(block.text.count, ".,;:!?")) / words, 1.0), float(block.tag in ("p", "blockquote", "pre")),
+                float(block.tag in ("h1", "h2", "h3", "h4", "h5", "h6")), float(block.tag in ("li", "dd", "dt", "td", "th")),
+                float(size < 200 and bool(_RIGHTS.search(block.text))), float(block.home > 0 and not block.away), float(block.away > 0),
+            )
+        )
+    return np.array(rows, dtype=float).reshape(-1, len(FEATURES))
+
+
+def fitted(pages: list[str], steps: int = 25, ridge: float = 2.0) -> tuple[float, ...]:
+    """Weights of a logistic classifier of blocks, from what elements and names say of them.
+
+    Blocks that something speaks for and nothing against are content, those that
+    something speaks against are boilerplate, others teach nothing. Each block is shown
+    as it is, twice with the tag of another block of its page, without those two
+    features, and without its tag as well, so that no kind of evidence leans on another. Pages that show only one kind give ``DEFAULT``.
+    """
+    rows, labels = [], []
+    for page in pages:
+        found = blocks(page)
+        told = [i for i, b in enumerate(found) if b.home or b.away]
+        if told:
+            shown = features(found)[told]
+            unnamed = shown.copy()
+            unnamed[:, _CUES] = 0
+            bare = unnamed.copy()
+            bare[:, _TAGS] = 0
+            crossed = shown.copy()
+            crossed[:, _TAGS] = shown[::-1, _TAGS]
+            rows += [shown, crossed, crossed, unnamed, bare]
+            labels += [not found[i].away for i in told] * 5
+    y = np.array(labels, dtype=float)
+    if not len(y) or y.min() == y.max():
+        return DEFAULT
+    x, weights = np.concatenate(rows), np.zeros(len(FEATURES))
+    balance = np.where(y > 0, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
+    for _ in range(steps):
+        chance = 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        slope = x.T @ (balance * (y - chance)) - ridge * weights
+        bend = (x * (balance * chance * (1 - chance))[:, None]).T @ x + ridge * np.eye(len(weights))
+        weights = weights + np.linalg.solve(bend, slope)
+    return tuple(round(float(w), 3) for w in weights)
+
+
+def learned(pages: DataFrame, sample: int = 500, longest: int = 200_000) -> tuple[float, ...]:
+    """``fitted`` on at most ``sample`` rows of ``pages`` (html) of up to ``longest`` code points, drawn by a hash of their html."""
+    rows = pages.select(whole("html").alias("html")).where(F.char_length("html").between(1, longest))
+    count = rows.count()
+    draw = F.pmod(F.xxhash64("html", F.lit(5)), F.lit(1_000_003)) / F.lit(1_000_003.0)
+    drawn = rows.where(draw < min(1.0, 2.0 * sample / max(count, 1))).orderBy(F.xxhash64("html", F.lit(5)), "html").limit(sample)
+    return fitted([r["html"] for r in drawn.collect()])
+
+
+def prices(found: list[Block], weights: tuple[float, ...] = DEFAULT) -> list[int]:
+    """What each block is worth as content: its log odds in tenths, negative for boilerplate."""
+    return np.rint(10 * np.clip(features(found) @ np.array(weights), -_MOST, _MOST)).astype(int).tolist()
 
 
 def smoothness(found: list[Block]) -> list[tuple[int, int, int]]:
-    """Edges between neighbours and between blocks of one parent two places apart."""
+    """Edges between neighbours and between blocks of one parent two places apart, in tenths as well."""
     edges = []
     for i in range(1, len(found)):
         a, b = found[i - 1], found[i]
-        edges.append((i - 1, i, 1 + 12 * b.shared // max(a.depth, b.depth, 1)))
+        near = 8 * b.shared**2 // max(a.depth, b.depth, 1) ** 2
+        edges.append((i - 1, i, near + (12 if a.parent == b.parent else 0)))
         if i > 1 and found[i - 2].parent == b.parent:
-            edges.append((i - 2, i, 4))
+            edges.append((i - 2, i, 8))
     return edges
 
 
@@ -296,15 +358,18 @@ def _max_flow(nodes: list[int], worth: list[int], around: list[dict[int, int]])
             room[b][a] = room[b].get(a, 0) + flow
 
 
-def main_text(page: str) -> str:
+def labelled(page: str, weights: tuple[float, ...] = DEFAULT) -> list[tuple[Block, bool, bool]]:
+    """Blocks of a page with what the cut says and what their price alone says."""
     found = blocks(page)
-    if not found:
-        return ""
-    keep = minimum_cut([price(b) for b in found], smoothness(found))
-    return "\n\n".join(b.text for b, k in zip(found, keep) if k)
+    worth = prices(found, weights)
+    return [(b, k, w > 0) for b, k, w in zip(found, minimum_cut(worth, smoothness(found)), worth)]
+
+
+def main_text(page: str, weights: tuple[float, ...] = DEFAULT) -> str:
+    return "\n\n".join(b.text for b, keep, _ in labelled(page, weights) if keep)
 
 
-def extracted(pages: DataFrame) -> DataFrame:
+def extracted(pages: DataFrame, weights: tuple[float, ...] = DEFAULT) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     The whole html is read; null counts as empty. A page without content has an empty
@@ -315,7 +380,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in text_slices(batch, "html"):
-                texts = [main_text(h.as_py()) for h in part.column("html")]
+                texts = [main_text(h.as_py(), weights) for h in part.column("html")]
                 yield pa.RecordBatch.from_arrays(
                     [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                     names=["page_id", "url", "text", "n_chars"],

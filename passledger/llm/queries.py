@@ -133,7 +133,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     """,
 )
 def op4(spark: SparkSession, folder: str) -> DataFrame:
-    return html.extracted(table(spark, folder, "pages"))
+    pages = table(spark, folder, "pages")
+    return html.extracted(pages, html.learned(pages))
 
 
 @query("op3_decontaminate")
