@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -20,9 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from passledger.llm.common import appended, whole
-from passledger.session import cut_lineage
+from passledger.session import scratch_path
 
 ENTRY, BLOCK = 32, 4
+GROUPS, PIECE = 128, 128  # of blocks, and runs summed at once
 _K1, _B = 1.2, 0.75
 _WORD = re.compile(r"[^\W_]+")
 _MATCH = "array<struct<item_id:bigint,score:double,question:double,answer:double>>"
@@ -59,40 +61,50 @@ def overlap(part: list[str], there: list[str], n: int = 3) -> float:
 
 
 class Index:
-    """Inverted index of entries with impacts, and their maxima by block of entries."""
+    """Inverted index of entries with impacts, and their maxima by block of entries.
+
+    Blocks of word ``row`` are ``block[start[row]:start[row + 1]]`` with their maxima in
+    ``top``; the postings of one lie at ``first[j]:first[j + 1]``, so the index takes
+    memory by its postings alone.
+    """
 
     def __init__(self, items: list[tuple[int, str]], frequency: dict[str, int], total: int, mean: float):
         self.items = [(item, *question_and_answer(text), len(words_of(text))) for item, text in items]
         self.owner: list[int] = []
-        rows: dict[str, dict[int, float]] = {}
+        self.number: dict[str, int] = {}
+        found: list[tuple[int, int, float]] = []
         for place, (_, text) in enumerate(items):
             for words in entries_of(text):
                 entry = len(self.owner)
                 self.owner.append(place)
                 impact = {}
-                for word in set(words):
+                for word in dict.fromkeys(words):
                     times, seen = words.count(word), frequency.get(word, 1)
                     idf = math.log(1 + (total - seen + 0.5) / (seen + 0.5))
                     impact[word] = idf * times * (_K1 + 1) / (times + _K1 * (1 - _B + _B * len(words) / mean))
                 whole_ = sum(impact.values())
-                for word, value in impact.items():
-                    rows.setdefault(word, {})[entry] = value / whole_
-        self.number = {word: i for i, word in enumerate(rows)}
-        self.postings = [sorted(p.items()) for p in rows.values()]
+                found += [(self.number.setdefault(w, len(self.number)), entry, v / whole_) for w, v in impact.items()]
+        found.sort()
+        row, self.entry, self.value = (np.array(c, k) for c, k in zip(zip(*found) if found else ((), (), ()), (np.int64, np.int64, float)))
         self.blocks = -(-len(self.owner) // BLOCK)
-        self.tops = np.zeros((len(rows), self.blocks), dtype=np.float32)
-        for row, postings in enumerate(self.postings):
-            for entry, value in postings:
-                self.tops[row, entry // BLOCK] = max(self.tops[row, entry // BLOCK], value)
-
-    def within(self, rows: list[int], block: int, least: float) -> list[tuple[int, float]]:
-        """WAND over the entries of a block: (entry, score) of at least ``least``."""
-        low, high = block * BLOCK, (block + 1) * BLOCK
+        key = row * max(self.blocks, 1) + self.entry // BLOCK
+        opens = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        self.first = np.append(opens, len(key))
+        self.block = self.entry[opens] // BLOCK
+        self.top = np.maximum.reduceat(self.value, opens) if len(key) else np.zeros(0)
+        self.start = np.searchsorted(row[opens], np.arange(len(self.number) + 1))
+        #: Maxima by groups of neighbouring blocks, at most ``GROUPS`` of them, as a matrix for all words at once.
+        self.groups = min(self.blocks, GROUPS)
+        self.group = self.block * max(self.groups, 1) // max(self.blocks, 1)
+        self.coarse = np.zeros((len(self.number), self.groups), dtype=np.float32)
+        np.maximum.at(self.coarse, (row[opens], self.group), self.top.astype(np.float32))
+
+    def within(self, places: list[int], least: float) -> list[tuple[int, float]]:
+        """WAND over the postings of one block, a place of ``block`` for each word: (entry, score) of at least ``least``."""
         cursors = []
-        for row in rows:
-            own = [p for p in self.postings[row] if low <= p[0] < high]
-            if own:
-                cursors.append([own, 0, max(v for _, v in own)])
+        for j in places:
+            low, high = self.first[j], self.first[j + 1]
+            cursors.append([list(zip(self.entry[low:high].tolist(), self.value[low:high].tolist())), 0, float(self.top[j])])
         found = []
         while cursors:
             cursors.sort(key=lambda c: c[0][c[1]][0])
@@ -120,24 +132,50 @@ class Index:
             cursors = [c for c in cursors if c[1] < len(c[0])]
         return found
 
-    def retrieve(self, words: list[str], least: float, piece: int = 128 * ENTRY) -> dict[int, list[tuple[float, int]]]:
-        """By item place, (score, first word of the window) of all windows of at least ``least``."""
+    def retrieve(self, words: list[str], least: float) -> dict[int, list[tuple[float, int]]]:
+        """By item place, (score, first word of the window) of all windows of at least ``least``.
+
+        Words are summed by runs of ``ENTRY`` over the groups of blocks, two runs are a
+        window, and only groups that can reach ``least`` are looked into.
+        """
         found: dict[int, list[tuple[float, int]]] = {}
-        if not self.owner:
+        if not self.owner or not words:
             return found
-        get = self.number.get
-        rows = [get(w, -1) for w in words]
-        for start in range(0, max(len(rows) - ENTRY, 1), piece):
-            part = np.array(rows[start : start + piece + ENTRY], dtype=np.int64)
-            there = np.flatnonzero(part >= 0)
-            sums = np.zeros((len(there) + 1, self.blocks), dtype=np.float64)
-            np.cumsum(self.tops[part[there]], axis=0, out=sums[1:])
-            begins = np.arange(0, max(min(piece, len(part) - ENTRY), 1), ENTRY)
-            first, last = np.searchsorted(there, begins), np.searchsorted(there, begins + 2 * ENTRY)
-            for window, block in zip(*np.nonzero(sums[last] - sums[first] >= least - 1e-6)):
-                own = sorted(set(part[there[first[window] : last[window]]].tolist()))
-                for entry, score in self.within(own, int(block), least):
-                    found.setdefault(self.owner[entry], []).append((score, start + int(begins[window])))
+        rows = np.array(list(map(self.number.get, words, repeat(-1))), dtype=np.int64)
+        there = np.flatnonzero(rows >= 0)
+        runs, many = -(-len(words) // ENTRY), len(self.number)
+        once = np.unique(there // ENTRY * many + rows[there])  # a word counts once in a run
+        rows = once % many
+        cuts = np.searchsorted(once, np.arange(runs + 1) * many)
+        for start in range(0, max(runs - 1, 1), PIECE):
+            own_cuts = cuts[start : start + PIECE + 2]
+            own_rows = rows[own_cuts[0] : own_cuts[-1]]
+            if not len(own_rows):
+                continue
+            begin = own_cuts[:-1] - own_cuts[0]
+            sums = np.add.reduceat(self.coarse[own_rows], np.minimum(begin, len(own_rows) - 1))
+            sums[begin == own_cuts[1:] - own_cuts[0]] = 0
+            if len(sums) > 1:
+                sums = sums[:-1] + sums[1:]
+            for window, group in zip(*np.nonzero(sums >= least - 1e-4)):
+                low, high = own_cuts[window], own_cuts[min(window + 2, len(own_cuts) - 1)]
+                own = np.unique(rows[low:high])
+                if self.coarse[own, group].sum() < least - 1e-4:
+                    continue
+                for entry, score in self.above(own, group, least):
+                    found.setdefault(self.owner[entry], []).append((score, int(start + window) * ENTRY))
+        return found
+
+    def above(self, rows: np.ndarray, group: int, least: float) -> list[tuple[int, float]]:
+        """(entry, score) of at least ``least`` of a group of blocks, by their maxima and WAND."""
+        places = np.concatenate([np.arange(self.start[r], self.start[r + 1]) for r in rows])
+        places = places[self.group[places] == group]
+        blocks = self.block[places]
+        if not len(places):
+            return []
+        base, found = blocks.min(), []
+        for block in np.flatnonzero(np.bincount(blocks - base, weights=self.top[places]) >= least - 1e-6):
+            found += self.within(places[blocks == base + block].tolist(), least)
         return found
 
     def matches(self, text: str, least: float, question: float, answer: float) -> list[dict]:
@@ -182,34 +220,44 @@ def _vocabulary(items: DataFrame) -> DataFrame:
 
 def with_matches(
     frame: DataFrame, benchmark: DataFrame, least: float = 0.6, question: float = 0.6, answer: float = 0.6,
-    shard_characters: int = 400_000, column: str = "matches",
+    shard_characters: int = 8_000_000, column: str = "matches",
 ) -> DataFrame:
     """Every row of ``frame`` (with a text column) and ``column``, the items found in it.
 
-    ``benchmark`` has item_id and text. The index is broadcast in shards of about
-    ``shard_characters`` of item text, so its size is bounded however large the benchmark
-    is; word statistics are those of all items, and every text meets every shard. Null
-    texts count as empty, items without words are never found, equal items are one,
-    a null item_id is reported as null. A column of that name is replaced.
+    ``benchmark`` has item_id and text. An index holds about ``shard_characters`` of item
+    text and is broadcast, so its size is bounded however large the benchmark is; word
+    statistics are those of all items, and every text meets every index. A benchmark
+    beyond one index takes a scan of the texts for each; a scan keeps only a digest of
+    the texts that match, and the rows meet their matches by it at the end. Null texts
+    count as empty, items without words are never found, equal items are one, a null
+    item_id is reported as null. A column of that name is replaced.
     """
     spark = frame.sparkSession
     size = benchmark.agg(F.sum(F.char_length(whole())).alias("n")).first()["n"] or 0
-    shards = -(-size // shard_characters)
-    items = _items(benchmark, max(shards, 1))
+    shards = max(-(-size // shard_characters), 1)
+    items = _items(benchmark, shards)
     vocabulary = _vocabulary(items)
     counted = vocabulary.agg(F.count("length").alias("n"), F.avg("length").alias("mean")).first()
     total, mean = counted["n"], counted["mean"] or 1.0
     frequency = vocabulary.groupBy("word").agg(F.count("*").alias("n"))
-    out = frame.drop(column).withColumn(column, F.lit(None).cast(_MATCH))
-    for shard in range(shards):
+
+    def index(shard: int):
         own = [(r["item_id"], r["text"]) for r in items.where(F.col("shard") == shard).collect()]
         known = frequency.join(vocabulary.where(F.col("shard") == shard).select("word").distinct(), "word", "left_semi")
         own.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        index = spark.sparkContext.broadcast(Index(own, {r["word"]: r["n"] for r in known.collect()}, total, mean))
-        out = _searched(out, column, index, least, question, answer)
-        if shards > 1:
-            out = cut_lineage(out)
-    return out.withColumn(column, F.coalesce(column, F.array().cast(_MATCH)))
+        return spark.sparkContext.broadcast(Index(own, {r["word"]: r["n"] for r in known.collect()}, total, mean))
+
+    if shards == 1:
+        return _searched(frame, column, index(0), least, question, answer)
+    path, digest = scratch_path(spark, "matches"), F.sha2(whole().cast("binary"), 256)
+    for shard in range(shards):
+        met = _searched(frame.select(whole().alias("text")), "met", index(shard), least, question, answer)
+        met.where(F.size("met") > 0).select(digest.alias("_text_digest"), "met").distinct().write.mode("append").parquet(path)
+    told = spark.read.schema(f"_text_digest string, met {_MATCH}").parquet(path)
+    told = told.groupBy("_text_digest").agg(F.flatten(F.collect_list("met")).alias("_met_here"))
+    rows = frame.drop(column).withColumn("_text_digest", digest).join(told, "_text_digest", "left")
+    found = F.coalesce("_met_here", F.array().cast(_MATCH)).alias(column)
+    return rows.select(*[F.col(f"`{c}`") for c in frame.columns if c.lower() != column.lower()], found)
 
 
 def _searched(frame: DataFrame, column: str, index, least: float, question: float, answer: float) -> DataFrame:
@@ -219,9 +267,7 @@ def _searched(frame: DataFrame, column: str, index, least: float, question: floa
         own = index.value
         return [pa.array([own.matches(t, least, question, answer) for t in texts], kind)]
 
-    found = f"{column}_of_shard"
-    rows = appended(frame, f"`{found}` {_MATCH}", make)
-    return rows.withColumn(column, F.concat(F.coalesce(column, F.array().cast(_MATCH)), found)).drop(found)
+    return appended(frame, f"`{column}` {_MATCH}", make)
 
 
 def contaminated(frame: DataFrame, benchmark: DataFrame, **options) -> DataFrame:

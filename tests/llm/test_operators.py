@@ -70,7 +70,21 @@ def test_exact_spills(spark):
 def test_exact_keeps_columns(spark):
     kept = exact.drop_copies(documents(spark, EDGE))
     assert kept.columns == documents(spark, EDGE).columns
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([3, 4, 4, 6, 7, 8])
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([3, 4, 6, 7, 8])
+
+
+REPEATED = [
+    (1, "a b c d e"), (1, "a b c d e"), (1, "zz"), (1, "z z"), (1, "z\tz"), (None, "q r s t u"), (None, "q r s t u"), (None, None), (2, ""), (2, ""),
+    (3, "q r s t u"), (4, "Zz"), (1, "Zz"),
+]
+
+
+def test_exact_keeps_one_row_of_each_text(spark):
+    kept = answers(exact.drop_copies(documents(spark, REPEATED)), "doc_id", "text")
+    assert Counter((i, (t or "").replace("\t", " ")) for i, t in kept) == Counter(
+        [(1, "a b c d e"), (1, "z z"), (3, "q r s t u"), (2, ""), (1, "Zz")]
+    )
+    assert exact.drop_copies(documents(spark, [])).count() == 0
 
 
 @settings(max_examples=60, deadline=None)
@@ -329,8 +343,14 @@ def test_links_of_large_groups(spark, monkeypatch):
 
 
 def test_near_copies_drop(spark):
-    kept = simhash.drop_near_copies(documents(spark, EDGE))
-    assert Counter(r["doc_id"] for r in kept.collect()) == Counter(i for i, *_ in [x for x in brute_groups(EDGE).elements() if x[0] == x[2]])
+    for rows in (EDGE, REPEATED):
+        frame = documents(spark, rows)
+        kept = simhash.drop_near_copies(frame)
+        assert kept.columns == frame.columns
+        groups = simhash.grouped(frame).select("root", "component_id").distinct().collect()
+        assert Counter(r["doc_id"] for r in kept.collect()) == Counter(r["component_id"] for r in groups)
+    # a name held by several groups: one row of each
+    assert Counter(answers(kept, "doc_id", "text"))[(1, "a b c d e")] == 1
 
 
 # --- decontamination
@@ -351,8 +371,9 @@ def test_wand_against_brute_force():
             for start in range(0, max(len(words) - contamination.ENTRY, 1), contamination.ENTRY):
                 score = Counter()
                 for w in set(words[start : start + 2 * contamination.ENTRY]):
-                    for e, v in index.postings[index.number[w]] if w in index.number else ():
-                        score[e] += v
+                    for j in range(*index.start[index.number[w] : index.number[w] + 2]) if w in index.number else ():
+                        for at in range(index.first[j], index.first[j + 1]):
+                            score[index.entry[at]] += index.value[at]
                 want |= {(index.owner[e], start) for e, s in score.items() if s >= least - 1e-9}
             assert {(p, s) for p, hits in index.retrieve(words, least).items() for _, s in hits} == want
 
@@ -498,6 +519,20 @@ def test_warc_round_trip(spark, tmp_path):
     assert {r["record_type"] for r in alone.collect()} == {"response"}
 
 
+def test_warc_edges(spark, tmp_path):
+    folder = str(tmp_path / "archives")
+    schema = "page_id long, url string, html string, path string, records string, payload string"
+    pages = [(5, "u", "same"), (5, "v", "same"), (4, "w", "same"), (6, "x", "y" * 30_000_000), (7, "x", None)]
+    frame = spark.createDataFrame([(*p, "mine", "mine", "mine") for p in pages], schema)
+    got = Counter((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.archived(spark, frame).collect())
+    assert got == Counter({(5, 4, "response", None): 2, (4, 4, "revisit", 5): 1, (6, 30_000_000, "response", None): 1, (7, 0, "response", None): 1})
+    assert warc.archived(spark, frame.limit(0)).count() == 0
+    many = spark.range(400).selectExpr("id AS page_id", "'u' AS url", "repeat(uuid(), 50) AS html").repartition(2)
+    manifest = warc.write_archives(many, folder, archive_bytes=20_000, learn_from=3_000)
+    counts = {k: warc.read_archives(manifest, folder, k).rdd.getNumPartitions() for k in (1, 2)}
+    assert counts[1] == manifest.count() and counts[2] == -(-manifest.count() // 2)
+
+
 # --- queries
 
 
