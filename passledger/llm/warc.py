@@ -132,8 +132,11 @@ def write_archives(
     ``folder`` is one that all executors share and pyarrow can open. Payloads of at
     least ``smallest`` bytes that are equal share one response, that with the largest
     page_id; shorter ones and rows without a page_id are always responses. Null html is
-    an empty payload. Each archive learns its dictionary from the first ``learn_from``
-    bytes of its records. The manifest has one row for each archive: path, records.
+    an empty payload. Each archive learns its dictionary from the beginnings (8,192
+    bytes) of its first records, ``learn_from`` bytes of them; this decides nothing but
+    the compression. The manifest has one row for each archive: path, records. An empty
+    table writes no archive; a repeated page_id gets a record for each of its rows, with
+    equal payloads both a response if it is the largest; other columns are not written.
     """
     body = whole("html").cast("binary")
     rows = pages.select(
@@ -189,11 +192,13 @@ def write_archives(
     return pages.sparkSession.read.parquet(manifest)
 
 
-def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
+def read_archives(manifest: DataFrame, folder: str, archives_in_task: int = 8) -> DataFrame:
     """Every record of the listed archives: page_id, payload_bytes, payload_digest, record_type, refers_to.
 
     Length and digest of a response come from its payload, which must match the digest
     in its head; those of a revisit are what its head says of the payload it refers to.
+    Archives are dealt by number: a task for each as long as there are no more of them
+    than shuffle partitions, and ``archives_in_task`` beyond that.
     """
     target = folder.rstrip("/")
 
@@ -226,7 +231,9 @@ def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
                 if held:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*held), kinds)], names=names)
 
-    return manifest.select("path").repartition("path").mapInArrow(run, _SCHEMA)
+    count = manifest.count()
+    tasks = max(-(-count // archives_in_task), min(count, int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1)
+    return manifest.select("path").repartitionByRange(tasks, "path").mapInArrow(run, _SCHEMA)
 
 
 def archived(spark: SparkSession, pages: DataFrame, **options) -> DataFrame:
