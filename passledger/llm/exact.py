@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passledger.llm.common import SPACE, whole
@@ -133,7 +133,7 @@ def _batches(terminals: Iterator[tuple[bytes, tuple, int]], limit: int = 4_000_0
 
 
 def owners(frame: DataFrame, memory: int = 48_000_000) -> DataFrame:
-    """One row for each distinct text: size, sha, keep_id and group_size.
+    """One row for each distinct text: size, sha, chars and keep_id of the row that stays, and group_size.
 
     ``memory`` is the number of bytes a scan task's trie may hold before a subtree
     is spilled.
@@ -170,7 +170,7 @@ def owners(frame: DataFrame, memory: int = 48_000_000) -> DataFrame:
 
         rows = []
         for key, rank, copies in terminals():
-            rows.append((len(key), hashlib.sha256(key).hexdigest(), _owner(rank), copies))
+            rows.append((len(key), hashlib.sha256(key).hexdigest(), -rank[0], _owner(rank), copies))
             if len(rows) == 20_000:
                 yield _owned(rows)
                 rows = []
@@ -182,18 +182,27 @@ def owners(frame: DataFrame, memory: int = 48_000_000) -> DataFrame:
         .mapInArrow(combine, _TERMINALS)
         .repartition("size", "digest")
         .sortWithinPartitions("size", "digest")
-        .mapInArrow(merge, "size int, sha string, keep_id bigint, group_size bigint")
+        .mapInArrow(merge, "size int, sha string, chars bigint, keep_id bigint, group_size bigint")
     )
 
 
 def _owned(rows: list[tuple]) -> pa.RecordBatch:
-    size, sha, keep, copies = zip(*rows)
+    size, sha, chars, keep, copies = zip(*rows)
     return pa.RecordBatch.from_arrays(
-        [pa.array(size, pa.int32()), pa.array(sha, pa.string()), pa.array(keep, pa.int64()), pa.array(copies, pa.int64())],
-        names=["size", "sha", "keep_id", "group_size"],
+        [
+            pa.array(size, pa.int32()), pa.array(sha, pa.string()), pa.array(chars, pa.int64()), pa.array(keep, pa.int64()),
+            pa.array(copies, pa.int64()),
+        ],
+        names=["size", "sha", "chars", "keep_id", "group_size"],
     )
 
 
+def _content() -> list[Column]:
+    """Size and digest of a text as texts are compared."""
+    body = F.translate(whole(), SPACE, "")
+    return [F.octet_length(body).cast("int"), F.sha2(body.cast("binary"), 256)]
+
+
 def exact_groups(frame: DataFrame) -> DataFrame:
     """Every row of ``frame`` (doc_id, text) with the row that stays for its text.
 
@@ -203,12 +212,8 @@ def exact_groups(frame: DataFrame) -> DataFrame:
     rows that repeat the doc_id of the one that stays are kept with it. Other columns
     are ignored; an empty table gives an empty result.
     """
-    body = F.translate(whole(), SPACE, "")
-    rows = frame.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
-        F.octet_length(body).cast("int").alias("size"),
-        F.sha2(body.cast("binary"), 256).alias("sha"),
-    )
+    size, sha = _content()
+    rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), size.alias("size"), sha.alias("sha"))
     return rows.join(owners(frame), ["size", "sha"]).select(
         "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
         F.col("sha").alias("text_sha256"),
@@ -216,6 +221,23 @@ def exact_groups(frame: DataFrame) -> DataFrame:
 
 
 def drop_copies(frame: DataFrame) -> DataFrame:
-    """The rows of ``frame`` that stay, with all their columns."""
-    held = exact_groups(frame).where("kept").select(F.col("doc_id").alias("_kept_id")).distinct()
-    return frame.join(held, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``frame`` for each distinct text, with all its columns.
+
+    It is the row that ``exact_groups`` keeps; of several rows with its doc_id (or none)
+    and as many code points one stays. A row travels by its text and id, so that only
+    rows that repeat both come together.
+    """
+    size, sha = _content()
+    id_ = F.col("doc_id").cast("long")
+    here = frame.withColumns(
+        {
+            "_x_size": size, "_x_sha": sha, "_x_chars": F.char_length(whole()).cast("long"),
+            "_x_id": F.coalesce(id_, F.lit(0).cast("long")), "_x_none": id_.isNull(),
+        }
+    )
+    key = ["_x_size", "_x_sha", "_x_chars", "_x_id", "_x_none"]
+    kept = owners(frame).select(
+        F.col("size").alias(key[0]), F.col("sha").alias(key[1]), F.col("chars").alias(key[2]),
+        F.coalesce("keep_id", F.lit(0).cast("long")).alias(key[3]), F.col("keep_id").isNull().alias(key[4]),
+    )
+    return here.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
