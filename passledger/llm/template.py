@@ -204,7 +204,7 @@ def fold(node: tuple, filters: Mapping[str, Callable]) -> tuple:
         if left[0] == "const" and kind in ("and", "or"):
             return right if bool(left[1]) == (kind == "and") else left
         if left[0] == right[0] == "const":
-            return ("const", _BINARY[kind](left[1], right[1]))
+            return ("const", _worked(_BINARY[kind], left[1], right[1]))
         return (kind, left, right)
     if kind == "not":
         inner = fold(node[1], filters)
@@ -213,7 +213,7 @@ def fold(node: tuple, filters: Mapping[str, Callable]) -> tuple:
         inner = fold(node[2], filters)
         if node[1] not in filters:
             raise TemplateError(f"no filter {node[1]!r}")
-        return ("const", filters[node[1]](inner[1])) if inner[0] == "const" else ("filter", node[1], inner)
+        return ("const", _worked(filters[node[1]], inner[1])) if inner[0] == "const" else ("filter", node[1], inner)
     if kind == "field":
         return ("field", fold(node[1], filters), node[2])
     if kind == "write":
@@ -222,6 +222,7 @@ def fold(node: tuple, filters: Mapping[str, Callable]) -> tuple:
     if kind == "if":
         test = fold(node[1], filters)
         if test[0] == "const":
+            _known_filters(node, filters)  # those of the branch that goes as well
             return fold(node[2] if test[1] else node[3], filters)
         return ("if", test, fold(node[2], filters), fold(node[3], filters))
     if kind == "for":
@@ -242,6 +243,22 @@ def fold(node: tuple, filters: Mapping[str, Callable]) -> tuple:
     return node
 
 
+def _worked(rule: Callable, *values):
+    """A rule on constants; what it cannot take is an error of the template."""
+    try:
+        return rule(*values)
+    except (TypeError, ValueError, AttributeError) as fault:
+        raise TemplateError(f"{values!r}: {fault}") from fault
+
+
+def _known_filters(node, filters: Mapping[str, Callable]) -> None:
+    if isinstance(node, tuple) and len(node) > 1 and node[0] == "filter" and node[1] not in filters:
+        raise TemplateError(f"no filter {node[1]!r}")
+    if isinstance(node, (tuple, list)):
+        for part in node:
+            _known_filters(part, filters)
+
+
 def _text(value) -> str:
     return "" if value is None else value if isinstance(value, str) else str(value)
 
