@@ -57,9 +57,9 @@ def preparation_check(
         "status",
         first_reason(
             [
-                (F.col("spacecraft") != 1, "Doppler fitting requires one spacecraft"),
+                (F.col("spacecraft") != 1, "several_spacecraft"),
                 (F.col("unrequested") > 0, "unrequested"),
-                (F.col("insufficient") > 0, "insufficient selected Doppler samples"),
+                (F.col("insufficient") > 0, "too_few_samples"),
             ],
             "ready",
         ),

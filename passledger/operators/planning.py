@@ -7,10 +7,13 @@ ranges into member rows where the passes themselves are needed.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.functions import udtf
+from pyspark.sql.types import StructType
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from passledger.functions.scalars import first_reason
 from passledger.operators.ordered import ordinal, value_band
@@ -230,10 +233,61 @@ def top_fraction(
         F.coalesce("_kept", F.lit(False)).alias("selected"),
         first_reason(
             [
-                (F.col("rank").isNull(), "pilot failed"),
-                (F.col("rank") < 6, "rank deficient"),
+                (F.col("rank").isNull(), "pilot_failed"),
+                (F.col("rank") < 6, "rank_deficient"),
                 (F.coalesce("_kept", F.lit(False)), "selected"),
             ],
             "below_fraction",
         ).alias("reason"),
     )
+
+
+def fraction_status(selection: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row for each group of ``top_fraction``: counts, and whether it can be fitted.
+
+    ``ready`` with at least one selected contact, else ``selection_failed``.
+    """
+    counted = selection.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("candidates"), F.count_if("selected").alias("selected"),
+        F.count_if(F.col("reason") == "pilot_failed").alias("pilot_failed"), F.count_if(F.col("reason") == "rank_deficient").alias("rank_deficient"),
+    )
+    return counted.withColumn("status", F.when(F.col("selected") > 0, "ready").otherwise("selection_failed"))
+
+
+class PlanGroups:
+    """``group_expansion`` as a table function: a row in for each pass in completion order.
+
+    Only the passes counted so far are held, so a partition of any length streams through.
+    """
+
+    def __init__(self) -> None:
+        self.seen = 0
+
+    @staticmethod
+    def analyze(passes: AnalyzeArgument) -> AnalyzeResult:
+        if not passes.isTable:
+            raise ValueError("plan_groups takes TABLE(passes)")
+        lacking = {"spacecraft_id", "contact_id", "start_us", "stop_us"} - {f.name for f in passes.dataType.fields}
+        if lacking:
+            raise ValueError(f"passes lack {', '.join(sorted(lacking))}")
+        kind = {f.name: f.dataType.simpleString() for f in passes.dataType.fields}
+        return AnalyzeResult(
+            StructType.fromDDL(
+                f"spacecraft_id {kind['spacecraft_id']}, method string, strategy string, family_rank int, first_ordinal long, last_ordinal long, "
+                f"pass_count long, last_contact_id {kind['contact_id']}, checkpoint_us long"
+            ),
+            partitionBy=[PartitioningColumn("spacecraft_id")],
+            orderBy=[OrderingColumn(c) for c in ("stop_us", "start_us", "contact_id")],
+        )
+
+    def eval(self, row) -> Iterator[tuple]:
+        self.seen += 1
+        for rank, (method, strategy) in enumerate(FAMILIES):
+            first = {"single": self.seen, "rolling": self.seen - 2, "cumulative": 1}[strategy]
+            if first > 0:
+                yield row["spacecraft_id"], method, strategy, rank, first, self.seen, self.seen - first + 1, row["contact_id"], row["stop_us"]
+
+
+def register_table_functions(spark: SparkSession) -> None:
+    """``SELECT * FROM plan_groups(TABLE(passes))``: partitioned by spacecraft and ordered by itself."""
+    spark.udtf.register("plan_groups", udtf(PlanGroups))

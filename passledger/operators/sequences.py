@@ -120,8 +120,8 @@ def lock_edges(probes: DataFrame, keys: Sequence[str]) -> DataFrame:
     status = first_reason(
         [
             (F.col("_left").isNull(), "no_lock_window"),
-            (F.col("_left") == 0, "left_edge_censored"),
-            (F.col("_unlock").isNull(), "right_edge_censored"),
+            (F.col("_left") == 0, "open_at_start"),
+            (F.col("_unlock").isNull(), "open_at_end"),
         ],
         "lock_window_midpoint",
     )

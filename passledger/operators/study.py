@@ -216,7 +216,7 @@ def prefix_summary(rows: DataFrame) -> DataFrame:
         first_reason(
             [
                 (~whole, "folds_incomplete"),
-                (F.col("status").isNull(), "single-pass CV unavailable"),
+                (F.col("status").isNull(), "no_folds_of_one_pass"),
             ],
             None,
         ).alias("_why"),

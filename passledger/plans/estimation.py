@@ -155,15 +155,35 @@ def timing_scan(t: Tables) -> DataFrame:
     return estimate.best_offset(scan).withColumn("cost", r("cost", 0))
 
 
-@query("robust_timing_scan", "E02 A30")
+@query(
+    "robust_timing_scan",
+    "E02 A30",
+    f"""WITH RECURSIVE {_OBS}, {_sql_doppler('os', 'sh', 'tru')}, ot AS (SELECT * EXCLUDE (dx, dy, dz, wx, wy, wz, f), f + decade * 30 - 20 + noise AS observed FROM tru),
+    oz AS (SELECT *, unnest(list_transform(range(0, 13), lambda i: CAST(i - 6 AS DOUBLE))) AS off FROM ot), {_sql_doppler('oz', 'off', 'pr')},
+    d AS MATERIALIZED (SELECT u, off, decade, (f - observed) / 2 AS z FROM pr),
+    s AS (SELECT DISTINCT u, off, decade, 0 AS k, CAST(-150000 AS DOUBLE) AS low, CAST(150000 AS DOUBLE) AS high FROM d
+        UNION ALL
+        SELECT u, off, decade, k + 1, CASE WHEN g < 0 THEN (low + high) / 2 ELSE low END, CASE WHEN g < 0 THEN high ELSE (low + high) / 2 END
+        FROM (SELECT s.u, s.off, s.decade, s.k, s.low, s.high, sum((z + (low + high) / 4) / sqrt(1 + pow((z + (low + high) / 4) / 5, 2))) AS g
+              FROM s JOIN d ON d.u = s.u AND d.off = s.off AND d.decade = s.decade WHERE s.k < 60 GROUP BY ALL)),
+    c AS (SELECT d.u, d.off, 25 * sum(sqrt(1 + pow((z + (low + high) / 4) / 5, 2)) - 1) AS cost
+          FROM s JOIN d ON d.u = s.u AND d.off = s.off AND d.decade = s.decade WHERE s.k = 60 GROUP BY 1, 2)
+    SELECT u AS fit_id, arg_min(off, (cost, off)) AS offset_s, {rd('min(cost)', 2)} AS cost, count(*) AS candidates FROM c GROUP BY 1""",
+)
 def robust_timing_scan(t: Tables) -> DataFrame:
-    scan = estimate.timing_scan(
-        observations(t), lower_s=-6.0, upper_s=6.0, step_s=1.0, loss="soft_l1", loss_scale=5.0, rounds=2
-    )
+    scan = estimate.timing_scan(observations(t), lower_s=-6.0, upper_s=6.0, step_s=1.0, loss="soft_l1", loss_scale=5.0)
     return estimate.best_offset(scan).withColumn("cost", r("cost", 2))
 
 
-@query("phase_scan", "E03 A32")
+@query(
+    "phase_scan",
+    "E03 A32",
+    f"""WITH {_OBS}, {_sql_doppler('os', 'sh', 'tru')}, ot AS (SELECT * EXCLUDE (dx, dy, dz, wx, wy, wz, f), f + decade * 30 - 20 + noise AS observed FROM tru),
+    oz AS (SELECT *, unnest(range(-30, 31)) AS deg FROM ot), {_sql_doppler('oz', '(deg / degrees(n))', 'pr')},
+    d AS (SELECT u, deg, decade, f - observed AS z FROM pr), m AS (SELECT *, greatest(-150000, least(150000, -median(z) OVER (PARTITION BY u, deg, decade))) AS b FROM d),
+    c AS (SELECT u, deg, 25 * sum(sqrt(1 + pow((z + b) / 10, 2)) - 1) AS cost FROM m GROUP BY 1, 2)
+    SELECT u AS fit_id, CAST(arg_min(deg, (cost, deg)) AS DOUBLE) AS offset_s, {rd('min(cost)', 2)} AS cost, count(*) AS candidates FROM c GROUP BY 1""",
+)
 def phase_scan(t: Tables) -> DataFrame:
     return estimate.best_offset(estimate.phase_scan(observations(t), loss="soft_l1", loss_scale=5.0)).withColumn(
         "cost", r("cost", 2)
@@ -171,10 +191,39 @@ def phase_scan(t: Tables) -> DataFrame:
 
 
 def _fitted(t: Tables, drift: bool) -> DataFrame:
-    return estimate.joint_fit(observations(t), drift=drift, loss="soft_l1", loss_scale=3.0, steps=12, tolerance_s=1e-4, tolerance_hz=1e-2)
+    return estimate.joint_fit(observations(t), drift=drift, loss="soft_l1", loss_scale=3.0, tolerance_s=1e-9, tolerance_hz=1e-6)
 
 
-@query("joint_fit", "E04")
+def _sql_fit(drift: bool, rounds: int = 40) -> str:
+    """CTEs giving g: plain reweighted steps from the known truth, the slope as a difference quotient."""
+    shift = "(off + dr * s)"
+    step = f"{shift[:-1]} + 0.01)", f"{shift[:-1]} - 0.01)"
+    tail = "* EXCLUDE (dx, dy, dz, wx, wy, wz, f)"
+    sums = ", ".join(f"sum(w * j{x} * j{y}) AS {x}{y}" for x, y in ("aa", "ab", "bb", "ah", "bh", "hh", "ar", "br", "hr"))
+    whole = ", ".join(
+        f"sum({x}{y} - {x}h * {'hr' if y == 'r' else y + 'h'} / hh) OVER (PARTITION BY u) AS T{x}{y}" for x, y in ("aa", "ab", "bb", "ar", "br")
+    )
+    if drift:
+        da, db = "(Tbr * Tab - Tar * Tbb) / (Taa * Tbb - Tab * Tab)", "(Tar * Tab - Tbr * Taa) / (Taa * Tbb - Tab * Tab)"
+    else:
+        da, db = "-Tar / Taa", "CAST(0 AS DOUBLE)"
+    return f"""RECURSIVE {_OBS}, {_sql_doppler('os', 'sh', 'tru')}, ot AS MATERIALIZED (SELECT * EXCLUDE (dx, dy, dz, wx, wy, wz, f), f + decade * 30 - 20 + noise AS observed FROM tru),
+    g AS (SELECT DISTINCT u, decade, 0 AS k, CAST(sh AS DOUBLE) AS off, CAST(0 AS DOUBLE) AS dr, CAST(decade * 30 - 20 AS DOUBLE) AS bias FROM ot
+        UNION ALL
+        SELECT u, decade, k + 1, off + da, dr + db, bias - (hr + ah * da + bh * db) / hh
+        FROM (SELECT *, {da} AS da, {db} AS db FROM (SELECT *, {whole} FROM (SELECT u, decade, k, off, dr, bias, {sums} FROM (
+            WITH x AS (SELECT ot.*, g.k, g.off, g.dr, g.bias FROM g JOIN ot ON ot.u = g.u AND ot.decade = g.decade WHERE g.k < {rounds}),
+            {_sql_doppler('x', shift, 'm0')}, y AS (SELECT {tail}, f AS f0 FROM m0), {_sql_doppler('y', step[0], 'm1')}, v AS (SELECT {tail}, f AS f1 FROM m1), {_sql_doppler('v', step[1], 'm2')},
+            e AS (SELECT *, (f0 + bias - observed) / 2 AS jr, (f1 - f) / 0.02 / 2 AS ja, (f1 - f) / 0.02 / 2 * s AS jb, CAST(0.5 AS DOUBLE) AS jh FROM m2)
+            SELECT *, 1 / sqrt(1 + pow(jr / 3, 2)) AS w FROM e) GROUP BY u, decade, k, off, dr, bias))))"""
+
+
+@query(
+    "joint_fit",
+    "E04",
+    f"""WITH {_sql_fit(False)} SELECT u AS fit_id, concat('C', u, '-', decade) AS contact_id, {rd('off', 4)} AS offset_s, {rd('bias', 2)} AS bias_hz,
+    abs(off - (u % 11 - 5) * 0.8) < 0.05 AS recovered, true AS converged, false AS at_bound FROM g WHERE k = 40""",
+)
 def joint_fit(t: Tables) -> DataFrame:
     out = _fitted(t, drift=False)
     truth = (F.col("fit_id") % 11 - 5) * 0.8
@@ -184,12 +233,17 @@ def joint_fit(t: Tables) -> DataFrame:
     )
 
 
-@query("drift_fit", "E05")
+@query(
+    "drift_fit",
+    "E05",
+    f"""WITH {_sql_fit(True)} SELECT u AS fit_id, concat('C', u, '-', decade) AS contact_id, {rd('off', 3)} AS offset_s, {rd('dr', 6)} AS drift,
+    {rd('bias', 1)} AS bias_hz, true AS converged, false AS at_bound FROM g WHERE k = 40""",
+)
 def drift_fit(t: Tables) -> DataFrame:
     out = _fitted(t, drift=True)
     return out.select(
         "fit_id", "contact_id", r("offset_s", 3).alias("offset_s"), r("drift", 6).alias("drift"),
-        r("bias_hz", 1).alias("bias_hz"), "at_bound",
+        r("bias_hz", 1).alias("bias_hz"), "converged", "at_bound",
     )
 
 
@@ -266,6 +320,21 @@ def pass_information(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "pass_information_one",
+    "E07",
+    f"""WITH @residuals, g AS (SELECT fit_id, pow(1 + pow(residual_hz / sigma_hz / 100.0, 2), -0.75) AS w, j_bias AS b, j_time AS a FROM residuals),
+    s AS (SELECT fit_id, count(*) AS samples, sum(w * a * w * a) - pow(sum(w * a * w * b), 2) / sum(w * b * w * b) AS left_over FROM g GROUP BY 1)
+    SELECT fit_id, samples, 1 AS rank, CAST(1 AS DOUBLE) AS fim_condition, {rd('1 / left_over', 6)} AS inverse_information_trace FROM s""",
+)
+def pass_information_one(t: Tables) -> DataFrame:
+    """One orbit column, where what projection leaves has a closed form."""
+    w = curvature_weight(F.col("residual_hz") / F.col("sigma_hz"), "soft_l1", 100.0)
+    rows = t.residuals.select(F.col("fit_id").cast("long").alias("fit_id"), (w * F.col("j_bias")).alias("bias"), (w * F.col("j_time")).alias("c1"))
+    out = estimate.pass_information(rows, "fit_id", "bias", ["c1"])
+    return out.select("fit_id", "samples", "rank", r("fim_condition", 2).alias("fim_condition"), r("inverse_information_trace", 6).alias("inverse_information_trace"))
+
+
 @query(
     "fit_conditioning",
     "E08 E11",
@@ -280,7 +349,7 @@ def fit_conditioning(t: Tables) -> DataFrame:
         F.col("fit_id").cast("long").alias("fit_id"), (w * F.col("j_time") / F.col("sigma_hz")).alias("a"),
         (w * F.col("j_rate") / F.col("sigma_hz") * 10).alias("b"),
     )
-    out = estimate.conditioning(rows, "fit_id", ["a", "b"])
+    out = estimate.conditioning(rows, "fit_id", ["a", "b"]).drop("reason")
     return out.withColumn("condition_number", r("condition_number", 5)).withColumn("correlation", r("correlation", 6))
 
 

@@ -29,9 +29,9 @@ MONTH_US = 30 * DAY_US
     SELECT fit_id, count(wanted) AS requested, count(*) FILTER (wanted AND coalesce(n, 0) < 1) AS insufficient,
       count(*) FILTER (wanted IS NULL) AS unrequested, count(DISTINCT spacecraft_id) AS spacecraft,
       CAST(sum(CASE WHEN wanted THEN n END) AS BIGINT) AS samples,
-      CASE WHEN count(DISTINCT spacecraft_id) <> 1 THEN 'Doppler fitting requires one spacecraft'
+      CASE WHEN count(DISTINCT spacecraft_id) <> 1 THEN 'several_spacecraft'
         WHEN count(*) FILTER (wanted IS NULL) > 0 THEN 'unrequested'
-        WHEN count(*) FILTER (wanted AND coalesce(n, 0) < 1) > 0 THEN 'insufficient selected Doppler samples' ELSE 'ready' END AS status
+        WHEN count(*) FILTER (wanted AND coalesce(n, 0) < 1) > 0 THEN 'too_few_samples' ELSE 'ready' END AS status
     FROM b GROUP BY fit_id""",
 )
 def preparation_check(t: Tables) -> DataFrame:

@@ -51,6 +51,23 @@ def group_expansion(t: Tables) -> DataFrame:
     return plan.drop("last_start_us")
 
 
+@query(
+    "group_expansion_sql",
+    "D03",
+    f"""WITH @passes, {_ORDERED}, fam AS (SELECT * FROM (VALUES ('timing', 'single', 0), ('timing', 'cumulative', 1), ('sgp4_L+n', 'rolling', 2),
+        ('sgp4_L+n', 'cumulative', 3), ('full_state', 'cumulative', 4)) v(method, strategy, family_rank)),
+    g AS (SELECT spacecraft_id, method, strategy, family_rank,
+       CASE strategy WHEN 'single' THEN ord WHEN 'rolling' THEN ord - 2 ELSE 1 END AS first_ordinal, ord AS last_ordinal, contact_id AS last_contact_id, stop_us AS checkpoint_us
+       FROM o, fam WHERE strategy <> 'rolling' OR ord >= 3)
+    SELECT spacecraft_id, method, strategy, family_rank, first_ordinal, last_ordinal, last_ordinal - first_ordinal + 1 AS pass_count, last_contact_id, checkpoint_us FROM g""",
+)
+def group_expansion_sql(t: Tables) -> DataFrame:
+    """The same plan by the table function, from SQL."""
+    planning.register_table_functions(t.spark)
+    t.passes.select("spacecraft_id", "contact_id", "start_us", "stop_us").createOrReplaceTempView("passes_to_plan")
+    return t.spark.sql("SELECT * FROM plan_groups(TABLE(passes_to_plan))")
+
+
 @query(
     "group_members",
     "J08",
@@ -120,7 +137,7 @@ def causal_last_n(t: Tables) -> DataFrame:
     """WITH @passes, c AS (SELECT contact_id, pass_no // 40 AS fit_id, stop_us, CASE WHEN pass_no % 19 = 0 THEN NULL WHEN pass_no % 7 = 0 THEN 5 ELSE 6 END AS rank,
        round(amount / 1000, 1) AS trace FROM passes),
     v AS (SELECT *, row_number() OVER (PARTITION BY fit_id ORDER BY trace, -stop_us, contact_id) AS place, count(*) OVER (PARTITION BY fit_id) AS n FROM c WHERE rank = 6)
-    SELECT c.fit_id, c.contact_id, coalesce(place <= ceil(n * 0.4), false) AS selected, CASE WHEN c.rank IS NULL THEN 'pilot failed' WHEN c.rank < 6 THEN 'rank deficient'
+    SELECT c.fit_id, c.contact_id, coalesce(place <= ceil(n * 0.4), false) AS selected, CASE WHEN c.rank IS NULL THEN 'pilot_failed' WHEN c.rank < 6 THEN 'rank_deficient'
       WHEN place <= ceil(n * 0.4) THEN 'selected' ELSE 'below_fraction' END AS reason FROM c LEFT JOIN v ON v.contact_id = c.contact_id""",
 )
 def top_fraction(t: Tables) -> DataFrame:
@@ -134,6 +151,21 @@ def top_fraction(t: Tables) -> DataFrame:
     return planning.top_fraction(candidates, ["fit_id"], "trace", 0.4)
 
 
+@query(
+    "top_fraction_status",
+    "W10",
+    """WITH @passes, c AS (SELECT pass_no // 40 AS fit_id, CASE WHEN pass_no % 19 = 0 THEN NULL WHEN pass_no % 7 = 0 OR pass_no // 40 % 6 = 2 THEN 5 ELSE 6 END AS rank FROM passes)
+    SELECT fit_id, count(*) AS candidates, CAST(ceil(count(*) FILTER (rank = 6) * 0.4) AS BIGINT) AS selected, count(*) FILTER (rank IS NULL) AS pilot_failed,
+      count(*) FILTER (rank < 6) AS rank_deficient, CASE WHEN count(*) FILTER (rank = 6) > 0 THEN 'ready' ELSE 'selection_failed' END AS status FROM c GROUP BY 1""",
+)
+def top_fraction_status(t: Tables) -> DataFrame:
+    candidates = t.passes.selectExpr(
+        "contact_id", "pass_no div 40 AS fit_id", "stop_us",
+        "CASE WHEN pass_no % 19 = 0 THEN NULL WHEN pass_no % 7 = 0 OR pass_no div 40 % 6 = 2 THEN 5 ELSE 6 END AS rank", "round(amount / 1000, 1) AS trace",
+    )
+    return planning.fraction_status(planning.top_fraction(candidates, ["fit_id"], "trace", 0.4), ["fit_id"])
+
+
 @query(
     "best_duplicate",
     "W03",
@@ -218,7 +250,7 @@ def collapse_equal(t: Tables) -> DataFrame:
        o_orderkey % 12 BETWEEN (o_orderkey // 12) % 9 AND (o_orderkey // 12) % 9 + (o_orderkey // 12) % 5 - 1 AS locked FROM orders),
     l AS (SELECT sweep, min(i) FILTER (locked) AS le FROM p GROUP BY 1),
     u AS (SELECT p.sweep, le, min(i) FILTER (NOT locked AND i > le) AS un FROM p JOIN l ON l.sweep = p.sweep GROUP BY 1, 2),
-    s AS (SELECT *, CASE WHEN le IS NULL THEN 'no_lock_window' WHEN le = 0 THEN 'left_edge_censored' WHEN un IS NULL THEN 'right_edge_censored' ELSE 'lock_window_midpoint' END AS status FROM u)
+    s AS (SELECT *, CASE WHEN le IS NULL THEN 'no_lock_window' WHEN le = 0 THEN 'open_at_start' WHEN un IS NULL THEN 'open_at_end' ELSE 'lock_window_midpoint' END AS status FROM u)
     SELECT sweep, status, CASE WHEN status = 'lock_window_midpoint' THEN {rd('le * 0.5 - 3')} END AS left_edge_s,
       CASE WHEN status = 'lock_window_midpoint' THEN {rd('(un - 1) * 0.5 - 3')} END AS right_edge_s,
       CASE WHEN status = 'lock_window_midpoint' THEN {rd('(le + un - 1) * 0.25 - 3')} END AS midpoint_s FROM s""",

@@ -306,7 +306,7 @@ def _track_rows(t: Tables) -> tuple[DataFrame, DataFrame]:
 @query(
     "track_observations",
     "S15 W08",
-    f"""WITH {_TRACK} SELECT contact_id, t_us, CASE WHEN lo <> hi THEN 'conflicting values at one epoch' ELSE '' END AS reason FROM tg""",
+    f"""WITH {_TRACK} SELECT contact_id, t_us, CASE WHEN lo <> hi THEN 'epoch_conflict' ELSE '' END AS reason FROM tg""",
 )
 def track_observations(t: Tables) -> DataFrame:
     return tracking_data.track_observations(*_track_rows(t)).select("contact_id", "t_us", "reason")
@@ -400,6 +400,25 @@ def export_files(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "angle_files",
+    "S16",
+    f"""WITH {_ANGLE}, {_HEAD}, ok AS (SELECT contact_id, t_us, a, b FROM ag WHERE a = a2 AND b = b2 AND na = n AND nb = n),
+    n AS (SELECT contact_id, count(*) AS epochs, CAST(sum(round(a * 1000000)) AS BIGINT) AS angle_1, CAST(sum(round(b * 1000000)) AS BIGINT) AS angle_2 FROM ok GROUP BY 1)
+    SELECT h.contact_id, count(*) + 1 + 2 * max(coalesce(epochs, 0)) AS lines, max(coalesce(epochs, 0)) AS epochs, max(coalesce(angle_1, 0)) AS angle_1,
+      max(coalesce(angle_2, 0)) AS angle_2 FROM hl h LEFT JOIN n ON n.contact_id = h.contact_id WHERE kind = 'ANGLE' GROUP BY 1""",
+)
+def angle_files(t: Tables) -> DataFrame:
+    """The ANGLE files of all contacts, written and read back: lines, epochs and sums of both angles in millionths."""
+    path = scratch_path(t.spark, "angle-files")
+    tracking_data.write_exports(_headers(t, "ANGLE"), angle_lines(t), path)
+    read = tracking_data.read_angles(t.spark.read.text(path))
+    millionths = [F.coalesce(F.sum(F.round(F.col(f"angle_{i}") * 1_000_000)), F.lit(0)).cast("long").alias(f"angle_{i}") for i in (1, 2)]
+    return read.groupBy(F.col("contact_id").cast("long").alias("contact_id")).agg(
+        F.count(F.lit(1)).alias("lines"), F.count("angle_1").alias("epochs"), *millionths
+    )
+
+
 # --- result files and artifacts ------------------------------------------------------
 
 
@@ -501,8 +520,8 @@ def audit_log(t: Tables) -> DataFrame:
 @query(
     "orbit_descriptors",
     "S26",
-    """SELECT o_orderkey AS no, concat('sol', o_orderkey) AS solution_id, CASE WHEN o_orderkey % 9 = 0 THEN 'orbit descriptor requires seven finite corrections'
-      WHEN o_orderkey % 11 = 0 THEN 'orbit descriptor requires two TLE lines' ELSE '' END AS reason, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * 6 ELSE o_totalprice * 7 END AS total FROM orders""",
+    """SELECT o_orderkey AS no, concat('sol', o_orderkey) AS solution_id, CASE WHEN o_orderkey % 9 = 0 THEN 'offsets'
+      WHEN o_orderkey % 11 = 0 THEN 'tle_lines' ELSE '' END AS reason, CASE WHEN o_orderkey % 9 = 0 THEN o_totalprice * 6 ELSE o_totalprice * 7 END AS total FROM orders""",
 )
 def orbit_descriptors(t: Tables) -> DataFrame:
     seven = F.array_repeat("o_totalprice", 7)

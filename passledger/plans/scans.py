@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from passledger.operators import selectors as sel
 from passledger.plans.registry import query
 from passledger.plans.standins import HOUR_US, ORIGIN_US, Tables
+from passledger.session import scratch_path
 from passledger.sources import measurements as ms
 
 
@@ -98,12 +99,17 @@ def contact_scan(t: Tables) -> DataFrame:
     d AS (SELECT contact_id, count(*) AS samples,
         count(DISTINCT CASE WHEN event_id % 211 = 0 THEN 'X' ELSE system_id END) AS systems FROM telemetry GROUP BY 1)
     SELECT ordinal, req.contact_id, coalesce(samples, 0) AS samples,
-      CASE WHEN c.spacecraft_id IS NULL THEN 'unknown contact'
-           WHEN systems > 1 THEN 'measurement system identity mismatch' ELSE 'loaded' END AS status
+      CASE WHEN c.spacecraft_id IS NULL THEN 'unknown_contact'
+           WHEN systems > 1 THEN 'system_mismatch' ELSE 'loaded' END AS status
     FROM req LEFT JOIN contacts c ON c.contact_id = req.contact_id LEFT JOIN d ON d.contact_id = req.contact_id
     """,
 )
 def multi_pass_load(t: Tables) -> DataFrame:
+    requests, delivered = _requests(t)
+    return ms.load_passes(requests, t.contacts, delivered)
+
+
+def _requests(t: Tables) -> tuple[DataFrame, DataFrame]:
     requests = t.table("customer").select(
         F.col("c_custkey").alias("ordinal"),
         F.concat_ws(
@@ -113,7 +119,43 @@ def multi_pass_load(t: Tables) -> DataFrame:
     delivered = t.telemetry.withColumn(
         "system_id", F.when(F.col("event_id") % 211 == 0, "X").otherwise(F.col("system_id"))
     )
-    return ms.load_passes(requests, t.contacts, delivered)
+    return requests, delivered
+
+
+@query(
+    "multi_pass_rows",
+    "S05",
+    """
+    WITH @telemetry, @contacts,
+    req AS (SELECT c_custkey AS ordinal, concat('C', c_custkey, '-', c_custkey % 4) AS contact_id FROM customer),
+    d AS (SELECT contact_id, count(DISTINCT CASE WHEN event_id % 211 = 0 THEN 'X' ELSE system_id END) AS systems FROM telemetry GROUP BY 1)
+    SELECT ordinal, t.contact_id, t.event_id, t.ts_us, t.elevation_deg
+    FROM req JOIN contacts c ON c.contact_id = req.contact_id JOIN d ON d.contact_id = req.contact_id AND systems = 1 JOIN telemetry t ON t.contact_id = req.contact_id
+    """,
+)
+def multi_pass_rows(t: Tables) -> DataFrame:
+    requests, delivered = _requests(t)
+    rows = ms.load_rows(requests, t.contacts, delivered, strict=False)
+    return rows.select("ordinal", "contact_id", "event_id", "ts_us", "elevation_deg")
+
+
+@query(
+    "measurement_files",
+    "S01 S04",
+    f"""
+    WITH @telemetry SELECT contact_id, ts_us, elevation_deg, carrier_lock, CASE WHEN NOT isnan(doppler_hz) THEN doppler_hz END AS doppler_hz FROM telemetry
+    WHERE contact_id = 'C7-1' AND ts_us BETWEEN {ORIGIN_US + 240 * HOUR_US} AND {ORIGIN_US + 400 * HOUR_US}""",
+)
+def measurement_files(t: Tables) -> DataFrame:
+    """A provider's files, read by their path; a bounded fetch of one contact reaches the scan as a filter."""
+    path = scratch_path(t.spark, "provider")
+    _provider_frame(t).write.partitionBy("spacecraft_id").parquet(path)
+    frame = ms.read_measurements(t.spark, path)
+    start, stop = (F.timestamp_micros(F.lit(ORIGIN_US + h * HOUR_US)) for h in (240, 400))
+    kept = ms.contact_scan(
+        frame, "C7-1", start, stop, ["contact_id", "timestamp", "elevation_deg", "carrier_lock", "doppler_hz"], order_by="timestamp", time_column="timestamp"
+    )
+    return kept.select("contact_id", F.unix_micros("timestamp").alias("ts_us"), "elevation_deg", "carrier_lock", _plain("doppler_hz"))
 
 
 _META = ["spacecraft_id", "system_id", "station_id", "tle_line1", "tle_line2"]
@@ -131,7 +173,7 @@ _META = ["spacecraft_id", "system_id", "station_id", "tle_line1", "tle_line2"]
       min(system_id) AS system_id, min(station_id) AS station_id, min(tle_line1) AS tle_line1, min(tle_line2) AS tle_line2,
       concat('parquet:tle:', sha256(min(concat(tle_line1, chr(10), tle_line2)))) AS prior_id,
       trim(substring(min(tle_line1), 3, 5)) AS catalog,
-      CASE WHEN count(DISTINCT tle_line2) > 1 THEN 'recorded contact metadata must be present and constant' ELSE '' END AS reason
+      CASE WHEN count(DISTINCT tle_line2) > 1 THEN 'metadata_varies' ELSE '' END AS reason
     FROM r GROUP BY contact_id""",
 )
 def derive_contacts(t: Tables) -> DataFrame:
@@ -372,7 +414,7 @@ def contact_window_check(t: Tables) -> DataFrame:
     WITH g AS (SELECT l_orderkey AS packet, l_linenumber AS line, epoch_us(l_shipdate) AS packet_us,
       CASE WHEN l_partkey % 19 = 0 THEN NULL ELSE epoch_us(l_shipdate) + (l_partkey % 300 - 150) * 1000000 END AS ep_us,
       l_partkey % 23 = 0 AS conflict FROM lineitem)
-    SELECT CASE WHEN ep_us IS NULL THEN 'missing_receiver_epoch' WHEN conflict THEN 'conflicting_receiver_epochs'
+    SELECT CASE WHEN ep_us IS NULL THEN 'no_receiver_epoch' WHEN conflict THEN 'receiver_epoch_conflict'
       WHEN abs(packet_us - ep_us) > 120000000 THEN 'packet_latency' ELSE 'kept' END AS reason,
       count(*) AS n, CAST(sum(packet) AS BIGINT) AS packets FROM g GROUP BY 1""",
 )

@@ -162,7 +162,7 @@ _PREFIXES = """
     sw AS (SELECT s.*, fu = 1 AND planned_folds = CASE WHEN s.prefix_count > 1 THEN s.prefix_count ELSE 0 END AND di = planned_folds AS whole, accepted_folds, scored_folds, md, status AS st
        FROM s LEFT JOIN qq ON qq.spacecraft_id = s.spacecraft_id AND qq.method = s.method AND qq.prefix_count = s.prefix_count),
     prefixes AS (SELECT spacecraft_id, method, prefix_count, elapsed_hours, planned_folds, coalesce(accepted_folds, 0) AS accepted_folds, coalesce(scored_folds, 0) AS scored_folds,
-       CASE WHEN whole AND st = 'available' THEN md END AS median_km, CASE WHEN NOT whole THEN 'folds_incomplete' WHEN st IS NULL THEN 'single-pass CV unavailable' ELSE st END AS status, full_prefix_rmse_km FROM sw)"""
+       CASE WHEN whole AND st = 'available' THEN md END AS median_km, CASE WHEN NOT whole THEN 'folds_incomplete' WHEN st IS NULL THEN 'no_folds_of_one_pass' ELSE st END AS status, full_prefix_rmse_km FROM sw)"""
 _ATTAIN = """
     tr AS (SELECT *, unnest([5.0, 2.0]) AS threshold_km FROM prefixes),
     attain AS (SELECT spacecraft_id, method, CAST(threshold_km AS DOUBLE) AS threshold_km, min(elapsed_hours) FILTER (median_km < threshold_km) AS h,

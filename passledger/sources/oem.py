@@ -16,12 +16,17 @@ _LINES_PER_BUCKET = 100_000
 
 
 def read_lines(spark: SparkSession, source: str) -> DataFrame:
-    """Numbered lines of every message under a path, one job for all files."""
-    whole = spark.read.option("wholetext", True).text(source)
-    return whole.select(
-        F.col("_metadata.file_path").alias("file"),
-        F.posexplode(F.split("value", "\r?\n")).alias("_n", "text"),
-    ).select("file", (F.col("_n") + 1).cast("long").alias("line_no"), "text")
+    """Numbered lines of every message under a path, one job for all files.
+
+    A large message is read in splits. Inside one a task's rows are in the order of the
+    file; across them the line counts of earlier splits are carried.
+    """
+    lines = spark.read.text(source).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_place"), F.col("value").alias("text"),
+    )
+    numbered = prefix(lines, ["file"], ["_split", "_place"], F.col("_split"), {"line_no": ("count", F.lit(1))})
+    return numbered.select("file", "line_no", "text")
 
 
 def classify(lines: DataFrame) -> DataFrame:

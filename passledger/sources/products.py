@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,17 +43,40 @@ def write_attempts(results: DataFrame, path: str, partition: str) -> None:
     )
 
 
-def file_digests(spark: SparkSession, source: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(source)
-        .select(
-            F.element_at(F.split("path", "/"), -1).alias("name"),
-            F.sha2("content", 256).alias("sha256"),
-            F.col("length").alias("byte_count"),
-        )
-    )
+def _opened(path: str):
+    """A stream of the bytes at a path as Spark names it."""
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"), compression=None)
+    system, inner = fs.FileSystem.from_uri(path)
+    return system.open_input_stream(inner, compression=None)
+
+
+def file_digests(spark: SparkSession, source: str, piece: int = 1 << 20) -> DataFrame:
+    """name, sha256 and byte_count of every file below a path.
+
+    Only the names are scanned; a task hashes its files in pieces of ``piece`` bytes through
+    pyarrow's file systems, so a file of any size takes the memory of one piece.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for path in batch.column("path").to_pylist():
+                digest, size = hashlib.sha256(), 0
+                with _opened(path) as stream:
+                    while part := stream.read(piece):
+                        digest.update(part)
+                        size += len(part)
+                rows.append((path.rsplit("/", 1)[-1], digest.hexdigest(), size))
+            names, digests, sizes = zip(*rows) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(names, pa.string()), pa.array(digests, pa.string()), pa.array(sizes, pa.int64())], names=["name", "sha256", "byte_count"]
+            )
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(source).select("path")
+    return files.mapInArrow(run, "name string, sha256 string, byte_count long")
 
 
 def verify_manifest(manifest: DataFrame, digests: DataFrame) -> DataFrame:
@@ -117,13 +144,13 @@ def load_descriptors(descriptors: DataFrame) -> DataFrame:
             [
                 (
                     ~F.coalesce((F.col("format_version") == 1) & (F.col("model") == "sgp4"), F.lit(False)),
-                    "unsupported orbit descriptor",
+                    "format",
                 ),
                 (
                     (F.coalesce(F.size("offsets"), F.lit(0)) != 7) | ~numbers,
-                    "orbit descriptor requires seven finite corrections",
+                    "offsets",
                 ),
-                (F.coalesce(F.size("tle_lines"), F.lit(0)) != 2, "orbit descriptor requires two TLE lines"),
+                (F.coalesce(F.size("tle_lines"), F.lit(0)) != 2, "tle_lines"),
             ]
         ),
     )

@@ -36,12 +36,12 @@ def track_observations(rows: DataFrame, contacts: DataFrame) -> DataFrame:
         "contact_id", "t_us", "transmit_hz", "receive_hz",
         all_reasons(
             [
-                (~F.col("_station_ok"), "station does not match the antenna"),
+                (~F.col("_station_ok"), "station_mismatch"),
                 (
                     F.col("transmit_hz").isNull() | F.col("receive_hz").isNull(),
-                    "frequency must be positive and finite",
+                    "frequency_range",
                 ),
-                (F.col("conflict"), "conflicting values at one epoch"),
+                (F.col("conflict"), "epoch_conflict"),
             ]
         ).alias("reason"),
     )
@@ -86,10 +86,10 @@ def angle_observations(rows: DataFrame, contacts: DataFrame) -> DataFrame:
         "contact_id", "t_us", "angle_1", "angle_2",
         all_reasons(
             [
-                (half, "only one pointing coordinate"),
-                (~half & ~(finite(F.col("angle_1")) & finite(F.col("angle_2"))), "non-finite angle"),
-                (~F.col("_station_ok"), "station does not match the antenna"),
-                (F.col("conflict"), "conflicting values at one epoch"),
+                (half, "half_angle"),
+                (~half & ~(finite(F.col("angle_1")) & finite(F.col("angle_2"))), "angle_range"),
+                (~F.col("_station_ok"), "station_mismatch"),
+                (F.col("conflict"), "epoch_conflict"),
             ]
         ).alias("reason"),
     )
@@ -182,3 +182,14 @@ def write_exports(header: DataFrame, data: DataFrame, path: str) -> None:
         .partitionBy("contact_id")
         .text(path)
     )
+
+
+def read_angles(lines: DataFrame) -> DataFrame:
+    """Lines of ANGLE files (contact_id, value) with time and angle of those that hold one; nulls elsewhere."""
+    told = F.regexp_extract("value", r"^ANGLE_([12]) = (\S+) (\S+)$", 0) != ""
+    part = lambda i: F.regexp_extract("value", r"^ANGLE_([12]) = (\S+) (\S+)$", i)
+    number = F.when(told, part(3).cast("double"))
+    return lines.select(
+        "contact_id", "value", F.when(told, part(2)).alias("epoch"),
+        *[F.when(told & (part(1) == str(i)), number).alias(f"angle_{i}") for i in (1, 2)],
+    )

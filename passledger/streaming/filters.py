@@ -1,8 +1,8 @@
 """Sequential filters as keyed state: Doppler (three states) and offset (two).
 
-Rows of one key are handled in time order: all of a table's, and those inside a batch
-of a stream. There, a row older than the last one of its key changes nothing and comes
-out as ``late``.
+Rows of one key are handled in time order, those of a stream once the watermark is past
+them. A row that comes after later ones were handled changes nothing and comes out as
+``late``, with nulls.
 """
 
 from __future__ import annotations
@@ -34,18 +34,32 @@ class DopplerFilterConfig:
             raise ValueError("innovation gate must be finite and positive")
 
 
+def along(nodes: list[float], divided: list[float], shift: float) -> tuple[float, float]:
+    """Value and slope at ``shift`` of the polynomial with these nodes and divided differences."""
+    value = slope = 0.0
+    for node, term in zip(reversed(nodes), reversed(divided)):
+        slope = value + (shift - node) * slope
+        value = term + (shift - node) * value
+    return value, slope
+
+
 def doppler_step(
-    x: np.ndarray, p: np.ndarray, dt: float, row: tuple[float, float, float, float], config: DopplerFilterConfig
+    x: np.ndarray, p: np.ndarray, dt: float, row: tuple, config: DopplerFilterConfig
 ) -> tuple[np.ndarray, np.ndarray, bool, float]:
     """Predict by dt, then take in one sample.
 
-    ``row`` is (observed, variance, predicted at zero offset, its time slope).
+    ``row`` is (observed, variance, predicted at zero offset, its time slope); or, for a
+    prediction that bends within an offset, (observed, variance, nodes, divided
+    differences), which gives both at the offset of the state.
     Returns the state, covariance, whether it was accepted, and the NIS.
     """
     observed, variance, nominal, slope = row
     p = p + np.diag(config.process_rates) * dt
     ratio = (config.centre_hz + x[2]) / config.centre_hz
-    shifted = nominal + slope * x[0]
+    if np.ndim(nominal):
+        shifted, slope = along(nominal, slope, float(x[0]))
+    else:
+        shifted = nominal + slope * x[0]
     h = np.array([slope * ratio, 1.0, shifted / config.centre_hz])
     innovation = observed - (shifted * ratio + x[1])
     spread = float(h @ p @ h + variance)
@@ -64,13 +78,27 @@ DOPPLER_OUTPUT = (
 _DOPPLER_STATE = "t_us long, x array<double>, p array<double>"
 
 
-def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilterConfig()) -> DataFrame:
+def doppler_filter(
+    samples: DataFrame, config: DopplerFilterConfig = DopplerFilterConfig(), *, lateness: str = "1 minute", idle_s: float = 86_400.0
+) -> DataFrame:
     """Filter every contact of a table or stream of enriched samples.
 
-    ``samples`` holds contact_id, t_us, sequence (the order of equal times), observed_hz, variance_hz2, predicted_hz
-    and slope_hz_s. A row with an unusable number is ``invalid`` and leaves the
-    state alone; a gated row keeps only the prediction.
+    ``samples`` holds contact_id, t_us, sequence (the order of equal times), observed_hz,
+    variance_hz2 and the prediction: predicted_hz and slope_hz_s at zero offset, or
+    node_s and node_hz, the nodes (seconds from the sample) and divided differences of
+    its polynomial, taken anew at the offset of every step. A row with an unusable
+    number is ``invalid`` and leaves the state alone; a gated row keeps only the prediction.
     """
+    bent = "node_s" in samples.columns
+    prediction = ["node_s", "node_hz"] if bent else ["predicted_hz", "slope_hz_s"]
+
+    def usable(f, s) -> bool:
+        if not bent:
+            return math.isfinite(f) and math.isfinite(s)
+        return f is not None and s is not None and 0 < len(f) == len(s) and bool(np.isfinite([*f, *s]).all())
+
+    def late(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        return [(key[0], int(t), "late", None, None, None, None, None) for t in rows["t_us"]]
 
     def advance(key: tuple, rows: pd.DataFrame, held: tuple | None) -> tuple[list[tuple], tuple | None]:
         if held is not None:
@@ -79,14 +107,10 @@ def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilt
         else:
             last, x, p = None, np.array(config.initial_state), np.diag(config.initial_variance)
         out = []
-        for t, z, r, f, s in zip(
-            rows["t_us"], rows["observed_hz"], rows["variance_hz2"], rows["predicted_hz"], rows["slope_hz_s"]
-        ):
+        for t, z, r, f, s in zip(*(rows[c] for c in ["t_us", "observed_hz", "variance_hz2", *prediction])):
             t = int(t)
             nis = None
-            if last is not None and t < last:
-                status = "late"
-            elif not all(map(math.isfinite, (z, r, f, s))) or r <= 0:
+            if not (math.isfinite(z) and math.isfinite(r) and usable(f, s)) or r <= 0:
                 status = "invalid"
             else:
                 dt = 0.0 if last is None else (t - last) / 1e6
@@ -95,7 +119,8 @@ def doppler_filter(samples: DataFrame, config: DopplerFilterConfig = DopplerFilt
             out.append((key[0], t, status, nis, x[0], x[1], x[2], p[0, 0]))
         return out, None if last is None else (last, x.tolist(), p.ravel().tolist())
 
-    return keyed(samples, ["contact_id"], advance, DOPPLER_OUTPUT, _DOPPLER_STATE)
+    kept = samples.select("contact_id", "t_us", "sequence", "observed_hz", "variance_hz2", *prediction)
+    return keyed(kept, ["contact_id"], advance, late, DOPPLER_OUTPUT, _DOPPLER_STATE, lateness, idle_s)
 
 
 @dataclass(frozen=True)
@@ -156,7 +181,9 @@ def offset_step(
     )
 
 
-def offset_filter(measurements: DataFrame, config: OffsetFilterConfig = OffsetFilterConfig()) -> DataFrame:
+def offset_filter(
+    measurements: DataFrame, config: OffsetFilterConfig = OffsetFilterConfig(), *, lateness: str = "1 minute", idle_s: float = 86_400.0
+) -> DataFrame:
     """Offset and drift of every pass from irregular measurements.
 
     ``sequence`` is the order of equal times.
@@ -170,4 +197,8 @@ def offset_filter(measurements: DataFrame, config: OffsetFilterConfig = OffsetFi
             out.append((*key, e, int(t), status, nis, shown[2], shown[3], shown[4], shown[7], shown[8]))
         return out, held
 
-    return keyed(measurements, ["contact_id", "antenna_id"], advance, OFFSET_OUTPUT, _OFFSET_STATE)
+    def late(key: tuple, rows: pd.DataFrame) -> list[tuple]:
+        return [(*key, e, int(t), "late", *(None,) * 6) for e, t in zip(rows["ephemeris_id"], rows["t_us"])]
+
+    kept = measurements.select("contact_id", "antenna_id", "ephemeris_id", "t_us", "sequence", "offset_s", "variance")
+    return keyed(kept, ["contact_id", "antenna_id"], advance, late, OFFSET_OUTPUT, _OFFSET_STATE, lateness, idle_s)

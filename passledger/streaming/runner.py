@@ -4,12 +4,22 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from passledger.session import scratch_path
 
+#: Fixed value: the time of the row that ends a replay, 9000-01-01; no sample is that late.
+END_US = 221_845_392_000_000_000
+_STATE_SETTINGS = {
+    # Timers and list states need this store; a commit writes what changed, not the whole state.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
 
 def table_stream(spark: SparkSession, folder: str, table: str, files: int = 1_000) -> DataFrame:
     """A table's files as a stream; new files become new batches of at most ``files``.
@@ -22,42 +32,151 @@ def table_stream(spark: SparkSession, folder: str, table: str, files: int = 1_00
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(path[:-1] + "[t]")
 
 
+def run_available(stream: DataFrame, path: str, settle: bool = True):
+    """Process all that is available into the table at ``path``; another call goes on from there.
+
+    With ``settle`` a last batch without rows runs the timers that the final watermark reached.
+    """
+    spark = stream.sparkSession
+    settings = _STATE_SETTINGS | {"spark.sql.streaming.noDataMicroBatches.enabled": str(settle).lower()}
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        running = (
+            stream.writeStream.format("parquet").outputMode("append").option("checkpointLocation", path + "-state")
+            .trigger(availableNow=True).start(path)
+        )
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    running.awaitTermination()
+    return running
+
+
 def drain(stream: DataFrame, label: str) -> DataFrame:
     """Process all that is available into a table in the shared folder."""
-    spark = stream.sparkSession
-    path = scratch_path(spark, label)
-    (
-        stream.writeStream.format("parquet")
-        .outputMode("append")
-        .option("checkpointLocation", path + "-state")
-        .trigger(availableNow=True)
-        .start(path)
-        .awaitTermination()
-    )
+    path = scratch_path(stream.sparkSession, label)
+    run_available(stream, path)
+    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+
+
+def replay(rows: DataFrame, build: Callable[[DataFrame], DataFrame], label: str) -> DataFrame:
+    """What the stream ``build(rows)`` tells of all rows available, and of their end.
+
+    The stream is run to the end of ``rows`` and then, from its checkpoint, over one
+    more row of ``END_US`` in t_us and nulls elsewhere. That row moves the watermark past
+    every timer, so whatever waits for later rows comes out and the state is emptied.
+    """
+    spark = rows.sparkSession
+    path, end = scratch_path(spark, label), scratch_path(spark, label + "-end")
+    spark.createDataFrame([], rows.schema).write.parquet(end)
+    closing = spark.readStream.schema(rows.schema).parquet(end)
+    stream = build(rows.unionByName(closing))
+    run_available(stream, path, settle=False)
+    last = [F.lit(END_US if f.name == "t_us" else None).cast(f.dataType).alias(f.name) for f in rows.schema]
+    spark.range(1).select(*last).coalesce(1).write.mode("append").parquet(end)
+    run_available(stream, path)
     return spark.read.schema(stream.schema).parquet(path)
 
 
-def keyed(samples: DataFrame, keys: list[str], advance: Callable, output: str, state: str) -> DataFrame:
-    """Rows of every key through ``advance`` in (t_us, sequence) order.
+def timed(rows: DataFrame, lateness: str) -> DataFrame:
+    """Rows with a watermark on t_us, without the row that ends a replay.
 
-    ``advance`` (key, rows, held) returns output rows and what to hold; held is None at
-    first. A table is ordered as a whole, so its answer does not depend on how its rows
-    came, and a task holds one batch of rows whatever the size of a key. A stream is
-    ordered inside each batch only: ``drain`` it into a table first where all must be in order.
+    The watermark's column goes, so a row behind the watermark still reaches the
+    processor, which says what becomes of it.
     """
+    at = rows.withColumn("_at", F.timestamp_micros("t_us")).withWatermark("_at", lateness)
+    return at.where(F.col("_at") < F.timestamp_micros(F.lit(END_US))).select(*rows.columns)
+
+
+def framed(rows: list[tuple], output: str) -> pd.DataFrame:
     fields = [f.split() for f in output.split(", ")]
+    frame = pd.DataFrame(rows, columns=[f[0] for f in fields])
+    return frame.astype({name: "Int64" for name, kind in fields if kind == "long"})
+
+
+class InOrder(StatefulProcessor):
+    """Feeds ``advance`` the rows of a key in (t_us, sequence) order.
+
+    Rows wait in a list until the watermark is past them; a timer at the earliest one
+    releases them. A row older than one already released goes to ``late`` instead. A key
+    that was silent for ``idle_s`` seconds of event time is forgotten.
+    """
 
-    def framed(rows: list[tuple]) -> pd.DataFrame:
-        frame = pd.DataFrame(rows, columns=[f[0] for f in fields])
-        return frame.astype({name: "Int64" for name, kind in fields if kind == "long"})
+    def __init__(self, columns: list[str], rows, held: str, output: str, advance: Callable, late: Callable, idle_s: float):
+        self.columns, self.rows, self.held, self.output = columns, rows, held, output
+        self.advance, self.late, self.idle_ms = advance, late, int(idle_s * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", self.rows)
+        self.known = handle.getValueState("known", self.held)
+        self.released = handle.getValueState("released", "t_us long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        plain = lambda v: v.tolist() if isinstance(v, np.ndarray) else v
+        new = [tuple(map(plain, r)) for frame in rows for r in zip(*(frame[c].tolist() for c in self.columns))]
+        yield from self._release(tuple(key), new, timerValues.getCurrentWatermarkInMs())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._release(tuple(key), [], timerValues.getCurrentWatermarkInMs())
+
+    def _release(self, key: tuple, new: list[tuple], watermark_ms: int) -> Iterator[pd.DataFrame]:
+        time = self.columns.index("t_us")
+        rows = [*self.waiting.get(), *new]
+        ready = [r for r in rows if r[time] // 1000 < watermark_ms]
+        rest = [r for r in rows if r[time] // 1000 >= watermark_ms]
+        known = self.released.get()
+        last = known[0] if known else None
+        if ready:
+            frame = pd.DataFrame(ready, columns=self.columns).sort_values(["t_us", "sequence"], kind="stable")
+            past = frame["t_us"] < last if last is not None else pd.Series(False, index=frame.index)
+            out = self.late(key, frame[past]) if past.any() else []
+            more, held = self.advance(key, frame[~past], self.known.get())
+            last = max(int(frame["t_us"].iloc[-1]), last if last is not None else int(frame["t_us"].iloc[-1]))
+            if out or more:
+                yield framed(out + more, self.output)
+        wake = min(r[time] for r in rest) // 1000 + 1 if rest else last // 1000 + self.idle_ms if last is not None else None
+        if wake is not None and wake <= watermark_ms:  # only silence can be over
+            wake = None
+            if known:
+                self.known.clear()
+                self.released.clear()
+        elif ready:
+            self.released.update((last,))
+            if held is not None:
+                self.known.update(held)
+        if rest:
+            self.waiting.put(rest)
+        elif len(rows) > len(new):
+            self.waiting.clear()
+        timers = list(self.handle.listTimers())
+        for timer in timers:
+            if timer > watermark_ms and timer != wake:
+                self.handle.deleteTimer(timer)
+        if wake is not None and wake not in timers:
+            self.handle.registerTimer(wake)
+
+    def close(self) -> None:
+        pass
+
+
+def keyed(
+    samples: DataFrame, keys: list[str], advance: Callable, late: Callable, output: str, state: str, lateness: str, idle_s: float
+) -> DataFrame:
+    """Rows of every key through ``advance`` in (t_us, sequence) order.
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["t_us", "sequence"], kind="stable")
-        out, held = advance(key, rows, group.get if group.exists else None)
-        if held is not None:
-            group.update(held)
-        if out:
-            yield framed(out)
+    ``advance`` (key, rows, held) returns output rows and what to hold; held is None at
+    first. A table is ordered as a whole and a task holds one batch of rows whatever the
+    size of a key. A stream holds rows until the watermark, ``lateness`` behind the
+    latest row, is past them, so its answer does not depend on how its rows fall into
+    batches; ``late`` (key, rows) says what comes of rows behind those already taken.
+    """
+    if samples.isStreaming:
+        columns = [c for c in samples.columns if c not in keys]
+        processor = InOrder(columns, samples.select(*columns).schema, state, output, advance, late, idle_s)
+        return timed(samples, lateness).groupBy(*keys).transformWithStateInPandas(processor, output, "Append", "eventTime")
 
     def run_sorted(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last = held = None
@@ -70,8 +189,6 @@ def keyed(samples: DataFrame, keys: list[str], advance: Callable, output: str, s
                 more, held = advance(last, rows[start:stop], held)
                 out += more
             if out:
-                yield framed(out)
+                yield framed(out, output)
 
-    if samples.isStreaming:
-        return samples.groupBy(*keys).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.NoTimeout)
     return samples.repartition(*keys).sortWithinPartitions(*keys, "t_us", "sequence").mapInPandas(run_sorted, output)

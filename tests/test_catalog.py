@@ -12,6 +12,7 @@ CHECKED = [
     "pass_gate", "canonical_frame", "window_score", "state_compare", "overlap_anti", "estimates_view", "fold_expansion",
     "causal_last_n", "lock_edges", "debounce", "qualification_median", "quality_decision", "gps_epoch", "tle_guard",
     "parse_antennas", "track_lines", "oem_lines", "consider_covariance", "held_out_prediction", "profile_expansion",
+    "group_expansion_sql", "angle_files", "measurement_files", "multi_pass_rows", "top_fraction_status", "phase_scan", "pass_information_one",
 ]
 # One-row totals meet these two on purpose.
 ONE_ROW = {"interval_orbit_score"}

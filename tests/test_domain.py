@@ -1,5 +1,6 @@
 """Edge cases of selection, planning, scoring, sequences and study rules."""
 
+import hashlib
 import math
 
 import pytest
@@ -144,7 +145,7 @@ def test_debounce_restarts_after_a_probe(spark):
 
 @pytest.mark.parametrize(
     "locks, status, midpoint",
-    [("0110", "lock_window_midpoint", 1.5), ("1100", "left_edge_censored", None), ("0011", "right_edge_censored", None), ("0000", "no_lock_window", None)],
+    [("0110", "lock_window_midpoint", 1.5), ("1100", "open_at_start", None), ("0011", "open_at_end", None), ("0000", "no_lock_window", None)],
 )
 def test_lock_edges(spark, locks, status, midpoint):
     probes = spark.createDataFrame([("s", i, float(i), x == "1") for i, x in enumerate(locks)], "s string, probe_index long, offset_s double, locked boolean")
@@ -212,3 +213,63 @@ def test_quality_reasons(spark):
 def test_moments(spark):
     row = _history(spark, range(3)).agg(*scoring.error_moments(scoring.POSITION, "position", "m")).first()
     assert row.position_rmse_m == 5.0 and row.position_variance_m2 == 0.0 and math.isclose(row.dx_m_mean, 3.0)
+
+
+def test_message_lines_keep_their_numbers_across_splits(spark, tmp_path):
+    texts = {f"m{i}.oem": [f"{i}-{k} = {'x' * (k % 50)}" for k in range(400 * i + 3)] for i in range(4)}
+    for name, lines in texts.items():
+        (tmp_path / name).write_text("\r\n".join(lines) if name == "m2.oem" else "\n".join(lines) + "\n")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "3000b")
+    try:
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 12
+        got = {(r.file.rsplit("/", 1)[1], r.line_no): r.text for r in oem.read_lines(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert got == {(name, k + 1): line for name, lines in texts.items() for k, line in enumerate(lines)}
+
+
+def test_file_digests_read_in_pieces(spark, tmp_path):
+    contents = {"empty.bin": b"", "one": b"x", "many": bytes(range(256)) * 9_000, "odd name.txt": "é".encode() * 4_001}
+    (tmp_path / "below").mkdir()
+    for i, (name, content) in enumerate(contents.items()):
+        (tmp_path / ("below" if i % 2 else ".") / name).write_bytes(content)
+    got = {r["name"]: (r["sha256"], r["byte_count"]) for r in products.file_digests(spark, str(tmp_path), piece=1_000).collect()}
+    assert got == {name: (hashlib.sha256(c).hexdigest(), len(c)) for name, c in contents.items()}
+
+
+def test_rows_of_requested_contacts(spark):
+    rows = [(3, "b", "S", "Y"), (1, "a", "S", "Y"), (2, "a", "S", "Y"), (5, "d", "S", "Z")]
+    samples = spark.createDataFrame(rows, "ts_us long, contact_id string, spacecraft_id string, system_id string")
+    contacts = spark.createDataFrame([(c, "S", "Y") for c in "abcd"], "contact_id string, spacecraft_id string, system_id string")
+
+    def load(ids, **options):
+        requests = spark.createDataFrame(list(enumerate(ids)), "ordinal int, contact_id string")
+        return [(r.ordinal, r.contact_id, r.ts_us) for r in measurements.load_rows(requests, contacts, samples, **options).collect()]
+
+    assert load("ba") == [(0, "b", 3), (1, "a", 1), (1, "a", 2)] and load("aa") == [(0, "a", 1), (0, "a", 2), (1, "a", 1), (1, "a", 2)]
+    assert load("acb", allow_empty=True) == [(0, "a", 1), (0, "a", 2), (2, "b", 3)]
+    for ids, code in (("ac", "no_samples"), ("ax", "unknown_contact"), ("ad", "system_mismatch"), (["a", " "], "blank_id")):
+        with pytest.raises(ValueError, match=code):
+            load(ids)
+    assert load(["d", "x", "c", "b"], strict=False) == [(3, "b", 3)]
+
+
+def test_plan_by_table_function(spark):
+    planning.register_table_functions(spark)
+    rows = [("A", f"c{k}", 10 * k, 10 * (9 - k) + 5) for k in range(6)] + [("B", "d", 1, 2)]
+    passes = spark.createDataFrame(rows, "spacecraft_id string, contact_id string, start_us long, stop_us long").repartition(5)
+    passes.createOrReplaceTempView("few_passes")
+    columns = ["spacecraft_id", "method", "strategy", "family_rank", "first_ordinal", "last_ordinal", "pass_count", "last_contact_id", "checkpoint_us"]
+    want = {tuple(r) for r in planning.group_expansion(passes, passes).select(*columns).collect()}
+    found = [tuple(r) for r in spark.sql("SELECT * FROM plan_groups(TABLE(few_passes))").select(*columns).collect()]
+    assert set(found) == want and len(found) == len(want)
+    with pytest.raises(Exception, match="stop_us"):
+        spark.sql("SELECT * FROM plan_groups(TABLE(SELECT 'A' AS spacecraft_id, 'c' AS contact_id, 1L AS start_us))").collect()
+
+
+def test_status_of_selected_groups(spark):
+    rows = [(1, "a", 5, 6, 1.0), (1, "b", 6, 6, 2.0), (2, "c", 7, 5, 1.0), (2, "d", 8, None, 1.0)]
+    frame = spark.createDataFrame(rows, "fit_id int, contact_id string, stop_us long, rank int, trace double")
+    got = planning.fraction_status(planning.top_fraction(frame, ["fit_id"], "trace", 0.5), ["fit_id"])
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 0, 0, "ready"), (2, 2, 0, 1, 1, "selection_failed")}

@@ -1,10 +1,12 @@
 """Interpolation, fits and covariances against NumPy and known truth."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from passledger.operators import estimate, interpolate
+from passledger.operators import estimate, interpolate, least_squares
 from passledger.plans import estimation as standin
 from passledger.plans.standins import HOUR_US, ORIGIN_US, Tables
 from passledger.session import cut_lineage
@@ -169,3 +171,120 @@ def test_sweep_optimum_is_refined(spark, observations, lead, interior):
     rows = estimate.sweep_optimum(reference, "object_no", estimate.sweep_column(-1.0, 1.0, 0.25)).collect()
     assert rows and all(r.interior == interior for r in rows)
     assert max(abs(r.best_offset_s - min(lead, 1.0)) for r in rows) <= 1e-4
+
+
+def test_bad_keys_have_a_reason_and_stop_no_other(spark):
+    rng = np.random.default_rng(4)
+    rows = [(k, *map(float, rng.normal(size=3))) for k in range(1, 6) for _ in range(50)]
+    rows += [(2, math.nan, 1.0, 1.0), (3, 1.0, math.inf, 1.0), (4, None, 1.0, 1.0), (5, 1e200, 1e200, 1.0)]
+    frame = spark.createDataFrame(rows, "k long, a double, b double, c double").repartition(5)
+    want = {1: "", 2: "not_finite", 3: "not_finite", 4: "not_finite", 5: "overflow"}
+    for out, shown in (
+        (estimate.conditioning(frame, "k", ["a", "b", "c"]), "condition_number"), (estimate.pass_information(frame, "k", "a", ["b", "c"]), "fim_condition"),
+    ):
+        got = {r["k"]: r for r in out.collect()}
+        assert {k: r["reason"] for k, r in got.items()} == want
+        assert all((r[shown] is not None) == (r["rank"] is not None) == (k == 1) for k, r in got.items())
+    sums = spark.createDataFrame(
+        [(1, 2.0, 0.5, 3.0), (2, math.nan, 0.0, 1.0), (3, 1e300, 1e300, 1e300), (4, math.inf, 0.0, 1.0), (5, None, 0.0, 1.0)], "k long, n_a_a double, n_a_b double, n_b_b double"
+    )
+    got = {(r["k"], r["parameter"], r["other"]): r for r in estimate.consider_covariance(sums, "k", {"a": 1.0}, {"b": 2.0}).collect()}
+    assert {k[0]: r["reason"] for k, r in got.items()} == {1: "", 2: "not_finite", 3: "", 4: "not_finite", 5: "not_finite"}
+    assert got[1, "a", "a"]["covariance"] == pytest.approx(1 / 3 + (0.5 / 3) ** 2 * 4) and got[2, "a", "a"]["covariance"] is None
+    both = {(r["k"], r["parameter"], r["other"]): r for r in estimate.consider_covariance(sums, "k", {"a": 1.0, "b": 1.0}, {}).collect()}
+    assert both[3, "a", "b"]["reason"] == "singular" and both[3, "a", "b"]["covariance"] is None and both[1, "a", "b"]["reason"] == ""
+
+
+def _line_model(frame, shift):
+    """A bent prediction of the sample's time in closed form."""
+    at = F.col("t_us") / 1e6 + shift
+    return frame.withColumns({"predicted_hz": 1000 * F.sin(at / 50), "slope_hz_s": 20 * F.cos(at / 50)})
+
+
+def _fit_rows(spark, rng, fits=3, passes=2, drift=0.0, noise=1.0):
+    rows = []
+    for fit in range(fits):
+        for p in range(passes):
+            for k in range(40):
+                t = 40.0 * p + k * 2.0
+                observed = 1000 * math.sin((t + 3.0 + fit + drift * t) / 50) + 10 * p - 5 + noise * float(rng.normal())
+                rows.append((fit, f"P{p}", int(t * 1e6), 0, observed, 2.0))
+    return rows
+
+
+FIT_ROWS = "fit_id long, contact_id string, t_us long, epoch_us long, observed_hz double, sigma_hz double"
+
+
+def _best(rows, fit, p0, cost):
+    """Brute force: a pattern search that halves its steps."""
+    x, width = np.array(p0, float), np.full(len(p0), 4.0)
+    best = cost(x)
+    while width.max() > 1e-7:
+        for i in range(len(x)):
+            for sign in (1, -1):
+                y = x.copy()
+                y[i] += sign * width[i]
+                if (value := cost(y)) < best - 1e-15:
+                    x, best = y, value
+                    break
+            else:
+                width[i] /= 2
+    return x, best
+
+
+def test_damped_fit_with_roles_bounds_and_priors(spark):
+    rows = _fit_rows(spark, np.random.default_rng(7))
+    frame = spark.createDataFrame(rows, FIT_ROWS).repartition(4)
+    parameters = spark.createDataFrame(
+        [
+            (0, None, "offset_s", "estimate", 0.0, -9.0, 9.0, 0.05), (0, "P1", "bias_hz", "estimate", 2.0, 1.0, 4.0, None),
+            (1, None, "bias_hz", "fixed", 1.5, None, None, None), (1, "P0", "bias_hz", "estimate", None, None, None, 0.5),
+            (2, None, "offset_s", "consider", 5.5, None, None, None),
+        ],
+        least_squares.PARAMETERS,
+    )
+    out = estimate.joint_fit(frame, model=_line_model, parameters=parameters, tolerance_s=1e-10, tolerance_hz=1e-8)
+    got = {(r["fit_id"], r["contact_id"]): r for r in out.collect()}
+    assert {r["status"] for r in got.values()} == {"converged"}
+
+    def residuals(fit, offset, biases):
+        return sum(
+            ((1000 * math.sin((t / 1e6 + offset) / 50) + biases[p] - z) / s) ** 2 for f, p, t, _, z, s in rows if f == fit
+        ) / 2
+
+    # one bound reached, one prior on the shared unknown
+    x, best = _best(rows, 0, [0.0, 0.0, 2.0], lambda x: math.inf if not 1 <= x[2] <= 4 else residuals(0, x[0], {"P0": x[1], "P1": x[2]}) + (x[0] / 0.05) ** 2 / 2)
+    assert [got[0, "P0"]["offset_s"], got[0, "P0"]["bias_hz"], got[0, "P1"]["bias_hz"]] == pytest.approx(x, abs=1e-4)
+    assert got[0, "P0"]["cost"] == pytest.approx(best, rel=1e-9) and got[0, "P1"]["at_bound"]
+    # one bias held, one with a prior
+    x, best = _best(rows, 1, [0.0, 0.0], lambda x: residuals(1, x[0], {"P0": x[1], "P1": 1.5}) + (x[1] / 0.5) ** 2 / 2)
+    assert [got[1, "P0"]["offset_s"], got[1, "P0"]["bias_hz"]] == pytest.approx(x, abs=1e-4) and got[1, "P1"]["bias_hz"] == 1.5
+    assert got[2, "P0"]["offset_s"] == 5.5
+
+
+def test_a_rejected_step_is_taken_back(spark):
+    """From 60 s away an undamped step leaves the basin; the damped one comes home."""
+    rows = [r for r in _fit_rows(spark, np.random.default_rng(8), fits=1, passes=1, noise=0.0)]
+    rows += [(9, "P0", 0, 0, math.nan, 1.0), (8, "P0", 0, 0, 5.0, 1.0)]
+    frame = spark.createDataFrame(rows, FIT_ROWS)
+    start = spark.createDataFrame([(0, 50.0)], "fit_id long, offset_s double")
+    got = {r["fit_id"]: r for r in estimate.joint_fit(frame, model=_line_model, start=start, bias_bound_hz=50.0).collect()}
+    assert got[0]["status"] == "converged" and got[0]["offset_s"] == pytest.approx(3.0, abs=1e-4) and got[0]["bias_hz"] == pytest.approx(-5.0, abs=1e-3)
+    assert got[9]["status"] == "not_finite" and got[8]["status"] == "converged"
+    few = estimate.joint_fit(frame, model=_line_model, steps=1).where("fit_id = 0").first()
+    assert few["status"] == "unsettled" and not few["converged"]
+
+
+def test_robust_biases_are_the_minimum(spark):
+    rng = np.random.default_rng(3)
+    rows = [(k, float(v), 0.5) for k in range(6) for v in [*rng.normal(k * 40, 1 + 5 * k, 30), 4000.0]]
+    frame = spark.createDataFrame(rows, "k long, r double, h double")
+    for loss in ("soft_l1", "huber", "cauchy"):
+        for row in estimate.robust_biases(frame, ["k"], 1e4, loss, 5.0).collect():
+            own = [(r, h) for k, r, h in rows if k == row["k"]]
+            rho = {"soft_l1": lambda z: 2 * (math.sqrt(1 + z) - 1), "huber": lambda z: z if z <= 1 else 2 * math.sqrt(z) - 1, "cauchy": math.log1p}[loss]
+            cost = lambda b: 12.5 * sum(rho(((r + h * b) / 5) ** 2) for r, h in own)
+            assert row["settled"] and row["cost"] == pytest.approx(cost(row["bias_hz"]), rel=1e-9)
+            assert cost(row["bias_hz"]) <= min(cost(row["bias_hz"] + d) for d in (-0.01, 0.01)) + 1e-9
+    bad = spark.createDataFrame([(1, math.nan, 1.0), (2, 3.0, 1.0)], "k long, r double, h double")
+    assert {r["k"]: r["settled"] for r in estimate.robust_biases(bad, ["k"], 10.0, "soft_l1", 1.0).collect()} == {1: False, 2: True}

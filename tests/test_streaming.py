@@ -13,7 +13,7 @@ from passledger.session import scratch_path
 from passledger.streaming import acquisition as acq
 from passledger.streaming import commands
 from passledger.streaming import filters as flt
-from passledger.streaming.runner import drain, table_stream
+from passledger.streaming.runner import drain, replay, run_available, table_stream
 
 
 def test_offset_filter_accepts_irregular_cadence():
@@ -142,38 +142,126 @@ def _files(spark, batches, schema):
     return path
 
 
-def test_doppler_stream_counts_late_rows(spark):
-    schema = "contact_id string, t_us long, sequence long, observed_hz double, variance_hz2 double, predicted_hz double, slope_hz_s double"
-    def row(t, z=-3000.0):
-        return ("c", t * 10**6, 0, z, 4.0, -3000.0, -4.0)
-    path = _files(spark, [[row(2), row(1), row(3)], [row(2), row(3), row(5, math.nan), row(6)]], schema)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("latestFirst", False).parquet(path)
-    out = drain(flt.doppler_filter(stream), "late").groupBy("status").count().collect()
-    counts = {r.status: r["count"] for r in out}
-    # One old row and one bad number; an equal epoch is an independent sample.
-    assert sum(counts.values()) == 7 and counts["invalid"] == 1 and counts["late"] >= 1
-
-
-def test_confirmation_and_timeout(spark):
-    issued = _files(spark, [[(i, f"2026-01-01 00:00:{i:02d}", float(i)) for i in range(6)], [(99, "2026-01-02 00:00:00", 0.0)]], "command_id long, at string, requested_s double")
-    micros = 1767225600000000
-    read = _files(
-        spark,
-        [[(0, 1, 0, 0.0), (1, 2, 0, 1.0), (2, 3, 0, 9.0), (3, 4, 60, 3.0), (4, 59, 0, 4.0)], [(98, 86400, 0, 0.0)]],
-        "effective_command_id long, second long, age long, applied_s double",
+def _stream(spark, batches, schema):
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(_files(spark, batches, schema))
+
+
+def _state_rows(query):
+    return [sum(o.numRowsTotal for o in p.stateOperators) for p in query.recentProgress]
+
+
+DOPPLER = "contact_id string, t_us long, sequence long, observed_hz double, variance_hz2 double, predicted_hz double, slope_hz_s double"
+
+
+def test_rows_wait_for_the_watermark_and_late_ones_are_told(spark):
+    def row(t, z=-3000.0, contact="c"):
+        return (contact, t * 10**6, 0, z, 4.0, -3000.0, -4.0)
+
+    batches = [[row(20), row(10), row(30)], [row(15), row(60), row(50, math.nan)], [row(12), row(70), row(55)], [row(200, contact="other")]]
+    path = scratch_path(spark, "live")
+    live = flt.doppler_filter(_stream(spark, batches, DOPPLER), lateness="8 seconds", idle_s=60.0)
+    query = run_available(live, path)
+    rows = spark.read.parquet(path).collect()
+    # 15 comes behind 20 in the file but before the watermark has passed 20; 12 comes when 20 is out.
+    assert [(r.t_us // 10**6, r.status) for r in sorted(rows, key=lambda r: (r.t_us, r.status))] == [
+        (10, "accepted"), (12, "late"), (15, "accepted"), (20, "accepted"), (30, "accepted"), (50, "invalid"), (55, "accepted"), (60, "accepted"), (70, "accepted"),
+    ]
+    table = [row(t) for t in (10, 15, 20, 30, 55, 60, 70)] + [row(50, math.nan)]
+    want = {r.t_us: r for r in flt.doppler_filter(spark.createDataFrame(table, DOPPLER)).collect()}
+    for r in rows:
+        assert r.status == "late" and r.time_offset_s is None or r == want[r.t_us]
+    # What is left is the row of the other contact: c was silent for a minute.
+    assert max(_state_rows(query)) > 1 and _state_rows(query)[-1] == 1
+
+
+def test_replay_empties_the_state(spark):
+    batches = [[("c", t * 10**6, 0, -3000.0, 4.0, -3000.0, -4.0) for t in part] for part in ((5, 1, 9), (2, 7), (8, 3, 3))]
+    stream = _stream(spark, batches, DOPPLER)
+    seen = []
+
+    def build(rows):
+        seen.append(flt.doppler_filter(rows, lateness="1 hour"))
+        return seen[-1]
+
+    got = replay(stream, build, "replayed").collect()
+    assert sorted(r.t_us // 10**6 for r in got) == [1, 2, 3, 3, 5, 7, 8, 9] and {r.status for r in got} == {"accepted"}
+    table = spark.createDataFrame([r for part in batches for r in part], DOPPLER)
+    assert sorted(map(repr, got)) == sorted(map(repr, flt.doppler_filter(table).collect()))
+
+
+def test_polynomial_and_its_slope():
+    nodes, values = [-3.0, -1.0, 0.5, 2.0], np.array([1.0, 4.0, -2.0, 0.5])
+    divided, level = [values[0]], values
+    for order in range(1, 4):
+        level = (level[1:] - level[:-1]) / (np.array(nodes)[order:] - np.array(nodes)[:-order])
+        divided.append(level[0])
+    poly = np.polynomial.Polynomial.fit(nodes, values, 3)
+    for shift in (-3.0, 0.0, 1.3, 4.0):
+        value, slope = flt.along(nodes, divided, shift)
+        assert value == pytest.approx(poly(shift)) and slope == pytest.approx(poly.deriv()(shift))
+
+
+def test_bent_prediction_finds_an_offset_of_seconds(spark):
+    """A straight line at zero offset misses what the polynomial at the offset finds."""
+    rate, true = 1 / 60, 4.0
+    nodes = [5.0 * k - 17.5 for k in range(8)]
+    rows = []
+    for k in range(60):
+        t = 3.0 * k
+        values, divided = 8000 * np.cos((t + np.array(nodes)) * rate), []
+        for order in range(8):
+            divided.append(float(values[0]))
+            values = (values[1:] - values[:-1]) / (np.array(nodes)[order + 1 :] - np.array(nodes)[: -order - 1])
+        rows.append(("c", int(t * 1e6), k, 8000 * math.cos((t + true) * rate), 1.0, nodes, divided, 8000 * math.cos(t * rate), -8000 * rate * math.sin(t * rate)))
+    frame = spark.createDataFrame(
+        rows, "contact_id string, t_us long, sequence long, observed_hz double, variance_hz2 double, node_s array<double>, node_hz array<double>, predicted_hz double, slope_hz_s double"
     )
-    c = spark.readStream.schema("command_id long, at string, requested_s double").option("maxFilesPerTrigger", 1).parquet(issued)
-    c = c.select("command_id", F.col("at").cast("timestamp").alias("issued_at"), "requested_s")
-    b = spark.readStream.schema("effective_command_id long, second long, age long, applied_s double").option("maxFilesPerTrigger", 1).parquet(read)
-    b = b.select(
-        "effective_command_id", F.timestamp_micros(F.lit(micros) + F.col("second") * 10**6).alias("observed_at"),
-        (F.lit(micros) + F.col("second") * 10**6).alias("event_us"), (F.lit(micros) + (F.col("second") + F.col("age")) * 10**6).alias("arrived_us"), "applied_s",
-    )
-    good = drain(commands.confirmations(c, b, timeout_s=30, lateness="5 seconds").select("command_id"), "confirm")
+    config = flt.DopplerFilterConfig(gate=None, process_rates=(1e-9, 1e-9, 0.0), initial_variance=(25.0, 1.0, 1e-6))
+    x, p, before = np.zeros(3), np.diag(config.initial_variance), 0.0
+    for k in range(60):  # the same filter with the orbit in closed form
+        t = 3.0 * k
+        p = p + np.diag(config.process_rates) * (t - before)
+        value, slope = 8000 * math.cos((t + x[0]) * rate), -8000 * rate * math.sin((t + x[0]) * rate)
+        ratio = (config.centre_hz + x[2]) / config.centre_hz
+        h = np.array([slope * ratio, 1.0, value / config.centre_hz])
+        gain = p @ h / (h @ p @ h + 1.0)
+        x = x + gain * (8000 * math.cos((t + true) * rate) - value * ratio - x[1])
+        keep = np.eye(3) - np.outer(gain, h)
+        p, before = keep @ p @ keep.T + np.outer(gain, gain), t
+    last = lambda f: f.orderBy(F.desc("t_us")).first().time_offset_s
+    assert last(flt.doppler_filter(frame, config)) == pytest.approx(x[0], abs=1e-6) and abs(x[0] - true) < 0.05
+    assert abs(last(flt.doppler_filter(frame.drop("node_s", "node_hz"), config)) - x[0]) > 0.02
+
+
+@pytest.mark.parametrize("once", [True, False])
+def test_confirmation_and_timeout(spark, once):
+    issued = [[(i, i * 10**6, float(i)) for i in range(6)], [(99, 500 * 10**6, 0.0)], []]
+    read = [
+        # The readback of 5 comes before its command does, that of 4 at its deadline, that of 7 without any.
+        [(0, 1, 0, 0.0, 1), (0, 2, 0, 0.0, 2), (1, 2, 0, 1.0, 1), (2, 3, 0, 9.0, 1), (5, 6, 0, 5.0, 1), (7, 8, 0, 7.0, 1)],
+        [(3, 4, 60, 3.0, 1), (4, 34, 0, 4.0, 1), (99, 501, 0, 0.0, 1), (3, 40, 0, 3.0, 2)],
+    ]
+    c = _stream(spark, [issued[0][:5], issued[0][5:] + issued[1]], "command_id long, issued_us long, requested_s double")
+    b = _stream(spark, read, "effective_command_id long, second long, age long, applied_s double, line long")
+    second = F.col("second") * 10**6
+    b = b.select("effective_command_id", second.alias("observed_us"), second.alias("event_us"), (second + F.col("age") * 10**6).alias("arrived_us"), "applied_s", "line")
+    told = replay(commands.exchanges(c, b), lambda rows: commands.confirmed(rows, timeout_s=30, lateness="100 seconds", once=once), "told")
+    got = {(r.command_id, r.event, r.line) for r in told.collect()}
     # Wrong value, stale, too late and absent readbacks do not confirm.
-    assert {r.command_id for r in good.collect()} == {0, 1}
-    lost = drain(commands.timeouts(c, b, timeout_s=30, lateness="5 seconds"), "timeout")
-    assert {r.command_id for r in lost.collect()} == {2, 3, 4, 5}
+    assert {g for g in got if g[1] == "confirmation_timeout"} == {(2, "confirmation_timeout", None), (3, "confirmation_timeout", None)}
+    both = {(0, 1), (1, 1), (4, 1), (5, 1), (99, 1)} | (set() if once else {(0, 2)})
+    assert {(k, line) for k, event, line in got if event == "confirmed"} == both
+    assert (7, "unmatched", 1) in got
+
+
+def test_exchange_state_is_the_open_commands(spark):
+    c = _stream(spark, [[(i, i * 10**6, 0.0) for i in range(50)], [(90, 200 * 10**6, 0.0)], [(91, 210 * 10**6, 0.0)]], "command_id long, issued_us long, requested_s double")
+    b = _stream(spark, [[(i, 50 * 10**6, 50 * 10**6, 50 * 10**6, 0.0, 1) for i in range(25)]], "effective_command_id long, observed_us long, event_us long, arrived_us long, applied_s double, line long")
+    path = scratch_path(spark, "open")
+    query = run_available(commands.confirmed(commands.exchanges(c, b), timeout_s=60, lateness="1 second"), path)
+    # The confirmed are gone at once, the others at their deadlines; two are open.
+    assert _state_rows(query)[0] == 25 and _state_rows(query)[-1] == 2
+    assert spark.read.parquet(path).groupBy("event").count().collect().__len__() == 2
 
 
 @pytest.fixture(scope="module")
@@ -182,7 +270,7 @@ def dealt_events(spark, tmp_path_factory):
     one, many = (tmp_path_factory.mktemp(n) for n in ("one", "many"))
     shutil.copy("/root/testdata/sf0.001/events.parquet", one / "events.parquet")
     rows = spark.read.parquet(str(one / "events.parquet"))
-    rows.repartition(7, F.xxhash64("event_id")).write.parquet(str(many / "events.parquet"))
+    rows.repartition(3, F.xxhash64("event_id")).write.parquet(str(many / "events.parquet"))
     return str(one), str(many)
 
 
