@@ -243,7 +243,7 @@ def test_damped_fit_with_roles_bounds_and_priors(spark):
         ],
         least_squares.PARAMETERS,
     )
-    out = estimate.joint_fit(frame, model=_line_model, parameters=parameters, tolerance_s=1e-10, tolerance_hz=1e-8)
+    out = least_squares.joint_fit(frame, _line_model, parameters=parameters, tolerance_s=1e-10, tolerance_hz=1e-8)
     got = {(r["fit_id"], r["contact_id"]): r for r in out.collect()}
     assert {r["status"] for r in got.values()} == {"converged"}
 
@@ -268,10 +268,10 @@ def test_a_rejected_step_is_taken_back(spark):
     rows += [(9, "P0", 0, 0, math.nan, 1.0), (8, "P0", 0, 0, 5.0, 1.0)]
     frame = spark.createDataFrame(rows, FIT_ROWS)
     start = spark.createDataFrame([(0, 50.0)], "fit_id long, offset_s double")
-    got = {r["fit_id"]: r for r in estimate.joint_fit(frame, model=_line_model, start=start, bias_bound_hz=50.0).collect()}
+    got = {r["fit_id"]: r for r in least_squares.joint_fit(frame, _line_model, start=start, bias_bound_hz=50.0).collect()}
     assert got[0]["status"] == "converged" and got[0]["offset_s"] == pytest.approx(3.0, abs=1e-4) and got[0]["bias_hz"] == pytest.approx(-5.0, abs=1e-3)
     assert got[9]["status"] == "not_finite" and got[8]["status"] == "converged"
-    few = estimate.joint_fit(frame, model=_line_model, steps=1).where("fit_id = 0").first()
+    few = least_squares.joint_fit(frame, _line_model, steps=1).where("fit_id = 0").first()
     assert few["status"] == "unsettled" and not few["converged"]
 
 
