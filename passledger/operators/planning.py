@@ -12,7 +12,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructType
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
 from passledger.functions.scalars import first_reason
@@ -270,12 +270,12 @@ class PlanGroups:
         lacking = {"spacecraft_id", "contact_id", "start_us", "stop_us"} - {f.name for f in passes.dataType.fields}
         if lacking:
             raise ValueError(f"passes lack {', '.join(sorted(lacking))}")
-        kind = {f.name: f.dataType.simpleString() for f in passes.dataType.fields}
+        kind = {f.name: f.dataType for f in passes.dataType.fields}
+        out = StructType().add("spacecraft_id", kind["spacecraft_id"]).add("method", StringType()).add("strategy", StringType()).add("family_rank", IntegerType())
+        for name in ("first_ordinal", "last_ordinal", "pass_count"):
+            out = out.add(name, LongType())
         return AnalyzeResult(
-            StructType.fromDDL(
-                f"spacecraft_id {kind['spacecraft_id']}, method string, strategy string, family_rank int, first_ordinal long, last_ordinal long, "
-                f"pass_count long, last_contact_id {kind['contact_id']}, checkpoint_us long"
-            ),
+            out.add("last_contact_id", kind["contact_id"]).add("checkpoint_us", LongType()),
             partitionBy=[PartitioningColumn("spacecraft_id")],
             orderBy=[OrderingColumn(c) for c in ("stop_us", "start_us", "contact_id")],
         )

@@ -57,7 +57,8 @@ def file_digests(spark: SparkSession, source: str, piece: int = 1 << 20) -> Data
     """name, sha256 and byte_count of every file below a path.
 
     Only the names are scanned; a task hashes its files in pieces of ``piece`` bytes through
-    pyarrow's file systems, so a file of any size takes the memory of one piece.
+    pyarrow's file systems, so a file of any size takes the memory of one piece. Spark's
+    scan leaves out files of no bytes, and so does this.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
