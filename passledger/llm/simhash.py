@@ -23,17 +23,18 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from passledger.llm.common import text_slices, whole
 from passledger.llm.components import components
-from passledger.session import scratch_path
+from passledger.session import cut_lineage, scratch_path
 
 #: Fixed value: the generator polynomial of the code.
 _GENERATOR = 0xC75
 _SEGMENTS = ((42, 22), (21, 21), (0, 21))
 _SHINGLE, _SEED = 4, 42
+_SALTS = 32  # parts a group's fingerprints are dealt over when they learn its name
 
 
 def _remainder(word: int) -> int:
@@ -101,7 +102,7 @@ def keys_of(code: Golay, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fingerprints(frame: DataFrame) -> DataFrame:
-    """doc_id and print (the 64 bits as a signed bigint) of every row of ``frame``.
+    """doc_id, digest (SHA-256 of the text) and print (the 64 bits as a signed bigint) of every row of ``frame``.
 
     Words are split at white space after lower-casing A-Z; a bit is set when it is set
     in more than half of the shingles' hashes. A text of fewer words than a shingle has
@@ -112,10 +113,16 @@ def fingerprints(frame: DataFrame) -> DataFrame:
         for batch in batches:
             for part in text_slices(batch, "text"):
                 found = fingerprints_of([t.as_py() for t in part.column("text")])
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found.view(np.int64))], names=["doc_id", "print"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("doc_id"), part.column("digest"), pa.array(found.view(np.int64))], names=["doc_id", "digest", "print"]
+                )
 
-    rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), whole().alias("text"))
-    return rows.mapInArrow(run, "doc_id bigint, print bigint")
+    rows = frame.select(F.col("doc_id").cast("long").alias("doc_id"), _digest().alias("digest"), whole().alias("text"))
+    return rows.mapInArrow(run, "doc_id bigint, digest binary, print bigint")
+
+
+def _digest() -> Column:
+    return F.unhex(F.sha2(whole().cast("binary"), 256))
 
 
 def fingerprints_of(texts: list[str], block: int = 100_000) -> np.ndarray:
@@ -304,6 +311,35 @@ def links(prints: DataFrame, most: int = 4) -> DataFrame:
     return inside.unionByName(met.select("a", "b"))
 
 
+def grouped(frame: DataFrame, most: int = 4) -> DataFrame:
+    """doc_id, digest, print, root and component_id of every row of ``frame`` (doc_id, text).
+
+    ``root`` is a fingerprint of the row's group, the same for all of the group.
+    """
+    spark = frame.sparkSession
+    path = scratch_path(spark, "simhash-prints")
+    fingerprints(frame).write.parquet(path)
+    rows = spark.read.schema("doc_id bigint, digest binary, print bigint").parquet(path)
+    distinct = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
+    # only linked fingerprints take part; a group of any size is dealt over salts
+    hung = cut_lineage(components(links(distinct, most)).withColumnRenamed("node", "print").join(distinct.drop("copies"), "print"))
+    least = hung.groupBy("root").agg(F.min("first_id").alias("least_id"))
+    roots = least.join(distinct, F.col("root") == F.col("print")).select("root", F.least("least_id", "first_id").alias("component_id"))
+    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1)))
+    members = hung.withColumn("salt", F.pmod(F.hash("print"), F.lit(_SALTS))).join(roots.withColumn("salt", salts), ["root", "salt"])
+    named = members.select("print", "root", "component_id").unionByName(roots.select(F.col("root").alias("print"), "root", "component_id"))
+    classes = cut_lineage(
+        distinct.join(named, "print", "left").select(
+            "print", F.coalesce("root", "print").alias("root"), "copies",
+            F.when(F.col("root").isNull(), F.col("first_id")).otherwise(F.col("component_id")).alias("component_id"),
+        )
+    )
+    # fingerprints that hold a thousandth of the rows or more are a thousand at most
+    frequent = F.col("copies") * 1_000 >= (classes.agg(F.sum("copies").alias("n")).first()["n"] or 0)
+    often, seldom = F.broadcast(classes.where(frequent).drop("copies")), classes.where(~frequent).drop("copies")
+    return rows.join(often, "print").unionByName(rows.join(often, "print", "left_anti").join(seldom, "print"))
+
+
 def near_groups(frame: DataFrame, most: int = 4) -> DataFrame:
     """Every row of ``frame`` (doc_id, text) with its fingerprint and group.
 
@@ -313,21 +349,21 @@ def near_groups(frame: DataFrame, most: int = 4) -> DataFrame:
     texts without words are linked to each other. A null doc_id never names a group
     that has another; repeated rows are each returned.
     """
-    spark = frame.sparkSession
-    path = scratch_path(spark, "simhash-prints")
-    fingerprints(frame).write.parquet(path)
-    rows = spark.read.schema("doc_id bigint, print bigint").parquet(path)
-    distinct = rows.groupBy("print").agg(F.min("doc_id").alias("first_id"))
-    rooted = components(links(distinct, most)).withColumnRenamed("node", "print")
-    classes = distinct.join(rooted, "print", "left").withColumn("root", F.coalesce("root", "print"))
-    named = classes.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rows.join(classes.join(named, "root").select("print", "component_id"), "print").select(
-        "doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    return grouped(frame, most).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def drop_near_copies(frame: DataFrame, most: int = 4) -> DataFrame:
-    """The rows of ``frame`` whose doc_id names their group, with all their columns."""
-    kept = near_groups(frame, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return frame.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("_kept_id")), "left_semi")
+    """One row of ``frame`` for each group, with all its columns.
+
+    It is a row whose doc_id names the group; of several with that doc_id (or none) the
+    text with the smallest digest stays, once.
+    """
+    rows = grouped(frame, most).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    kept = rows.groupBy("root").agg(F.min(F.struct("digest", "doc_id")).alias("own"))
+    id_ = F.col("doc_id").cast("long")
+    key = ["_x_digest", "_x_id", "_x_none"]
+    here = frame.withColumns({key[0]: _digest(), key[1]: F.coalesce(id_, F.lit(0).cast("long")), key[2]: id_.isNull()})
+    kept = kept.select(
+        F.col("own.digest").alias(key[0]), F.coalesce("own.doc_id", F.lit(0).cast("long")).alias(key[1]), F.col("own.doc_id").isNull().alias(key[2])
+    )
+    return here.join(kept, key, "left_semi").dropDuplicates(key).drop(*key)
