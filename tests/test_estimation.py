@@ -43,6 +43,12 @@ def test_too_few_states_give_nothing(spark):
     assert interpolate.attach(queries, states, ["object_id", "segment"], bucket_us=10**6).first().node_s is None
 
 
+def test_stencils_do_not_pass_through_the_driver(spark):
+    plan = standin.observations(Tables(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join [" in line and "start#" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins)
+
+
 @pytest.fixture(scope="module")
 def observations(spark):
     tables = Tables(spark, "/root/testdata/sf0.001")
