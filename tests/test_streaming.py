@@ -281,3 +281,19 @@ def test_batch_cuts_do_not_matter(spark, monkeypatch, dealt_events, name):
     monkeypatch.setattr(streams, "table_stream", functools.partial(table_stream, files=1))
     got = catalog.QUERIES[name](spark, many).collect()
     assert want and sorted(map(repr, got)) == sorted(map(repr, want))
+
+
+def test_answers_are_joined_without_a_call_for_each_command(spark):
+    """Some 3,000 commands over three files a side: as the processor tells them, by Spark's join of streams."""
+    times = [[(i, (60 + i) * 10**6, i % 10 / 4) for i in range(k, 3_000, 3)] for k in range(3)]
+    c = _stream(spark, times, "command_id long, issued_us long, requested_s double")
+    reads = [[(i, (60 + i + i % 40) * 10**6, i % 10 / 4 + (i % 7 == 0), line) for i in range(k, 3_100, 3) for line in (1, 2)] for k in (2, 0, 1)]
+    b = _stream(spark, reads, "effective_command_id long, observed_us long, applied_s double, line long")
+    b = b.withColumns({"event_us": F.col("observed_us"), "arrived_us": F.col("observed_us") + F.col("effective_command_id") % 7 * 10**6})
+    rows = commands.exchanges(c, b)
+    told = [replay(rows, lambda r: build(r, timeout_s=30, lateness="3200 seconds"), "told") for build in (functools.partial(commands.confirmed, once=False), commands.answered)]
+    want, got = [sorted(map(repr, t.select(told[0].columns).where("event <> 'unmatched'").collect())) for t in told]
+    assert got == want and any("confirmed" in g for g in got) and any("timeout" in g for g in got)
+    path = scratch_path(spark, "answered")
+    progress = run_available(commands.answered(rows, timeout_s=30, lateness="3200 seconds"), path).recentProgress
+    assert {o.operatorName for p in progress for o in p.stateOperators} == {"symmetricHashJoin"}
