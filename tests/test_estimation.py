@@ -296,3 +296,24 @@ def test_robust_biases_are_the_minimum(spark):
             assert cost(row["bias_hz"]) <= min(cost(row["bias_hz"] + d) for d in (-0.01, 0.01)) + 1e-9
     bad = spark.createDataFrame([(1, math.nan, 1.0), (2, 3.0, 1.0)], "k long, r double, h double")
     assert {r["k"]: r["settled"] for r in estimate.robust_biases(bad, ["k"], 10.0, "soft_l1", 1.0).collect()} == {1: False, 2: True}
+
+
+def test_a_prediction_stays_a_small_plan(spark, observations):
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    plan = estimate.table_model(observations, F.lit(0.5))._jdf.queryExecution().analyzed().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    # Products written out are about 85 look-ups of a divided difference or node for a component and its rate.
+    assert plan.count("node_vx#") < 20 and plan.count("node_s#") < 30
+
+
+def test_a_fit_step_plans_its_rows_once(spark, observations, monkeypatch):
+    plans = []
+
+    def seen(frame):
+        plans.append(frame._jdf.queryExecution().optimizedPlan().toString())
+        return cut_lineage(frame)
+
+    monkeypatch.setattr(estimate, "cut_lineage", seen)
+    estimate.joint_fit(observations, steps=2)
+    read = [plan.count("InMemoryRelation") for plan in plans]
+    assert max(read) == 1 and sum(read) == 2
