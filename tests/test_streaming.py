@@ -6,6 +6,7 @@ import shutil
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from passledger.plans import catalog, streams
@@ -13,6 +14,7 @@ from passledger.session import scratch_path
 from passledger.streaming import acquisition as acq
 from passledger.streaming import commands
 from passledger.streaming import filters as flt
+from passledger.streaming import runner
 from passledger.streaming.runner import drain, replay, run_available, table_stream
 
 
@@ -297,3 +299,34 @@ def test_answers_are_joined_without_a_call_for_each_command(spark):
     path = scratch_path(spark, "answered")
     progress = run_available(commands.answered(rows, timeout_s=30, lateness="3200 seconds"), path).recentProgress
     assert {o.operatorName for p in progress for o in p.stateOperators} == {"symmetricHashJoin"}
+
+
+def test_a_short_key_costs_few_calls_of_its_state(spark):
+    calls, held = [], {}
+
+    class State:
+        def __init__(self, name):
+            self.name = name
+
+        def __getattr__(self, call):
+            def made(*values):
+                calls.append(f"{self.name}.{call}")
+                if call in ("appendValue", "put", "update"):
+                    held.setdefault(self.name, []).extend(values)
+                return held.get(self.name, []) if self.name == "waiting" else None
+
+            return made
+
+    class Handle(State):
+        getListState = getValueState = staticmethod(lambda name, _: State(name))
+
+    class Now:
+        getCurrentWatermarkInMs = staticmethod(lambda: 0)
+
+    schema = spark.createDataFrame([], DOPPLER).drop("contact_id").schema
+    processor = runner.InOrder(schema, "x double", "t_us long", lambda *_: ([], None), lambda *_: [], 60.0)
+    processor.init(Handle("handle"))
+    rows = [Row(*schema.names)(t * 10**6, 0, None, 4.0, -3000.0, -4.0) for t in range(50)]
+    assert list(processor.handleInputRows(("c",), iter(rows), Now())) == []
+    assert len(calls) <= 4 and len(held["waiting"]) == 1
+    assert held["waiting"][0][0] == [r.t_us for r in rows] and math.isnan(held["waiting"][0][2][0])
