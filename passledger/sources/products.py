@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passledger.functions.scalars import first_reason
+from passledger.sources.files import located
 
 
 def prior_provenance(priors: DataFrame) -> DataFrame:
@@ -45,11 +46,7 @@ def write_attempts(results: DataFrame, path: str, partition: str) -> None:
 
 def _opened(path: str):
     """A stream of the bytes at a path as Spark names it."""
-    from pyarrow import fs
-
-    if path.startswith("file:"):
-        return fs.LocalFileSystem().open_input_stream("/" + path.removeprefix("file:").lstrip("/"), compression=None)
-    system, inner = fs.FileSystem.from_uri(path)
+    system, inner = located(path)
     return system.open_input_stream(inner, compression=None)
 
 

@@ -1,14 +1,23 @@
 """Steps that hold at size: axes, messages, exports, members and folds."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 from passledger.functions import geometry as geo
 from passledger.plans import catalog
+from passledger.sources import files as keyed
+
+_TABLES = "/root/testdata/sf0.001"
+
+
+def _folders(path):
+    return sum(p.is_dir() for p in path.rglob("*"))
 
 
 def test_axes_stay_small_enough_to_be_compiled(spark):
     # The JVM never compiles a method beyond 8,000 bytes; with the axes inside branches it had 11,569.
-    made = catalog.QUERIES["rtn_projection"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+    made = catalog.QUERIES["rtn_projection"](spark, _TABLES)._jdf.queryExecution().debug().codegenToSeq()
     assert 0 < max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) < 8_000
 
 
@@ -17,3 +26,25 @@ def test_axes_without_a_frame_are_null(spark):
     frame = spark.createDataFrame(rows, "px double, py double, pz double, vx double, vy double").withColumn("vz", F.lit(0.0))
     axes = geo.rtn_error([F.lit(1.0), F.lit(2.0), F.lit(3.0)], geo.vector("px", "py", "pz"), geo.vector("vx", "vy", "vz"))
     assert [tuple(r) for r in frame.select(*axes).collect()] == [(1.0, 2.0, 3.0), (None,) * 3, (None,) * 3]
+
+
+def test_files_of_keys_come_back_whole(spark, tmp_path):
+    texts = {"a": ["x" * 300, "", "é"], "odd/na=me": [str(i) * 40 for i in range(40_000)], None: ["one"]}
+    rows = [(key, i, line or None) for key, lines in texts.items() for i, line in enumerate(lines)]
+    frame = spark.createDataFrame(rows, "k string, no long, text string").repartition(3, "text")
+    assert keyed.write_keyed(frame, "k", ["no"], str(tmp_path / "out")) == 3
+    assert len([p for p in (tmp_path / "out").rglob("*.txt")]) == 3 and not list((tmp_path / "out").rglob(".*.part"))
+    names = {k or "__HIVE_DEFAULT_PARTITION__": v for k, v in texts.items()}
+    got = {(r.key, r.line_no): r.text for r in keyed.read_keyed(spark, str(tmp_path / "out")).collect()}
+    assert got == {(k, i + 1): line for k, lines in names.items() for i, line in enumerate(lines)}
+    hashed = {r.key: (r.sha256, r.byte_count) for r in keyed.digests(spark, "file:" + str(tmp_path / "out"), piece=1_000).collect()}
+    whole = {k: "".join(line + "\n" for line in lines).encode() for k, lines in names.items()}
+    assert hashed == {k: (hashlib.sha256(c).hexdigest(), len(c)) for k, c in whole.items()}
+    assert keyed.write_keyed(frame.where("false"), "k", ["no"], str(tmp_path / "none")) == 0
+    assert keyed.read_keyed(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_snapshot_has_no_folder_for_each_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("passledger.plans.products.scratch_path", lambda spark, label: str(tmp_path / label))
+    assert catalog.QUERIES["manifest_verification"](spark, _TABLES).count() == spark.read.parquet(f"{_TABLES}/supplier.parquet").count() + 1
+    assert _folders(tmp_path) <= 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
