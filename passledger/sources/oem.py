@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from passledger.functions.geometry import finite, norm, vector
 from passledger.functions.scalars import all_reasons, micros_to_text, text_to_micros
 from passledger.operators.ordered import neighbour, prefix
+from passledger.sources import files
 
 # What a message may declare.
 FRAMES = ("GCRF", "EME2000", "ITRF", "TEME", "ICRF")
@@ -45,13 +51,37 @@ def classify(lines: DataFrame) -> DataFrame:
             "_stops": ("sum", F.when(F.col("text") == "META_STOP", 1).otherwise(0)),
         },
     )
-    mode = (
+    return marked.withColumn("mode", _mode()).drop("_stops")
+
+
+def _mode() -> Column:
+    return (
         F.when(F.col("segment") == 0, "header")
         .when(F.col("segment") == F.col("_stops"), "data")
         .when(F.col("segment") == F.col("_stops") + 1, "metadata")
         .otherwise("broken")
     )
-    return marked.withColumn("mode", mode).drop("_stops")
+
+
+def read_messages(spark: SparkSession, path: str) -> DataFrame:
+    """``classify`` of the messages that ``write_messages`` left, counted while a task streams a file."""
+
+    def started() -> Callable[[pa.Array], dict[str, pa.Array]]:
+        seen = {"segment": 0, "_stops": 0}
+
+        def told(texts: pa.Array) -> dict[str, pa.Array]:
+            trimmed, out = pc.utf8_trim(texts, " "), {}
+            for name, mark in (("segment", "META_START"), ("_stops", "META_STOP")):
+                counts = seen[name] + np.cumsum(pc.equal(trimmed, mark).to_numpy(zero_copy_only=False), dtype=np.int64)
+                seen[name] = int(counts[-1])
+                out[name] = pa.array(counts)
+            return out
+
+        return told
+
+    lines = files.read_keyed(spark, path, started, "segment long, _stops long").withColumn("text", F.trim("text"))
+    useful = lines.where((F.col("text") != "") & ~F.col("text").startswith("COMMENT"))
+    return useful.withColumn("mode", _mode()).drop("_stops")
 
 
 def keywords(classified: DataFrame) -> DataFrame:
@@ -87,24 +117,31 @@ def states(classified: DataFrame) -> DataFrame:
 
 def message_findings(classified: DataFrame) -> DataFrame:
     """Per file: duplicate keywords, wrong centre, frame, time system or layout."""
-    keys = keywords(classified)
+    pair = F.col("text").contains("=") & F.col("mode").isin("header", "metadata")
+    key = F.when(pair, F.trim(F.substring_index("text", "=", 1)))
+    given = F.when(pair, F.trim(F.expr("substring(text, instr(text, '=') + 1)")))
+    # The lines are read once: few rows for each file are left after the first step.
+    keys = classified.groupBy("file", "segment", "mode", key.alias("key")).agg(
+        F.min(given).alias("value"), F.count(F.lit(1)).alias("lines"), F.count_if(F.col("text") != "META_STOP").alias("_inside")
+    )
 
     def value(name: str) -> Column:
         return F.max(F.when(F.col("key") == name, F.upper("value")))
 
+    def total(mode: str, count: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("mode") == mode, F.col(count))), F.lit(0))
+
     declared = keys.groupBy("file").agg(
-        F.max("copies").alias("_copies"),
+        F.max(F.when(F.col("key").isNotNull(), F.col("lines"))).alias("_copies"),
         value("CENTER_NAME").alias("_centre"),
         value("REF_FRAME").alias("_frame"),
         value("TIME_SYSTEM").alias("_time"),
         F.count_if(F.col("key") == "REF_FRAME_EPOCH").alias("_epoch"),
-    )
-    layout = classified.groupBy("file").agg(
-        F.count_if(F.col("mode") == "broken").alias("_broken"),
-        F.count_if((F.col("mode") == "data") & (F.col("text") != "META_STOP")).alias("samples"),
+        total("broken", "lines").alias("_broken"),
+        total("data", "_inside").alias("samples"),
         F.max("segment").alias("segments"),
     )
-    return layout.join(declared, "file", "left").select(
+    return declared.select(
         "file", "segments", "samples",
         all_reasons(
             [
@@ -221,13 +258,5 @@ def message_lines(
 
 
 def write_messages(lines: DataFrame, path: str, order: tuple[str, ...] = ("segment", "t_us", "part")) -> None:
-    """One folder per object. A message is one file, so one task writes it,
-    streaming its sorted lines."""
-    (
-        lines.repartition("object_id")
-        .sortWithinPartitions("object_id", *order)
-        .select("object_id", "text")
-        .write.mode("errorifexists")
-        .partitionBy("object_id")
-        .text(path)
-    )
+    """One file per object, ``object_id=....txt``. One task writes it, streaming its sorted lines."""
+    files.write_keyed(lines, "object_id", order, path)

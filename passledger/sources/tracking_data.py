@@ -10,6 +10,7 @@ from passledger.functions.scalars import all_reasons, micros_to_text
 from passledger.operators.ordered import neighbour
 from passledger.operators.ranges import salted_join
 from passledger.operators.sequences import collapse_equal
+from passledger.sources import files
 
 _DAY_US = 86_400_000_000
 
@@ -168,20 +169,11 @@ def header_lines(
 
 
 def write_exports(header: DataFrame, data: DataFrame, path: str) -> None:
-    """One file per contact: header lines, then data in time order, then the end."""
+    """One file per contact, ``contact_id=....txt``: header lines, then data in time order, then the end."""
     end = header.select("contact_id").distinct().select(
         "contact_id", F.lit(2**62).alias("t_us"), F.lit(0).alias("part"), F.lit("DATA_STOP").alias("text")
     )
-    (
-        header.unionByName(data)
-        .unionByName(end)
-        .repartition("contact_id")
-        .sortWithinPartitions("contact_id", "t_us", "part")
-        .select("contact_id", "text")
-        .write.mode("errorifexists")
-        .partitionBy("contact_id")
-        .text(path)
-    )
+    files.write_keyed(header.unionByName(data).unionByName(end), "contact_id", ("t_us", "part"), path)
 
 
 def read_angles(lines: DataFrame) -> DataFrame:

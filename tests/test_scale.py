@@ -2,11 +2,13 @@
 
 import hashlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from passledger.functions import geometry as geo
 from passledger.plans import catalog
 from passledger.sources import files as keyed
+from passledger.sources import oem
 
 _TABLES = "/root/testdata/sf0.001"
 
@@ -48,3 +50,25 @@ def test_snapshot_has_no_folder_for_each_file(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("passledger.plans.products.scratch_path", lambda spark, label: str(tmp_path / label))
     assert catalog.QUERIES["manifest_verification"](spark, _TABLES).count() == spark.read.parquet(f"{_TABLES}/supplier.parquet").count() + 1
     assert _folders(tmp_path) <= 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+@pytest.mark.parametrize("name", ["oem_findings", "oem_states", "export_files", "angle_files"])
+def test_products_have_no_folder_for_each_file(spark, tmp_path, monkeypatch, name):
+    monkeypatch.setattr("passledger.plans.products.scratch_path", lambda spark, label: str(tmp_path / label))
+    assert catalog.QUERIES[name](spark, _TABLES).limit(1).count() == 1
+    assert len(list(tmp_path.rglob("*.txt"))) == spark.read.parquet(f"{_TABLES}/supplier.parquet").count()
+    assert _folders(tmp_path) <= 1 + int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_messages_are_classified_as_they_are_read(spark, tmp_path):
+    body = ["CCSDS_OEM_VERS = 3.0", "", "COMMENT META_START", " META_START ", "A = 1", "META_STOP", "1 2 3", "META_START", "B = 2", "META_STOP", "4 5 6"]
+    texts = {1: body, 2: body * 3, 3: ["META_STOP", "x"], 4: ["META_START"]}
+    rows = [(k, 0, i, 0, line) for k, lines in texts.items() for i, line in enumerate(lines)]
+    oem.write_messages(spark.createDataFrame(rows, "object_id long, segment int, t_us int, part int, text string"), str(tmp_path / "m"))
+    numbered = spark.createDataFrame([(str(k), i + 1, line) for k, _, i, _, line in rows], "file string, line_no long, text string")
+    columns = ["key", "line_no", "text", "segment", "mode"]
+    got = sorted(oem.read_messages(spark, str(tmp_path / "m")).select(*columns).collect())
+    assert got == sorted(oem.classify(numbered).withColumnRenamed("file", "key").select(*columns).collect()) and len(got) > 30
+    # one read for all that is found, where each branch of the plan had its own
+    found = oem.message_findings(oem.read_messages(spark, str(tmp_path / "m")))
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
