@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from passledger.functions import geometry as geo
+from passledger.operators import planning
 from passledger.plans import catalog
 from passledger.sources import files as keyed
 from passledger.sources import oem
@@ -72,3 +73,25 @@ def test_messages_are_classified_as_they_are_read(spark, tmp_path):
     # one read for all that is found, where each branch of the plan had its own
     found = oem.message_findings(oem.read_messages(spark, str(tmp_path / "m")))
     assert found._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+
+
+def test_members_of_long_groups(spark):
+    passes = spark.range(150).selectExpr(
+        "IF(id < 140, 'A', 'B') AS spacecraft_id", "concat('P', id) AS contact_id", "id * 3600000000 AS start_us", "id * 3600000000 + 60000000 AS stop_us"
+    )
+    groups = planning.group_expansion(passes, passes)
+    other = planning.group_expansion(passes, passes.select("*"))
+    assert sorted(groups.collect()) == sorted(other.collect())
+    members = planning.group_members(groups, planning.pass_order(passes))
+    got = members.groupBy("spacecraft_id", "family_rank", "last_ordinal").agg(
+        F.count(F.lit(1)).alias("n"), F.min("ordinal").alias("a"), F.max("ordinal").alias("b"), F.count_distinct("contact_id").alias("d")
+    )
+    want = {
+        (s, rank, last, last - first + 1, first, last, last - first + 1)
+        for s, count in (("A", 140), ("B", 10)) for last in range(1, count + 1)
+        for rank, first in enumerate((last, 1, last - 2, 1, 1)) if first >= 1
+    }
+    assert {tuple(r) for r in got.collect()} == want
+    # what is shuffled are groups, not members: no explode to single ordinals stands below the join
+    assert "sequence(first_ordinal" not in members._jdf.queryExecution().optimizedPlan().toString()
+    assert groups._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 4
