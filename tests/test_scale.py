@@ -95,3 +95,21 @@ def test_members_of_long_groups(spark):
     # what is shuffled are groups, not members: no explode to single ordinals stands below the join
     assert "sequence(first_ordinal" not in members._jdf.queryExecution().optimizedPlan().toString()
     assert groups._jdf.queryExecution().optimizedPlan().toString().count("Window") <= 4
+
+
+def test_folds_are_read_once(spark):
+    # with a table of folds written first and read for counts, distinct folds and medians there were many more
+    for name, most in (("qualification_median", 1), ("prefix_summary", 1), ("first_attainment", 2)):
+        plan = catalog.QUERIES[name](spark, _TABLES)._jdf.queryExecution().optimizedPlan().toString()
+        assert "ExistingRDD" not in plan and "LogicalRDD" not in plan
+        assert plan[: plan.index("Generate")].count("Aggregate [") <= most
+
+
+def test_folds_keep_columns_of_their_pass(spark):
+    passes = spark.range(70).selectExpr(
+        "'A' AS spacecraft_id", "id AS contact_id", "id * 10 AS start_us", "id * 10 + 5 AS stop_us", "id + 0.5D AS mark"
+    )
+    folds = planning.fold_expansion(planning.pass_order(passes), ["timing"], carry=["mark"])
+    got = sorted((r.prefix_count, r.held_ordinal, r.holdout_id, r.mark) for r in folds.where("held_ordinal > 0").collect())
+    assert got == [(n, h, h - 1, n - 0.5) for n in range(2, 71) for h in range(1, n + 1)]
+    assert sorted(r.prefix_count for r in folds.where("held_ordinal = 0 AND holdout_id IS NULL").collect()) == list(range(1, 71))
