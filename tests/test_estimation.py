@@ -361,3 +361,53 @@ def test_predictions_between_two_printed_values_are_those_of_the_sql(spark, tmp_
     db = duckdb.connect()
     db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet'")
     assert got == {e: (p, r) for e, p, r in db.execute(entry.oracle_sql()["doppler_prediction"]).fetchall()}
+
+
+@pytest.fixture
+def written(monkeypatch):
+    """Rows and columns of every frame that the estimation writes between its steps."""
+    seen = []
+
+    def noted(frame):
+        kept = cut_lineage(frame)
+        seen.append((kept.count(), set(kept.columns)))
+        return kept
+
+    monkeypatch.setattr(estimate, "cut_lineage", noted)
+    return seen
+
+
+def test_a_sweep_writes_a_row_for_each_key(spark, observations, written):
+    truth = standin.circular(F.col("object_no"), (F.col("t_us") - ORIGIN_US) / 1e6 + 0.42)
+    reference = observations.select("*", *[v.alias(f"r_{n}") for v, n in zip(truth, interpolate.COMPONENTS)])
+    best = {r.object_no: r for r in estimate.sweep_optimum(reference, "object_no", estimate.sweep_column(-1.0, 1.0, 0.25)).collect()}
+    assert len(best) < reference.count() and max(n for n, _ in written) <= len(best)
+    # The sums give the score of the sweep itself.
+    swept = estimate.trajectory_sweep(reference, "object_no", F.array(F.lit(0.35))).collect()
+    sums = estimate._swept(estimate._squares(reference, "object_no"), "object_no", F.array(F.lit(0.35))).collect()
+    assert {r.object_no: r.position_rms_m for r in sums} == pytest.approx({r.object_no: r.position_rms_m for r in swept}, rel=1e-7)
+
+
+def test_a_phase_scan_writes_a_row_for_each_sample(spark, observations, written):
+    whole = {(r.fit_id, r.offset_s): (r.cost, r.samples) for r in estimate.phase_scan(observations, loss="soft_l1", loss_scale=5.0).collect()}
+    assert max(n for n, _ in written) <= observations.count() and len(whole) == 61 * observations.select("fit_id").distinct().count()
+    # Passes beyond the limit take another way to the same costs.
+    sizes = [r["count"] for r in observations.groupBy("contact_id").count().collect()]
+    limit = sorted(sizes)[len(sizes) // 2]
+    assert min(sizes) <= limit < max(sizes)
+    other = {(r.fit_id, r.offset_s): (r.cost, r.samples) for r in estimate.phase_scan(observations, loss="soft_l1", loss_scale=5.0, limit=limit).collect()}
+    assert {k: v[1] for k, v in other.items()} == {k: v[1] for k, v in whole.items()}
+    assert {k: v[0] for k, v in other.items()} == pytest.approx({k: v[0] for k, v in whole.items()}, rel=1e-9)
+
+
+def test_a_pass_without_a_sensitivity_has_no_bias(spark, observations):
+    """A sample of infinite sigma leaves its pass out of the cost, by either way."""
+    odd = observations.where("fit_id < 2")
+    first = odd.orderBy("event_id").first()
+    odd = odd.withColumn("sigma_hz", F.when(F.col("event_id") == first.event_id, math.inf).otherwise(F.lit(2.0)))
+    got = [
+        {(r.fit_id, r.offset_s): (r.cost, r.samples) for r in estimate.phase_scan(odd, limit=limit).collect()} for limit in (10_000, 0)
+    ]
+    assert got[0].keys() == got[1].keys()
+    for key, (cost, samples) in got[0].items():
+        assert got[1][key] == (pytest.approx(cost, rel=1e-9), samples)
