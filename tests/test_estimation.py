@@ -411,3 +411,30 @@ def test_a_pass_without_a_sensitivity_has_no_bias(spark, observations):
     assert got[0].keys() == got[1].keys()
     for key, (cost, samples) in got[0].items():
         assert got[1][key] == (pytest.approx(cost, rel=1e-9), samples)
+
+
+def test_queries_meet_runs_of_states(spark):
+    """What is shuffled for the join are the states, once and a few twice, not eight of them for each stencil."""
+    tables = Tables(spark, "/root/testdata/sf0.001")
+    states = standin.orbit_table(tables)
+    runs = interpolate.blocks(states, ["object_no", "segment"], bucket_us=HOUR_US)
+    held = runs.agg(F.sum(F.size("_states")), F.max(F.size("_states"))).first()
+    assert held[0] < 1.2 * states.count() and held[1] <= interpolate._BLOCK + interpolate.NODES - 1
+
+
+def test_a_robust_scan_writes_no_row_for_each_sample(spark, observations, written):
+    scan = estimate.timing_scan(observations, lower_s=-2.0, upper_s=2.0, step_s=1.0, loss="soft_l1", loss_scale=5.0, rounds=2)
+    got = {(r.fit_id, r.offset_s): r.cost for r in scan.collect()}
+    passes = observations.select("fit_id", "contact_id").distinct().count()
+    assert max(n for n, _ in written) <= 5 * passes < 5 * observations.count()
+    # The same rounds over rows spread by hand.
+    rows = observations.withColumn("offset_s", F.explode(F.array(*[F.lit(float(o)) for o in range(-2, 3)])))
+    rows = estimate.table_model(rows, F.col("offset_s")).selectExpr("fit_id", "offset_s", "contact_id", "(predicted_hz - observed_hz) / sigma_hz AS r", "1 / sigma_hz AS h").toPandas()
+    rows["w"], keys = 1.0, ["fit_id", "offset_s", "contact_id"]
+    for _ in range(3):
+        rows["hr"], rows["hh"] = rows.w * rows.h * rows.r, rows.w * rows.h * rows.h
+        sums = rows.groupby(keys)[["hr", "hh"]].transform("sum")
+        rows["e"] = rows.r - rows.h * sums.hr / sums.hh
+        rows["w"] = 1 / np.sqrt(1 + (rows.e / 5) ** 2)
+    rows["cost"] = 25 * (np.sqrt(1 + (rows.e / 5) ** 2) - 1)
+    assert got == pytest.approx(rows.groupby(["fit_id", "offset_s"]).cost.sum().to_dict(), rel=1e-9)
