@@ -438,3 +438,13 @@ def test_a_robust_scan_writes_no_row_for_each_sample(spark, observations, writte
         rows["w"] = 1 / np.sqrt(1 + (rows.e / 5) ** 2)
     rows["cost"] = 25 * (np.sqrt(1 + (rows.e / 5) ** 2) - 1)
     assert got == pytest.approx(rows.groupby(["fit_id", "offset_s"]).cost.sum().to_dict(), rel=1e-9)
+
+
+def test_a_fit_writes_a_row_for_each_pass_and_sorts_no_sample(spark, observations, written):
+    spread = estimate.laid_out(observations.select("fit_id", "contact_id", "t_us"), ["fit_id", "contact_id"], F.col("t_us"))
+    passes = observations.select("fit_id", "contact_id").distinct()
+    plan = estimate.join_state(spread, passes, ["fit_id", "contact_id"])._jdf.queryExecution().executedPlan().toString()
+    spread.unpersist()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    estimate.joint_fit(observations, drift=True, loss="soft_l1", loss_scale=3.0, steps=2)
+    assert max(n for n, _ in written) <= passes.count() < observations.count()
